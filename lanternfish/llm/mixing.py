@@ -10,7 +10,7 @@ from lanternfish.llm.common import small, written
 #: Bits of the random sort key.
 KEY_BITS = 60
 #: Rows that a bucket of the sort key holds on average; a bucket is what one task sorts.
-BUCKET_ROWS = 32_768
+BUCKET_ROWS = 2_048
 WEIGHTS = (3, 1, 2)
 SIZE = r"[^\x20\x09-\x0D]+"
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import mixing
-from lanternfish.llm.common import read
+from lanternfish.llm import chat, mixing, tokens
+from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
 
@@ -44,6 +44,50 @@ from placed
 """
 
 
+def op5_chat_formatting(spark, sf_dir):
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    back = chat.read_back(chat.formatted(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op5_chat_formatting"] = r"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+seen as (
+    select *, regexp_matches(role || chr(0) || text, '</?s>|\[/?INST\]|\\[^\x00]') or regexp_matches(text, '(?s)\\.') as conflict,
+           len(regexp_extract_all(role || chr(0) || text, '\\|</?s>|\[/?INST\]')) as marks
+    from turns),
+placed as (
+    select *, length(role) + length(text) + 20 + case when conflict then marks else 0 end as chars,
+           row_number() over (partition by conv_id order by turn nulls last, role, text) as place from seen)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from placed group by conv_id
+"""
+
+
+def op10_token_output(spark, sf_dir):
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    tokens.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    rows = tokens.with_starts(tokens.checksums(spark, path), spark, path)
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
