@@ -5,7 +5,10 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Most rows a side may have to be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a Python operator holds as arrays at a time.
+RUN_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +60,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The side with a broadcast hint if it has no more than so many rows, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def text_runs(texts: pa.Array, most: int = 20_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about RUN_BYTES bytes of text, a longer text alone, and of `most` rows at most."""
+    sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])) if len(texts) else np.zeros(0)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + RUN_BYTES, "right")))
+        yield at, (upto := min(upto, at + most))
+        at = upto

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, mixing, tokens
+from lanternfish.llm import chat, mixing, neardup, tokens
 from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
@@ -79,6 +79,10 @@ from placed group by conv_id
 """
 
 
+def op9_minhash_neardup(spark, sf_dir):
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark, sf_dir):
     import public_tokenizers
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import small
+from lanternfish.llm.common import small, text_runs
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
@@ -29,8 +29,6 @@ OPTIONS = {
 }
 #: Distinct pieces of text whose ids a worker keeps; when more have come, it starts anew.
 CACHE = 600_000
-#: Characters encoded at a time.
-BATCH_CHARS = 4_000_000
 
 
 class Encoder:
@@ -95,16 +93,6 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in cut]
 
 
-def _parts_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about BATCH_CHARS bytes each."""
-    sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])) if len(texts) else np.zeros(0)
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right")))
-        yield at, upto
-        at = upto
-
-
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, whole: bool = False) -> None:
     """Encode each document's text, append the end id and write token files.
 
@@ -118,7 +106,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
         encoder, start, part = Encoder(vocabulary, whole), 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(1).cast(pa.string())
-            for at, upto in _parts_of(texts):
+            for at, upto in text_runs(texts):
                 out = [x + end for x in encoder(["" if x is None else x for x in texts[at:upto].to_pylist()])]
                 counts = np.asarray([len(x) // 4 for x in out], np.int64)
                 ends = np.concatenate([[0], np.cumsum(counts)])
