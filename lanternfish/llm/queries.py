@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, mixing, neardup, tokens
+from lanternfish.llm import chat, mixing, neardup, tokens, toxicity
 from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
@@ -79,6 +79,11 @@ from placed group by conv_id
 """
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.fit(docs, read(spark, sf_dir, "labels")).graded(docs)
+
+
 def op9_minhash_neardup(spark, sf_dir):
     return neardup.classes(read(spark, sf_dir, "documents"))
 
