@@ -4,12 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, mixing, neardup, tokens, toxicity
+from lanternfish.llm import chat, decontamination, mixing, neardup, tokens, toxicity
 from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op1_decontamination"] = r"""
+with d as (
+    select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+i as (
+    select item_id::varchar as item_id, w, least(10, len(w)) as k from (
+        select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark) where len(w) > 0),
+windows as (
+    select distinct item_id, k, array_to_string(w[p + 1 : p + k], ' ') as s from (select *, unnest(range(len(w) - k + 1)) as p from i)),
+grams as (
+    select r, k, p, array_to_string(w[p + 1 : p + k], ' ') as s
+    from (select r, k, w, unnest(range(len(w) - k + 1)) as p from d, (select distinct k from windows) where len(w) >= k)),
+hits as (select g.r, g.p, g.k, x.item_id from grams g join windows x on x.k = g.k and x.s = g.s),
+spots as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + k)) as q from hits) group by r),
+ids as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as s from hits group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join spots using (r) left join ids using (r)
+"""
+
+
 def op8_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,53 +32,54 @@ OPTIONS = {
 CACHE = 600_000
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of texts as bytes, by a vocabulary file whose pre-tokens never reach over a space or a line feed.
 
     A text is cut at these and each distinct piece is encoded once; the pieces' ids, joined, are the text's. A piece of
-    letters before one full stop or comma is the ids of its two pre-tokens. Texts are lower-cased first, as the vocabulary
-    does itself, but for those where that isn't the same before its other rules. `whole` makes it encode whole texts
-    instead, which suits any vocabulary. Pieces not met for long are dropped from memory and encoded again if they return.
+    letters before one full stop or comma is the ids of its two pre-tokens, and a word of Latin letters goes straight to
+    the vocabulary's model, whose own rules before it would leave the word as it is. Texts are lower-cased first, as the
+    vocabulary does itself, but for those where that isn't the same before its other rules. `whole` makes it encode whole
+    texts instead, which suits any vocabulary. Pieces not met for long leave memory and are encoded again if they return.
     """
 
     def __init__(self, vocabulary: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(vocabulary), whole
+        self.tokenizer, self.whole, self.letters = Tokenizer.from_file(vocabulary), whole, _byte_letters()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[i for token, i in self.tokenizer.get_vocab(False).items() if token.endswith("</w>")]] = True
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, encoded many at a time and cut behind each id that ends a word."""
-        joined = self._encoded([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
-        ids = np.frombuffer(b"".join(joined), "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            return self._encoded(words)
-        ends, raw = [0, *(ends * 4).tolist()], ids.tobytes()
-        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
     def _learn(self, pieces: set[str]) -> None:
         if len(self.kept) > CACHE:
             self.kept, self.older = {}, self.kept
-            pieces |= {".", ","}
-        known = pieces & self.older.keys()
-        self.kept.update((p, self.older[p]) for p in known)
-        marked = {p for p in pieces - known if p[-1:] in (".", ",") and p[:-1].isalpha()}
-        new = (pieces - known - marked) | {p[:-1] for p in marked} - self.kept.keys()
-        letters = [p for p in new if p.isalpha()]
-        rest = list(new.difference(letters))
-        self.kept.update(zip(letters, self._words(letters), strict=True))
-        self.kept.update(zip(rest, self._encoded(rest), strict=True))
-        if marked:
-            stop = dict(zip((".", ","), self._encoded([".", ","]), strict=True))
-            self.kept.update((p, self.kept[p[:-1]] + stop[p[-1]]) for p in marked)
+        kept, older, model, rest = self.kept, self.older, self.tokenizer.model, []
+        stops = dict(zip(".,", self._encoded([".", ","]), strict=True))
+        for piece in pieces:
+            ids = older.get(piece)
+            if ids is None:
+                stop = stops.get(piece[-1:], b"")
+                core = piece[:-1] if stop else piece
+                if not core.isalpha() or max(core) > "\u024f" or core != core.lower():
+                    rest.append(piece)
+                    continue
+                ids = kept.get(core)
+                if ids is None:
+                    letters = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+                    ids = kept[core] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
+                ids += stop
+            kept[piece] = ids
+        kept.update(zip(rest, self._encoded(rest), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.whole:
