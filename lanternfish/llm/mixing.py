@@ -70,9 +70,10 @@ def mixed(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[in
     starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    same = lambda other, *names: [placed[n].eqNullSafe(other[n]) for n in names]
-    placed = placed.join(starts, same(starts, "source", "bucket")).drop(starts["source"], starts["bucket"])
-    placed = placed.join(targets, placed["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    starts = starts.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "start")
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).drop("_source", "_bucket")
+    targets = targets.withColumnRenamed("source", "_source")
+    placed = placed.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("budget") - epochs * F.col("source_size") - F.col("start") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
