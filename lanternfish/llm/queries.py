@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import ann, chat, decontamination, mixing, neardup, tokens, toxicity
+from lanternfish.llm import ann, chat, decontamination, langid, mixing, neardup, tokencount, tokens, toxicity
 from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
@@ -68,11 +68,23 @@ from placed
 """
 
 
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return langid.fit(docs).identified(docs)
+
+
 def op3_nearest_neighbours(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
     return ann.Forest(vectors).search(vectors.where("vec_id % 20 = 0"))
 
 
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    model = tokencount.Unigram.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.counted(read(spark, sf_dir, "documents"), model)
+
+
 def op5_chat_formatting(spark, sf_dir):
     probe = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
