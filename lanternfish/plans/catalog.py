@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text",)
+MODULES = ("text", "scoring")
 
 
 def _gathered(name: str) -> dict:
