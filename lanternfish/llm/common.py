@@ -20,6 +20,8 @@ BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python operator holds as arrays at a time.
 RUN_BYTES = 4_000_000
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 16_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have rows go to Python in batches of BATCH_BYTES at most, however long the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one is set only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_folder", None)

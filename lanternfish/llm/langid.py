@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import BYTES, text_runs
+from lanternfish.llm.common import BYTES, bounded_batches, text_runs
 
 BUCKETS, ORDERS = 8_192, (2, 3, 4)
 #: Documents per language that a model is fitted on at most, in the order of a hash of doc_id.
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     Rows with a null id, lang or text, or a text without words, teach nothing. With one language it is always predicted, with
     none every text is undetermined. Rows of a repeated doc_id are learned from once for each row.
     """
+    bounded_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", F.col("lang").alias("known")).distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import text_runs
+from lanternfish.llm.common import bounded_batches, text_runs
 
 START = "▁"
 #: Distinct pre-tokens whose counts a worker keeps; when more have come, it starts anew.
@@ -95,4 +95,5 @@ def counted(docs: DataFrame, model: Unigram) -> DataFrame:
                 columns = [batch.column(0)[a:b], pa.array([len(x) for x in split], pa.int64()), pa.array([sum(map(get, x)) for x in split], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pretokens", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import small, text_runs
+from lanternfish.llm.common import bounded_batches, small, text_runs
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
@@ -102,6 +102,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
     whole; repeated rows are documents of their own; rows of null doc_id come first; an empty table gives no rows. The texts
     are dealt out by ranges of doc_id (ties by text), so that parts are in order and any number of tasks write them.
     """
+    bounded_batches(docs.sparkSession)
     end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

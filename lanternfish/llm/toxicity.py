@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import BYTES, text_runs, words, written
+from lanternfish.llm.common import BYTES, bounded_batches, text_runs, words, written
 
 GRADES = 3
 #: Labelled documents a model is fitted on at most, taken in the order of a hash of doc_id, and features it has at most.
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     Rows with a null doc_id or label are left out, a doc_id labelled twice is toxic if either label is, and documents of
     a repeated doc_id count separately. With no labels, or none of one kind, nothing is rejected.
     """
+    bounded_batches(docs.sparkSession)
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")
