@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm import bagminhash
-from lanternfish.llm.common import text_runs, written
+from lanternfish.llm.common import bounded_batches, text_runs, written
 from lanternfish.llm.shingles import WORDS, mix, multisets, tagged
 from lanternfish.operators.components import connected_components
 
@@ -65,16 +65,18 @@ def _overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """content and its set of tagged shingles, as bytes, of the documents wanted (doc_id, content)."""
+    """content, its set of tagged shingles and the low bytes of its signature, of the documents wanted (doc_id, content)."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
-            ids = content_ids(*multisets(texts, words), len(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in tagged(texts, words)], pa.binary())], names=["content", "members"])
+            sets = multisets(texts, words)
+            low = bagminhash.signatures(*sets, len(texts)).astype(np.uint8)
+            columns = [pa.array(content_ids(*sets, len(texts))), pa.array([x.tobytes() for x in tagged(texts, words)], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["content", "members", "low"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
-    found = rows.mapInArrow(members, "content long, members binary")
-    return found.join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("members").alias("members"))
+    found = rows.mapInArrow(members, "content long, members binary, low binary")
+    return found.join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("members").alias("members"), F.first("low").alias("low"))
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -91,26 +93,49 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return rows.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
+def _alike(low: np.ndarray, row: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether texts may have the similarity, by the low bytes of their signatures; wrong once in a million."""
+    return (low == row).sum(axis=1) >= low.shape[1] * (threshold - 5 * (threshold * (1 - threshold) / low.shape[1]) ** 0.5)
+
+
 def _linked_blocks(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between texts of different classes in a bucket: buckets has band, content, component.
 
-    The texts of a bucket are dealt to slots by hash, and each pair of slots is a group of its own. A pair of classes needs
-    one link, so a group stops comparing two classes at the first.
+    The texts of a bucket are dealt to slots by hash, and each pair of slots is a cell of its own. At first a cell sees signatures
+    alone; the texts that may have a partner in it go on with their shingles. Two classes need one link, so a cell stops
+    comparing them at the first.
     """
     sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
     rows = buckets.join(sizes, "band").withColumn("slot", F.pmod(F.xxhash64("content"), F.col("slots")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
-    rows = rows.withColumn("cell", F.explode(other)).join(sets, "content").select("band", "cell.i", "cell.j", "slot", "content", "component", "members")
+    rows = rows.withColumn("cell", F.explode(other)).select("band", "cell.i", "cell.j", "slot", "content", "component")
+
+    def columns(table, *names):
+        return [np.asarray(table.column(n)) for n in names]
+
+    def partners(key, table):
+        band, i, j = (k.as_py() for k in key)
+        slot, content, component = columns(table, "slot", "content", "component")
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(slot), -1)
+        right = np.flatnonzero(slot == j)
+        seen = np.zeros(len(slot), bool)
+        for x in np.flatnonzero(slot == i):
+            may = right[(component[right] != component[x]) & _alike(low[right], low[x], threshold)]
+            seen[may] = True
+            seen[x] |= len(may) > 0
+        at = np.flatnonzero(seen)
+        same = lambda v, kind: pa.array(np.full(len(at), v, kind))
+        return pa.table({"band": same(band, np.int64), "i": same(i, np.int32), "j": same(j, np.int32), "slot": pa.array(slot[at]), "content": pa.array(content[at]), "component": pa.array(component[at])})
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        slot, content, component = (np.asarray(table.column(n)) for n in ("slot", "content", "component"))
+        slot, content, component = columns(table, "slot", "content", "component")
         members = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(slot), -1)
         linked, a, b = set(), [], []
+        right = np.flatnonzero(slot == j)
         for x in np.flatnonzero(slot == i):
-            for y in np.flatnonzero((slot == j) & (component != component[x])):
-                if i == j and content[y] <= content[x]:
-                    continue
+            for y in right[(component[right] != component[x]) & _alike(low[right], low[x], threshold)]:
                 classes = tuple(sorted((component[x], component[y])))
                 if classes not in linked and _overlap(members[x], members[y], threshold):
                     linked.add(classes)
@@ -118,7 +143,9 @@ def _linked_blocks(buckets: DataFrame, sets: DataFrame, threshold: float) -> Dat
                     b.append(content[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    rows = rows.join(sets.select("content", "low"), "content").groupBy("band", "i", "j")
+    rows = rows.applyInArrow(partners, "band long, i int, j int, slot int, content long, component long")
+    return rows.join(sets, "content").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -130,6 +157,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -
     text, or one without words, is a class of its own. Repeated rows are in one class; rows of null doc_id get their class's
     least doc_id. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = written(signed(docs, words), "signed")
     texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
     texts = texts.select("content", "x.doc_id", "x.bands")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "scoring", "decisions")
+MODULES = ("text", "scoring", "decisions", "flow")
 
 
 def _gathered(name: str) -> dict:
