@@ -13,7 +13,7 @@ from lanternfish import config
 from lanternfish.functions import text as tx
 from lanternfish.operators.components import connected_components
 
-RANK = F.expr("case strength when 'STRONG' then 3 when 'MODERATE' then 2 else 1 end")
+RANK = "case strength when 'STRONG' then 3 when 'MODERATE' then 2 else 1 end"
 
 
 def members(items: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def pair_facts(member: DataFrame, shared: DataFrame, weak: bool = False) -> Data
     pairs = rows.withColumnRenamed("handle", "a").join(other, ["fact_type", "fact_key"]).where("a < b")
     text = F.max(F.col("fact_type") == "TEXT").over(Window.partitionBy("a", "b"))
     pairs = pairs.withColumn("text", text).where("not (text and fact_type = 'TEMPLATE')")
-    best = F.max_by(F.struct("strength", "fact_type"), RANK)
+    best = F.max_by(F.struct("strength", "fact_type"), F.expr(RANK))
     return pairs.groupBy("a", "b", "fact_group").agg(best.alias("x")).select("a", "b", "fact_group", "x.strength", "x.fact_type")
 
 
