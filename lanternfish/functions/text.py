@@ -28,6 +28,11 @@ _LINK = re.compile(LINK, re.I)
 _TRACKING = re.compile(config.TEXT_TRACKING, re.I)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain_link(link: str) -> str:
     """A link without scheme, www., tracking parameters, fragment and closing slashes, in lower case."""
     try:
@@ -80,18 +85,22 @@ def skeleton(norm: Column) -> Column:
     return F.trim(F.regexp_replace(s, r" +", " "))
 
 
-def distinctiveness(norm: Column) -> Column:
+def distinctiveness(norm: Column, template: Column | None = None) -> Column:
     """0 to 100: how far a normalised text is from what anyone might write."""
     phrases = F.array(*map(F.lit, config.GENERIC_PHRASES))
-    plain = F.trim(F.regexp_replace(F.regexp_replace(norm, r"[^\p{L}\p{N}_ ]+", " "), " +", " "))
-    tokens = F.split(plain, " ")
     stop = F.array(*map(F.lit, config.STOP_WORDS))
-    content = F.filter(tokens, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
-    spread = F.least(F.lit(100), 8 * F.size(F.array_distinct(content)) + 2 * (F.size(tokens) - F.size(content)))
-    said = F.size(F.filter(F.array(*[F.lit(p) for p in config.GENERIC_PHRASES if len(p) > 3]), lambda p: F.contains(plain, p)))
-    score = spread - 10 * said + F.when(skeleton(norm).rlike("<(wallet|contact|url)>"), 15).otherwise(0)
-    score = F.when(F.size(tokens) < 4, F.least(score, F.lit(20))).otherwise(score)
-    return F.when((plain == "") | F.array_contains(phrases, plain), 5).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int")
+    placeholder = F.when((skeleton(norm) if template is None else template).rlike("<(wallet|contact|url)>"), 15).otherwise(0)
+
+    def of_plain(plain: Column) -> Column:
+        tokens = F.split(plain, " ")
+        content = F.filter(tokens, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+        spread = F.least(F.lit(100), 8 * F.size(F.array_distinct(content)) + 2 * (F.size(tokens) - F.size(content)))
+        said = F.size(F.filter(F.array(*[F.lit(p) for p in config.GENERIC_PHRASES if len(p) > 3]), lambda p: F.contains(plain, p)))
+        score = spread - 10 * said + placeholder
+        score = F.when(F.size(tokens) < 4, F.least(score, F.lit(20))).otherwise(score)
+        return F.when((plain == "") | F.array_contains(phrases, plain), 5).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)))
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(norm, r"[^\p{L}\p{N}_ ]+", " "), " +", " ")), of_plain).cast("int")
 
 
 def band(score: Column) -> Column:
@@ -103,14 +112,15 @@ def short_hash(text: Column) -> Column:
 
 
 def fingerprints(rows, text: str = "text"):
-    """Rows with norm, exact_hash, norm_hash, template_id, distinctiveness and band of a text column; each step is computed once."""
+    """Rows with norm, skeleton, exact_hash, norm_hash, template_id, distinctiveness and band of a text column; each step is computed once."""
     rows = rows.withColumn("norm", normalized(F.col(text)))
-    rows = rows.withColumn("distinctiveness", distinctiveness(F.col("norm")))
+    rows = rows.withColumn("skeleton", skeleton(F.col("norm")))
+    rows = rows.withColumn("distinctiveness", distinctiveness(F.col("norm"), F.col("skeleton")))
     return rows.withColumns(
         {
             "exact_hash": short_hash(F.coalesce(F.col(text), F.lit(""))),
             "norm_hash": short_hash(F.col("norm")),
-            "template_id": F.concat(F.lit("T-"), F.substring(F.sha2(skeleton(F.col("norm")), 256), 1, 12)),
+            "template_id": F.concat(F.lit("T-"), F.substring(F.sha2("skeleton", 256), 1, 12)),
             "band": band(F.col("distinctiveness")),
         }
     )
@@ -118,9 +128,11 @@ def fingerprints(rows, text: str = "text"):
 
 def shingles(norm: Column, k: int = 3) -> Column:
     """The distinct runs of k words; a shorter text is one run, an empty one has none."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.expr("array()").cast("array<string>"))
+    def runs(words: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(F.size(words) > 0, F.array_distinct(every)).otherwise(F.expr("array()").cast("array<string>"))
+
+    return let(F.filter(F.split(norm, " "), lambda w: w != ""), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
