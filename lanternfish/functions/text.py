@@ -87,18 +87,16 @@ def skeleton(norm: Column) -> Column:
 
 def distinctiveness(norm: Column, template: Column | None = None) -> Column:
     """0 to 100: how far a normalised text is from what anyone might write."""
-    phrases = F.array(*map(F.lit, config.GENERIC_PHRASES))
-    stop = F.array(*map(F.lit, config.STOP_WORDS))
     placeholder = F.when((skeleton(norm) if template is None else template).rlike("<(wallet|contact|url)>"), 15).otherwise(0)
 
     def of_plain(plain: Column) -> Column:
         tokens = F.split(plain, " ")
-        content = F.filter(tokens, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
-        spread = F.least(F.lit(100), 8 * F.size(F.array_distinct(content)) + 2 * (F.size(tokens) - F.size(content)))
+        counts = let(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*config.STOP_WORDS)), lambda c: 8 * F.size(F.array_distinct(c)) - 2 * F.size(c))
+        spread = F.least(F.lit(100), counts + 2 * F.size(tokens))
         said = F.size(F.filter(F.array(*[F.lit(p) for p in config.GENERIC_PHRASES if len(p) > 3]), lambda p: F.contains(plain, p)))
         score = spread - 10 * said + placeholder
         score = F.when(F.size(tokens) < 4, F.least(score, F.lit(20))).otherwise(score)
-        return F.when((plain == "") | F.array_contains(phrases, plain), 5).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)))
+        return F.when((plain == "") | plain.isin(*config.GENERIC_PHRASES), 5).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)))
 
     return let(F.trim(F.regexp_replace(F.regexp_replace(norm, r"[^\p{L}\p{N}_ ]+", " "), " +", " ")), of_plain).cast("int")
 
