@@ -100,3 +100,35 @@ def stratified_folds(labels: list[int], k: int = 5, seed: int = 7) -> list[int]:
 def active(labels: list[int]) -> bool:
     """Whether there are answers enough to use a model."""
     return sum(labels) >= MIN_BLOCKS and len(labels) - sum(labels) >= MIN_KEEPS
+
+
+def cross_validated(rows: list[Iterable[str]], labels: list[int], protected: list[bool], k: int = 5) -> list[tuple[int, float, bool]]:
+    """Nested folds: (fold, score, flagged) of each row by a model and a threshold of the other folds alone.
+
+    The threshold of a fold comes from leave-one-out scores within the other folds, so that no row is scored by a model that saw it.
+    """
+    folds, out = stratified_folds(labels, k), [(0, 0.0, False)] * len(rows)
+
+    def score(train: list[int], i: int) -> float:
+        weights, bias = fit([rows[j] for j in train], [labels[j] for j in train], sorted({f for j in train for f in rows[j]}))
+        return float(sigmoid(bias + sum(weights.get(f, 0.0) for f in rows[i])))
+
+    for fold in sorted(set(folds)):
+        train = [i for i, f in enumerate(folds) if f != fold]
+        inner = {i: score([j for j in train if j != i], i) for i in train}
+        top = max((s for i, s in inner.items() if not labels[i] or protected[i]), default=0.5)
+        above = [s for i, s in inner.items() if labels[i] and s > top]
+        limit = (top + min(above)) / 2 if above and min(above) - top > 2 * MARGIN else min(0.999, top + MARGIN)
+        for i in (i for i, f in enumerate(folds) if f == fold):
+            s = score(train, i)
+            out[i] = (fold, s, s >= round(limit, 4))
+    return out
+
+
+def backtest(predictions: DataFrame, by: str) -> DataFrame:
+    """predictions (tier, flagged, label, human) per tier: recall on blocks, false positives on keeps and on accounts labelled human."""
+    keep, block = F.col("label") == 0, F.col("label") == 1
+    rows = predictions.groupBy(by).agg(
+        F.count_if(block).alias("n_blocks"), F.count_if(block & F.col("flagged")).alias("n_caught"), F.count_if(keep & F.col("flagged")).alias("n_false"), F.count_if(F.col("human") & F.col("flagged")).alias("n_false_human")
+    )
+    return rows.withColumn("recall", F.when(F.col("n_blocks") > 0, F.bround(F.col("n_caught") / F.col("n_blocks"), 4)))

@@ -208,3 +208,29 @@ def test_stream_equals_batch(spark, tmp_path):
     scout = scouting.Scout(spark, str(tmp_path / "taken"))
     scout.start(stream, str(tmp_path / "checkpoint")).awaitTermination(60)
     assert scout.accepted().count() == 20
+
+
+def test_schema(spark):
+    from lanternfish.functions import schema
+
+    rules = {"type": "object", "required": ["handle"], "properties": {"handle": {"type": "string", "pattern": "^[a-z]+$"}, "n": {"anyOf": [{"const": "UNKNOWN"}, {"type": "integer", "minimum": 0}]}, "xs": {"type": "array", "items": {"$ref": "#/defs/x"}}}, "defs": {"x": {"enum": ["a"]}}}
+    docs = ['{"handle": "ok", "n": 3, "xs": ["a"], "more": 1}', '{"handle": "NO", "n": -1, "xs": ["b"]}', "{", None, '{"n": true}']
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").select("i", schema.checked(F.col("d"), rules).alias("p")).orderBy("i").collect()
+    assert [len(r["p"]) for r in rows] == [0, 3, 1, 0, 2]
+
+
+def test_cross_validation_keeps_folds_apart():
+    rows, labels = [["S005", "I003"], ["S004"], ["H003"], ["A002"]] * 6, [1, 1, 0, 0] * 6
+    out = model.cross_validated(rows, labels, [False] * 24)
+    assert all(not flagged for (_, _, flagged), y in zip(out, labels, strict=True) if not y) and sum(f for _, _, f in out) > 0
+
+
+def test_policy(spark):
+    from lanternfish.operators import review
+
+    inst = spark.createDataFrame([("a", 1, "I001", "me", "PRIZE"), ("a", 2, "I001", "me", "CLAIM_TO_BE"), ("a", 3, "S005", None, None)], "handle string, pos long, feature_id string, identity string, rule string")
+    off = spark.createDataFrame([], "identity string, rule string")
+    assert [r["feature_id"] for r in review.regraded(inst, off).orderBy("pos").collect()] == ["I001", "S005", "I002"]
+    on = spark.createDataFrame([("me", "PRIZE")], "identity string, rule string")
+    assert {r["feature_id"] for r in review.regraded(inst, on).collect()} == {"I001", "S005"}
+    assert review.rule_change_problems(3, 2, True, True, True, False) == []
