@@ -9,6 +9,7 @@ indexed, a filter on doc_id reads the pages of those documents alone.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ OPTIONS = {
 CACHE = 600_000
 
 
+#: ASCII punctuation that, in a row behind letters, is a pre-token of its own; an apostrophe may begin another.
+MARKS = string.punctuation.replace("'", "")
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,7 +48,7 @@ class Encoder:
     """Ids of texts as bytes, by a vocabulary file whose pre-tokens never reach over a space or a line feed.
 
     A text is cut at these and each distinct piece is encoded once; the pieces' ids, joined, are the text's. A piece of
-    letters before one full stop or comma is the ids of its two pre-tokens, and a word of Latin letters goes straight to
+    letters before ASCII punctuation is the ids of its two pre-tokens, and a word of Latin letters goes straight to
     the vocabulary's model, whose own rules before it would leave the word as it is. Texts are lower-cased first, as the
     vocabulary does itself, but for those where that isn't the same before its other rules. `whole` makes it encode whole
     texts instead, which suits any vocabulary. Pieces not met for long leave memory and are encoded again if they return.
@@ -56,20 +61,20 @@ class Encoder:
         self.tokenizer, self.whole, self.letters = Tokenizer.from_file(vocabulary), whole, _byte_letters()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.kept) > CACHE:
-            self.kept, self.older = {}, self.kept
-        kept, older, model, rest = self.kept, self.older, self.tokenizer.model, []
-        stops = dict(zip(".,", self._encoded([".", ","]), strict=True))
+            self.kept, self.older, self.tails = {}, self.kept, {}
+        kept, older, tails, model, rest = self.kept, self.older, self.tails, self.tokenizer.model, []
         for piece in pieces:
             ids = older.get(piece)
             if ids is None:
-                stop = stops.get(piece[-1:], b"")
-                core = piece[:-1] if stop else piece
+                core = piece.rstrip(MARKS)
+                tail = piece[len(core) :]
                 if not core.isalpha() or max(core) > "\u024f" or core != core.lower():
                     rest.append(piece)
                     continue
@@ -77,7 +82,10 @@ class Encoder:
                 if ids is None:
                     letters = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
                     ids = kept[core] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-                ids += stop
+                if tail:
+                    if tail not in tails:
+                        tails[tail] = self._encoded([tail])[0]
+                    ids += tails[tail]
             kept[piece] = ids
         kept.update(zip(rest, self._encoded(rest), strict=True))
 
