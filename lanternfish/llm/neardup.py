@@ -2,9 +2,10 @@
 
 Documents with the same multiset of shingles are one text. Each distinct text has a signature, whose bands put it into
 buckets. In each bucket the texts are compared with the bucket's leader, the text of least hash, which is the same in most
-buckets of a group; so a group of k near copies costs about k comparisons. Where a bucket still holds texts of more than
-one class after that, all pairs of texts of different classes in it are compared too, in blocks of BLOCK by BLOCK texts that
-any number of tasks share. So every pair of a bucket is compared or already connected, and no bucket is cut short.
+buckets of a group; so a group of k near copies costs about k comparisons. In buckets that still hold more than one class, each
+text is compared with the text of another class whose signature is most like its own. Where there is more than one class even then,
+all pairs of texts of different classes are compared, in blocks of BLOCK by BLOCK texts that any number of tasks share. So
+every pair of a bucket is compared or already connected, and no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from lanternfish.operators.components import connected_components
 
 THRESHOLD = 0.8
 #: Texts of a side of a block in which all pairs of texts of different classes are compared.
-BLOCK = 256
+BLOCK = 1_024
 
 
 def content_ids(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
@@ -74,7 +75,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             columns = [pa.array(content_ids(*sets, len(texts))), pa.array([x.tobytes() for x in tagged(texts, words)], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["content", "members", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
     found = rows.mapInArrow(members, "content long, members binary, low binary")
     return found.join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("members").alias("members"), F.first("low").alias("low"))
 
@@ -98,44 +99,77 @@ def _alike(low: np.ndarray, row: np.ndarray, threshold: float) -> np.ndarray:
     return (low == row).sum(axis=1) >= low.shape[1] * (threshold - 5 * (threshold * (1 - threshold) / low.shape[1]) ** 0.5)
 
 
-def _linked_blocks(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between texts of different classes in a bucket: buckets has band, content, component.
-
-    The texts of a bucket are dealt to slots by hash, and each pair of slots is a cell of its own. At first a cell sees signatures
-    alone; the texts that may have a partner in it go on with their shingles. Two classes need one link, so a cell stops
-    comparing them at the first.
-    """
+def _cells(buckets: DataFrame, sets: DataFrame):
+    """Open buckets (nth, band, content, component) cut into cells: its texts are dealt to slots by hash, and each pair of slots is a cell."""
     sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
     rows = buckets.join(sizes, "band").withColumn("slot", F.pmod(F.xxhash64("content"), F.col("slots")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
-    rows = rows.withColumn("cell", F.explode(other)).select("band", "cell.i", "cell.j", "slot", "content", "component")
+    rows = rows.withColumn("cell", F.explode(other)).select("nth", "band", "cell.i", "cell.j", "slot", "content", "component")
+    return rows.join(sets.select("content", "low"), "content").groupBy("band", "i", "j")
+
+
+def _columns(table, *names):
+    return [np.asarray(table.column(n)) for n in names]
+
+
+def _low(table):
+    return np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
-    def columns(table, *names):
-        return [np.asarray(table.column(n)) for n in names]
+
+def _best_pairs(cells, threshold: float) -> DataFrame:
+    """For each text of a cell the text of another class whose signature is most like its own, if they may have the similarity."""
+
+    def best(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        slot, content, component = _columns(table, "slot", "content", "component")
+        low, pairs = _low(table), set()
+        for one, two in {(i, j), (j, i)}:
+            right = np.flatnonzero(slot == two)
+            for x in np.flatnonzero(slot == one):
+                others = right[component[right] != component[x]]
+                if len(others):
+                    same = (low[others] == low[x]).sum(axis=1)
+                    y = others[same.argmax()]
+                    if _alike(low[y : y + 1], low[x], threshold)[0]:
+                        pairs.add((min(content[x], content[y]), max(content[x], content[y])))
+        pairs = sorted(pairs)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return cells.applyInArrow(best, "a long, b long").distinct()
+
+
+def _linked_rest(cells, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between all texts of different classes in a cell that may have the similarity.
+
+    A pair is looked at in the first band that it shares. Texts that have such a pair in a cell go on with their shingles. Two classes
+    need one link, so a cell stops comparing them at the first.
+    """
+
+    def partners_of(x, right, component, low, nth):
+        may = right[(component[right] != component[x]) & _alike(low[right], low[x], threshold)]
+        earlier = (low[may] == low[x]).reshape(len(may), bagminhash.BANDS, bagminhash.ROWS).all(axis=2)[:, :nth].any(axis=1)
+        return may[~earlier]
 
     def partners(key, table):
         band, i, j = (k.as_py() for k in key)
-        slot, content, component = columns(table, "slot", "content", "component")
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(slot), -1)
-        right = np.flatnonzero(slot == j)
-        seen = np.zeros(len(slot), bool)
+        slot, content, component, nth = _columns(table, "slot", "content", "component", "nth")
+        low, right, seen = _low(table), np.flatnonzero(slot == j), np.zeros(len(slot), bool)
         for x in np.flatnonzero(slot == i):
-            may = right[(component[right] != component[x]) & _alike(low[right], low[x], threshold)]
+            may = partners_of(x, right, component, low, nth[0])
             seen[may] = True
             seen[x] |= len(may) > 0
         at = np.flatnonzero(seen)
         same = lambda v, kind: pa.array(np.full(len(at), v, kind))
-        return pa.table({"band": same(band, np.int64), "i": same(i, np.int32), "j": same(j, np.int32), "slot": pa.array(slot[at]), "content": pa.array(content[at]), "component": pa.array(component[at])})
+        return pa.table({"nth": pa.array(nth[at]), "band": same(band, np.int64), "i": same(i, np.int32), "j": same(j, np.int32), "slot": pa.array(slot[at]), "content": pa.array(content[at]), "component": pa.array(component[at])})
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
-        slot, content, component = columns(table, "slot", "content", "component")
+        slot, content, component, nth = _columns(table, "slot", "content", "component", "nth")
         members = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(slot), -1)
+        low, right = _low(table), np.flatnonzero(slot == j)
         linked, a, b = set(), [], []
-        right = np.flatnonzero(slot == j)
         for x in np.flatnonzero(slot == i):
-            for y in right[(component[right] != component[x]) & _alike(low[right], low[x], threshold)]:
+            for y in partners_of(x, right, component, low, nth[0]):
                 classes = tuple(sorted((component[x], component[y])))
                 if classes not in linked and _overlap(members[x], members[y], threshold):
                     linked.add(classes)
@@ -143,8 +177,7 @@ def _linked_blocks(buckets: DataFrame, sets: DataFrame, threshold: float) -> Dat
                     b.append(content[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = rows.join(sets.select("content", "low"), "content").groupBy("band", "i", "j")
-    rows = rows.applyInArrow(partners, "band long, i int, j int, slot int, content long, component long")
+    rows = cells.applyInArrow(partners, "nth int, band long, i int, j int, slot int, content long, component long")
     return rows.join(sets, "content").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
@@ -161,7 +194,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -
     rows = written(signed(docs, words), "signed")
     texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
     texts = texts.select("content", "x.doc_id", "x.bands")
-    shared = texts.select("content", F.explode("bands").alias("band"))
+    shared = texts.select("content", F.posexplode("bands").alias("nth", "band"))
     leaders = shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(shared.join(leaders, "band"), "buckets")
     wanted = written(buckets.select("content").distinct().join(texts.select("content", "doc_id"), "content"), "wanted")
@@ -170,12 +203,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -
     pairs = buckets.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     links = written(_linked_pairs(pairs, sets, threshold), "links")
     found = written(connected_components(links, cut), "components")
-    placed = buckets.join(found, buckets["content"] == found["node"], "left").select("band", "content", F.coalesce("component", "content").alias("component"))
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = written(placed.join(open_bands, "band"), "open")
-    more = written(_linked_blocks(rest, sets, threshold), "links")
-    if more.limit(1).count():
-        found = written(connected_components(links.unionByName(more), cut), "components")
+
+    def still_open() -> DataFrame:
+        placed = buckets.join(found, buckets["content"] == found["node"], "left").select("nth", "band", "content", F.coalesce("component", "content").alias("component"))
+        bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        return written(placed.join(bands, "band"), "open")
+
+    for last in (False, True):
+        cells = _cells(still_open(), sets)
+        more = _linked_rest(cells, sets, threshold) if last else _linked_pairs(_best_pairs(cells, threshold), sets, threshold)
+        more = written(more, "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            found = written(connected_components(links, cut), "components")
     named = rows.join(found, rows["content"] == found["node"], "left").select("doc_id", F.when(F.col("content") != 0, F.coalesce("component", "content")).alias("label"))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"))
