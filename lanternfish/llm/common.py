@@ -19,9 +19,9 @@ BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Most rows a side may have to be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python operator holds as arrays at a time.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
 #: Bytes of a batch of rows on its way to Python.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
