@@ -99,12 +99,18 @@ def _alike(low: np.ndarray, row: np.ndarray, threshold: float) -> np.ndarray:
     return (low == row).sum(axis=1) >= low.shape[1] * (threshold - 5 * (threshold * (1 - threshold) / low.shape[1]) ** 0.5)
 
 
-def _cells(buckets: DataFrame, sets: DataFrame):
-    """Open buckets (nth, band, content, component) cut into cells: its texts are dealt to slots by hash, and each pair of slots is a cell."""
+def _cells(buckets: DataFrame, sets: DataFrame, bands: bool = True):
+    """Open buckets (nth, band, content, component) cut into cells: its texts are dealt to slots by hash, and each pair of slots is a cell.
+
+    With bands, each row has the hashes of all open buckets of its text by nth, null where that bucket is not open.
+    """
     sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
     rows = buckets.join(sizes, "band").withColumn("slot", F.pmod(F.xxhash64("content"), F.col("slots")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
     rows = rows.withColumn("cell", F.explode(other)).select("nth", "band", "cell.i", "cell.j", "slot", "content", "component")
+    if bands:
+        own = [F.max(F.when(F.col("nth") == k, F.col("band"))) for k in range(bagminhash.BANDS)]
+        rows = rows.join(buckets.groupBy("content").agg(F.array(*own).alias("bands")), "content")
     return rows.join(sets.select("content", "low"), "content").groupBy("band", "i", "j")
 
 
@@ -116,6 +122,13 @@ def _low(table):
     return np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
+def _bands(table):
+    """int64 [texts, BANDS] and where it has no hash."""
+    flat = table.column("bands").combine_chunks().flatten()
+    shape = (table.num_rows, bagminhash.BANDS)
+    return np.asarray(flat.fill_null(0)).reshape(shape), np.asarray(flat.is_null()).reshape(shape)
+
+
 def _best_pairs(cells, threshold: float) -> DataFrame:
     """For each text of a cell the text of another class whose signature is most like its own, if they may have the similarity."""
 
@@ -141,35 +154,37 @@ def _best_pairs(cells, threshold: float) -> DataFrame:
 def _linked_rest(cells, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between all texts of different classes in a cell that may have the similarity.
 
-    A pair is looked at in the first band that it shares. Texts that have such a pair in a cell go on with their shingles. Two classes
-    need one link, so a cell stops comparing them at the first.
+    A pair is looked at in the first band whose bucket it shares, by the hashes that made the buckets: a bucket with texts of two
+    classes is open. Texts that have such a pair in a cell go on with their shingles. Two classes need one link, so a cell
+    stops comparing them at the first.
     """
 
-    def partners_of(x, right, component, low, nth):
+    def partners_of(x, right, component, low, bands, nth):
         may = right[(component[right] != component[x]) & _alike(low[right], low[x], threshold)]
-        earlier = (low[may] == low[x]).reshape(len(may), bagminhash.BANDS, bagminhash.ROWS).all(axis=2)[:, :nth].any(axis=1)
+        hashes, missing = (v[:, :nth] for v in bands)
+        earlier = ((hashes[may] == hashes[x]) & ~missing[may] & ~missing[x]).any(axis=1)
         return may[~earlier]
 
     def partners(key, table):
         band, i, j = (k.as_py() for k in key)
         slot, content, component, nth = _columns(table, "slot", "content", "component", "nth")
-        low, right, seen = _low(table), np.flatnonzero(slot == j), np.zeros(len(slot), bool)
+        low, bands, right, seen = _low(table), _bands(table), np.flatnonzero(slot == j), np.zeros(len(slot), bool)
         for x in np.flatnonzero(slot == i):
-            may = partners_of(x, right, component, low, nth[0])
+            may = partners_of(x, right, component, low, bands, nth[0])
             seen[may] = True
             seen[x] |= len(may) > 0
         at = np.flatnonzero(seen)
         same = lambda v, kind: pa.array(np.full(len(at), v, kind))
-        return pa.table({"nth": pa.array(nth[at]), "band": same(band, np.int64), "i": same(i, np.int32), "j": same(j, np.int32), "slot": pa.array(slot[at]), "content": pa.array(content[at]), "component": pa.array(component[at])})
+        return pa.table({"nth": pa.array(nth[at]), "band": same(band, np.int64), "i": same(i, np.int32), "j": same(j, np.int32), "slot": pa.array(slot[at]), "content": pa.array(content[at]), "component": pa.array(component[at]), "bands": table.column("bands").combine_chunks().take(pa.array(at))})
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         slot, content, component, nth = _columns(table, "slot", "content", "component", "nth")
         members = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
-        low, right = _low(table), np.flatnonzero(slot == j)
+        low, bands, right = _low(table), _bands(table), np.flatnonzero(slot == j)
         linked, a, b = set(), [], []
         for x in np.flatnonzero(slot == i):
-            for y in partners_of(x, right, component, low, nth[0]):
+            for y in partners_of(x, right, component, low, bands, nth[0]):
                 classes = tuple(sorted((component[x], component[y])))
                 if classes not in linked and _overlap(members[x], members[y], threshold):
                     linked.add(classes)
@@ -177,7 +192,7 @@ def _linked_rest(cells, sets: DataFrame, threshold: float) -> DataFrame:
                     b.append(content[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = cells.applyInArrow(partners, "nth int, band long, i int, j int, slot int, content long, component long")
+    rows = cells.applyInArrow(partners, "nth int, band long, i int, j int, slot int, content long, component long, bands array<long>")
     return rows.join(sets, "content").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
@@ -210,7 +225,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -
         return written(placed.join(bands, "band"), "open")
 
     for last in (False, True):
-        cells = _cells(still_open(), sets)
+        cells = _cells(still_open(), sets, bands=last)
         more = _linked_rest(cells, sets, threshold) if last else _linked_pairs(_best_pairs(cells, threshold), sets, threshold)
         more = written(more, "links")
         if more.limit(1).count():

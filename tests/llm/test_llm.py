@@ -225,6 +225,16 @@ def test_near_duplicates(spark):
     assert neardup.classes(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_pair_is_compared_in_the_first_bucket_that_it_shares(spark):
+    """Registers that differ but share their low bytes make different buckets in band 0; the pair is compared in band 1."""
+    members = np.arange(50, dtype=np.uint64).tobytes()
+    low = bytes(range(bagminhash.SIZE))
+    sets = spark.createDataFrame([(c, members, low) for c in (1, 2, 3)], "content long, members binary, low binary")
+    buckets = spark.createDataFrame([(0, 70, 1, 1), (0, 70, 3, 3), (1, 71, 1, 1), (1, 71, 2, 2), (2, 72, 1, 1), (2, 72, 2, 2), (2, 72, 3, 3)], "nth int, band long, content long, component long")
+    links = [tuple(sorted(r)) for r in neardup._linked_rest(neardup._cells(buckets, sets), sets, 0.8).collect()]
+    assert set(links) == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_tokens(spark, tmp_path):
     import zlib
 
