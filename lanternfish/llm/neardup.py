@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm import bagminhash
-from lanternfish.llm.common import bounded_batches, text_runs, written
+from lanternfish.llm.common import WORD, bounded_batches, lowered, text_runs, written
 from lanternfish.llm.shingles import WORDS, mix, multisets, tagged
 from lanternfish.operators.components import connected_components
 
@@ -35,24 +35,30 @@ def content_ids(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts:
     return np.where(bounds[1:] > bounds[:-1], ids | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of rows (doc_id, row_key, text), and their texts as a list."""
     for batch in batches:
-        column = batch.column(1).cast(pa.string())
+        column = batch.column(2).cast(pa.string())
         for a, b in text_runs(column):
-            yield batch.column(0)[a:b], column[a:b].to_pylist()
+            yield batch.slice(a, b - a), column[a:b].to_pylist()
 
 
-def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, content (0 for a text without words) and its bands."""
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, row_key (a hash of the row's columns) and text."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(*columns).alias("row_key"), "text")
+
+
+def signed(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, row_key, content (0 for a text without words) and its bands, of rows (doc_id, row_key, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for run, texts in _texts(batches):
             sets = multisets(texts, words)
             bands = bagminhash.bands(bagminhash.signatures(*sets, len(texts)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(content_ids(*sets, len(texts))), lists], names=["doc_id", "content", "bands"])
+            yield pa.RecordBatch.from_arrays([run.column(0), run.column(1), pa.array(content_ids(*sets, len(texts))), lists], names=["doc_id", "row_key", "content", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, content long, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, row_key long, content long, bands array<long>")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -65,8 +71,13 @@ def _overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return same >= threshold * (len(both) - same)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """content, its set of tagged shingles and the low bytes of its signature, of the documents wanted (doc_id, content)."""
+def _same_row(doc_id, row_key):
+    """Whether a row (doc_id, row_key) is the one named by these columns; null ids are equal."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("row_key") == F.col(row_key))
+
+
+def _sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """content, its set of tagged shingles and the low bytes of its signature, of the rows wanted (doc_id, row_key, content)."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
@@ -75,7 +86,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             columns = [pa.array(content_ids(*sets, len(texts))), pa.array([x.tobytes() for x in tagged(texts, words)], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["content", "members", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
+    asked = wanted.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).hint("shuffle_merge")
+    rows = keyed.join(asked, _same_row("_id", "_key"), "left_semi")
     found = rows.mapInArrow(members, "content long, members binary, low binary")
     return found.join(wanted.select("content"), "content", "left_semi").groupBy("content").agg(F.first("members").alias("members"), F.first("low").alias("low"))
 
@@ -196,24 +208,17 @@ def _linked_rest(cells, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.join(sets, "content").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class).
-
-    docs: doc_id, text; other columns are ignored. Documents are in one class if a chain of pairs with a multiset Jaccard
-    similarity of `words`-word shingles of at least `threshold` joins them, among the pairs that share a band: 42 bands of 6
-    registers miss a pair of similarity 0.8 once in 350,000. A text of fewer words has one shingle of all its words; a null
-    text, or one without words, is a class of its own. Repeated rows are in one class; rows of null doc_id get their class's
-    least doc_id. An empty table gives no rows.
-    """
-    bounded_batches(docs.sparkSession)
-    rows = written(signed(docs, words), "signed")
-    texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
-    texts = texts.select("content", "x.doc_id", "x.bands")
+def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
+    """doc_id, row_key and label (of the row's class; null for a text without words) of each of the rows (doc_id, row_key, text)."""
+    bounded_batches(keyed.sparkSession)
+    rows = written(signed(keyed, words), "signed")
+    texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "row_key", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
+    texts = texts.select("content", "x.doc_id", "x.row_key", "x.bands")
     shared = texts.select("content", F.posexplode("bands").alias("nth", "band"))
     leaders = shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(shared.join(leaders, "band"), "buckets")
-    wanted = written(buckets.select("content").distinct().join(texts.select("content", "doc_id"), "content"), "wanted")
-    sets = written(_sets(docs, wanted, words), "sets")
+    wanted = written(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
+    sets = written(_sets(keyed, wanted, words), "sets")
     cut = lambda df: written(df, "edges")
     pairs = buckets.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     links = written(_linked_pairs(pairs, sets, threshold), "links")
@@ -231,12 +236,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -
         if more.limit(1).count():
             links = links.unionByName(more)
             found = written(connected_components(links, cut), "components")
-    named = rows.join(found, rows["content"] == found["node"], "left").select("doc_id", F.when(F.col("content") != 0, F.coalesce("component", "content")).alias("label"))
+    return rows.join(found, rows["content"] == found["node"], "left").select("doc_id", "row_key", F.when(F.col("content") != 0, F.coalesce("component", "content")).alias("label"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class).
+
+    docs: doc_id, text; other columns are ignored. Documents are in one class if a chain of pairs with a multiset Jaccard
+    similarity of `words`-word shingles of at least `threshold` joins them, among the pairs that share a band: 42 bands of 6
+    registers miss a pair of similarity 0.8 once in 350,000. A text of fewer words has one shingle of all its words; a null
+    text, or one without words, is a class of its own. Repeated rows are in one class; rows of null doc_id get their class's
+    least doc_id, null if all of its ids are. Rows of one doc_id with different texts are different documents. An empty
+    table gives no rows.
+    """
+    named = _labelled(_keyed(docs, "doc_id", "text"), threshold, words)
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(least, "label", "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """The documents' own rows, one of each class: that of least doc_id."""
-    kept = classes(docs, threshold, words).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The documents' own rows, one of each class: that of least doc_id, nulls last; of several such rows, that of least hash.
+
+    Classes are of texts, whatever the ids: rows of null or repeated doc_id are dropped only for another row of their class.
+    Rows whose text is null or without words are all kept.
+    """
+    columns = docs.columns
+    named = _labelled(_keyed(docs, *columns), threshold, words).where("label is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("x")
+    kept = named.groupBy("label").agg(first).select(F.col("x.doc_id").alias("_id"), F.col("x.row_key").alias("_key"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*columns).alias("row_key"))
+    some = F.coalesce(lowered(F.col("row.text")), F.lit("")).rlike(WORD)
+    best = rows.where(some).join(kept, _same_row("_id", "_key"), "left_semi").dropDuplicates(["doc_id", "row_key"])
+    return best.unionByName(rows.where(~some)).select("row.*")

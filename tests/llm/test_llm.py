@@ -235,6 +235,21 @@ def test_pair_is_compared_in_the_first_bucket_that_it_shares(spark):
     assert set(links) == {(1, 2), (1, 3), (2, 3)}
 
 
+def test_deduplicated_keeps_a_row_of_each_class_whatever_the_ids(spark):
+    """Null and repeated doc_ids: only rows of a kept row's class go, and rows without words stay."""
+    rng = np.random.default_rng(6)
+    a, b, c, d = (" ".join(f"w{i}" for i in rng.integers(0, 500, 120)) for _ in range(4))
+    near = lambda t: t + " end"
+    texts = [(None, a), (None, near(a)), (None, b), (None, None), (None, None), (None, "!!"), (7, c), (7, near(d)), (8, d), (7, c), (9, None), (None, d), (None, "one two"), (None, "three four")]
+    rows = spark.createDataFrame([(i, t, "en", f"s{n % 3}", n % 2, "k", 1.0) for n, (i, t) in enumerate(texts)], DOC)
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicated(rows).collect()), key=repr)
+    one_of_a = [r for r in got if r[1] in (a, near(a))]
+    assert len(one_of_a) == 1
+    want = [*one_of_a, (None, b), (None, None), (None, None), (None, "!!"), (7, c), (7, near(d)), (9, None), (None, "one two"), (None, "three four")]
+    assert got == sorted(want, key=repr)
+    assert got == sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicated(rows.repartition(7, "source")).collect()), key=repr)
+
+
 def test_tokens(spark, tmp_path):
     import zlib
 
