@@ -234,3 +234,39 @@ def test_policy(spark):
     on = spark.createDataFrame([("me", "PRIZE")], "identity string, rule string")
     assert {r["feature_id"] for r in review.regraded(inst, on).collect()} == {"I001", "S005"}
     assert review.rule_change_problems(3, 2, True, True, True, False) == []
+
+
+def test_near_duplicates_of_all_documents(spark):
+    """Every pair of documents that near_duplicate of the reference takes has a row or the same first document."""
+    import random
+
+    from lanternfish.operators import neartexts
+    from lanternfish.sources.shared import written
+
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for k in range(6):
+            changed = [*base]
+            for _ in range(k % 4):
+                changed[rng.randrange(60)] = f"n{rng.randrange(99)}"
+            texts.append(" ".join(changed))
+    rng.shuffle(texts)
+    texts += ["a very common line"] * 5 + ["A very  common line", None, "", " ", "one two", "one two three", "a b a b a b a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def runs(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+    sets = [runs(t) for t in texts]
+    first = [sets.index(s) for s in sets]
+    want = {(f, i, 1.0) for i, f in enumerate(first) if f != i and sets[i]}
+    for i in sorted(set(first)):
+        for k in sorted(set(first)):
+            if i < k and sets[i] and sets[k] and (j := len(sets[i] & sets[k]) / len(sets[i] | sets[k])) >= 0.8:
+                want.add((i, k, round(j, 3)))
+    got = [tuple(r) for r in neartexts.near_duplicates(rows, written).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(k - i > 1 and i % 2 for i, k, j in want if j < 1)
