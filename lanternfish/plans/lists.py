@@ -13,6 +13,9 @@ from lanternfish.sources.tables import table
 
 QUERIES, ORACLE_SQL, query = registry()
 
+#: Most orders that stand for an owner's answers when a model is fitted.
+TRAINING_ROWS = 120
+
 
 @query("select page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as n_links, list_sort(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))[1] as first_link from pages")
 def link_extract(spark, sf_dir):
@@ -66,9 +69,9 @@ def list_ingest(spark, sf_dir):
     return lists.ingested(old, new, allowed).select("seq", "handle", "result")
 
 
-def _training(spark, sf_dir):
-    """The first 120 orders as an owner's answers: the features are the lines' ids, the label the order's parity."""
-    first = table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(120).select(F.concat(F.lit("o"), "o_orderkey").alias("handle"), (F.col("o_orderkey") % 3 > 0).cast("int").alias("label"))
+def _training(spark, sf_dir, rows: int = TRAINING_ROWS):
+    """TRAINING_ROWS orders, by a hash of the key, as an owner's answers: the features are the lines' ids, the label the order's parity."""
+    first = table(spark, sf_dir, "orders").orderBy(F.xxhash64("o_orderkey"), "o_orderkey").limit(rows).select(F.concat(F.lit("o"), "o_orderkey").alias("handle"), (F.col("o_orderkey") % 3 > 0).cast("int").alias("label"))
     found = instances(spark, sf_dir).join(F.broadcast(first.select("handle")), "handle").groupBy("handle").agg(F.array_sort(F.collect_set("feature_id")).alias("features"))
     return first.join(found, "handle", "left").select("handle", "label", F.coalesce("features", F.expr("array()").cast("array<string>")).alias("features"))
 

@@ -270,3 +270,13 @@ def test_near_duplicates_of_all_documents(spark):
     got = [tuple(r) for r in neartexts.near_duplicates(rows, written).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(k - i > 1 and i % 2 for i, k, j in want if j < 1)
+
+
+def test_training_rows_are_bounded_and_not_a_prefix_of_the_key(spark):
+    from lanternfish.plans import lists as plans
+
+    sf = "/root/testdata/sf0.001"
+    keys = sorted(r["o_orderkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
+    taken = [int(r["handle"][1:]) for r in plans._training(spark, sf).collect()]
+    assert len(taken) == plans.TRAINING_ROWS and max(taken) > keys[len(keys) // 2]
+    assert len(plans._training(spark, sf, 30).collect()) == 30
