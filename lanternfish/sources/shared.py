@@ -11,8 +11,16 @@ _own: dict[int, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local folder stands in only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(id(spark.sparkContext), tempfile.mkdtemp(prefix="shared-"))
+    """A new path below spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine gets a folder there; any other raises, as its machines share no such folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own.setdefault(id(spark.sparkContext), "") or tempfile.mkdtemp(prefix="shared-")
+        _own[id(spark.sparkContext)] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
