@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternfish.sources.shared import shared_path
+
 #: A word of lower-cased text: neither ASCII punctuation, nor white space, nor an ASCII control character.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same as a table for bytes.translate: A-Z lower-cased, what separates words made a space.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Most rows a side may have to be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Most bytes that it may have.
+BROADCAST_BYTES = 64_000_000
 #: Bytes of text that a Python operator holds as arrays at a time.
 RUN_BYTES = 2_000_000
 #: Bytes of a batch of rows on its way to Python.
@@ -43,18 +45,9 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_folder", None)
-    if not base:
-        base = spark._own_shared_folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a new table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for a new table in the folder that driver and executors share."""
+    return shared_path(spark, name)
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -64,9 +57,16 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the side has no more than so many rows, and no more than about so many bytes (of its columns as JSON)."""
+    whole = F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("size")
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), whole).first()
+    return seen["n"] <= rows and (seen["size"] or 0) <= size
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it has no more than so many rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """The side with a broadcast hint if its rows and bytes are few, else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def text_runs(texts: pa.Array, most: int = 20_000) -> Iterator[tuple[int, int]]:

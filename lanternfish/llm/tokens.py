@@ -8,6 +8,7 @@ indexed, a filter on doc_id reads the pages of those documents alone.
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import zlib
@@ -44,21 +45,46 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+#: The rules before the model under which a text may be cut at spaces and line feeds: composed characters, white space made one
+#: space, lower case; pre-tokens are contractions, runs of letters, single digits and runs of other marks, never white space.
+CUTTABLE_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTTABLE_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuttable(vocabulary: str) -> bool:
+    """Whether the vocabulary file's own rules prove that a text's ids are those of its pieces between spaces and line feeds.
+
+    They do if white space never gets into a pre-token and every pre-token goes to a plain BPE model by itself. Any other file
+    is encoded whole.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        rules = json.load(file)
+    model = rules.get("model") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+    return plain and rules.get("normalizer") == CUTTABLE_NORMALIZER and rules.get("pre_tokenizer") == CUTTABLE_PRE_TOKENIZER
+
+
 class Encoder:
-    """Ids of texts as bytes, by a vocabulary file whose pre-tokens never reach over a space or a line feed.
+    """Ids of texts as bytes, by any vocabulary file of the tokenizers library.
 
-    A text is cut at these and each distinct piece is encoded once; the pieces' ids, joined, are the text's. A piece of
-    letters before ASCII punctuation is the ids of its two pre-tokens, and a word of Latin letters goes straight to
-    the vocabulary's model, whose own rules before it would leave the word as it is. Texts are lower-cased first, as the
-    vocabulary does itself, but for those where that isn't the same before its other rules. `whole` makes it encode whole
-    texts instead, which suits any vocabulary. Pieces not met for long leave memory and are encoded again if they return.
+    With a cuttable file, a text is cut at spaces and line feeds and each distinct piece is encoded once; the pieces' ids,
+    joined, are the text's. A piece of letters before ASCII punctuation is the ids of its two pre-tokens, and a word of Latin
+    letters goes straight to the vocabulary's model, whose own rules before it would leave the word as it is. Texts are
+    lower-cased first, as the vocabulary does itself, but for those where that isn't the same before its other rules. Any
+    other file, or `whole`, encodes whole texts. Pieces not met for long leave memory and are encoded again if they return.
     """
 
     def __init__(self, vocabulary: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.letters = Tokenizer.from_file(vocabulary), whole, _byte_letters()
+        self.tokenizer, self.whole, self.letters = Tokenizer.from_file(vocabulary), whole or not cuttable(vocabulary), _byte_letters()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -108,7 +134,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
 
     docs: doc_id, text; other columns are ignored. A null or empty text has the end id alone, a very long one is encoded
     whole; repeated rows are documents of their own; rows of null doc_id come first; an empty table gives no rows. The texts
-    are dealt out by ranges of doc_id (ties by text), so that parts are in order and any number of tasks write them.
+    are dealt out by ranges of doc_id and a hash of the text, so that parts are in order, rows of one doc_id (null, too) may
+    go to many tasks, and the sample that finds the ranges brings no text to the driver.
     """
     bounded_batches(docs.sparkSession)
     end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
@@ -128,8 +155,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
                 )
                 start += int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("text_hash"))
+    ordered = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
     ordered.mapInArrow(encode, SCHEMA).write.options(**OPTIONS).parquet(path)
 
 
