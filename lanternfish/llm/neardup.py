@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm import bagminhash
-from lanternfish.llm.common import WORD, bounded_batches, lowered, text_runs, written
+from lanternfish.llm.common import WORD, bounded_batches, lowered, small, text_runs, written
 from lanternfish.llm.shingles import WORDS, mix, multisets, tagged
 from lanternfish.operators.components import connected_components
 
@@ -107,17 +107,30 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
 
 
 def _alike(low: np.ndarray, row: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether texts may have the similarity, by the low bytes of their signatures; wrong once in a million."""
+    """Whether texts may have the similarity, by the low bytes of their signatures: at five standard errors, wrong once in a million."""
     return (low == row).sum(axis=1) >= low.shape[1] * (threshold - 5 * (threshold * (1 - threshold) / low.shape[1]) ** 0.5)
 
 
+def _by_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """rows (band, content and others) joined with bands (band, n, others), where no task gets a whole large bucket.
+
+    Buckets of more than BLOCK texts, which are at most one row in BLOCK, are named to the rows first (by broadcast if they
+    are few); their rows are then dealt to slots by hash, and the band's own row goes to each of its slots.
+    """
+    large = bands.where(F.col("n") > BLOCK).select(F.col("band").alias("_band"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_slots"))
+    dealt = rows.join(small(large), F.col("band") == F.col("_band"), "left").withColumn("_slot", F.coalesce(F.pmod(F.xxhash64("content"), F.col("_slots")), F.lit(0)).cast("int")).drop("_band", "_slots")
+    slots = F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)
+    return dealt.join(bands.withColumn("_slot", F.explode(slots)), ["band", "_slot"]).drop("_slot", "n")
+
+
 def _cells(buckets: DataFrame, sets: DataFrame, bands: bool = True):
     """Open buckets (nth, band, content, component) cut into cells: its texts are dealt to slots by hash, and each pair of slots is a cell.
 
     With bands, each row has the hashes of all open buckets of its text by nth, null where that bucket is not open.
     """
-    sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
-    rows = buckets.join(sizes, "band").withColumn("slot", F.pmod(F.xxhash64("content"), F.col("slots")).cast("int"))
+    large = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots")).where("slots > 1")
+    rows = buckets.join(small(written(large, "large")), "band", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("content"), F.col("slots")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
     rows = rows.withColumn("cell", F.explode(other)).select("nth", "band", "cell.i", "cell.j", "slot", "content", "component")
     if bands:
@@ -215,8 +228,8 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "row_key", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
     texts = texts.select("content", "x.doc_id", "x.row_key", "x.bands")
     shared = texts.select("content", F.posexplode("bands").alias("nth", "band"))
-    leaders = shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(shared.join(leaders, "band"), "buckets")
+    leaders = written(shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    buckets = written(_by_band(shared, leaders), "buckets")
     wanted = written(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
     sets = written(_sets(keyed, wanted, words), "sets")
     cut = lambda df: written(df, "edges")
@@ -226,8 +239,8 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
 
     def still_open() -> DataFrame:
         placed = buckets.join(found, buckets["content"] == found["node"], "left").select("nth", "band", "content", F.coalesce("component", "content").alias("component"))
-        bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        return written(placed.join(bands, "band"), "open")
+        bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
+        return written(_by_band(placed, written(bands, "bands")), "open")
 
     for last in (False, True):
         cells = _cells(still_open(), sets, bands=last)
