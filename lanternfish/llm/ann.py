@@ -2,29 +2,38 @@
 
 A vector's hash string in a tree is 64 signs of random projections, the first bit first. Vectors are scaled by the greatest
 norm and get one more component that makes their norms equal, queries get 0 there; so the nearest by angle are those of the
-largest inner product. The forest is cut into blocks of BLOCK vectors; a block holds, for each tree, its hash strings in
-sorted order. In a sorted array, the vectors that share the first x bits with a query are one range, found by bisection.
-
-A search first descends in all trees to the longest prefixes and counts, level by level, how many vectors share them; these
-counts are added up over blocks. Then it ascends in all trees at once until a query's prefixes hold `candidates` vectors, and
-scores all of those in double precision. How many are needed for the wished recall is measured, on a bounded number of queries,
-against brute force over all vectors. Copies of a vector are one entry with their 21 (k + 1) least ids, which are all that
-a result of 20 can show.
+largest inner product. A tree is one array sorted by hash string, cut into parts at bounds that a bounded sample of vectors
+gives; the vectors that share the first x bits with a query are one range of it.
+
+A search descends in all trees to the longest prefixes and then ascends in all of them at once, a bit at a time, until
+the query's ranges hold about `candidates` vectors, as counted on the sample. Only the parts that a range reaches get the
+query. A part is sorted in its task, ranges are found by bisection, and their vectors are scored with 16-bit components; the
+best of all trees are then scored in double precision with the vectors themselves. How many candidates are needed for the
+wished recall is measured, on a bounded number of queries, against brute force over all vectors. Each vector goes to one part
+per tree, whatever the number of queries, so the index's shuffle is in proportion to it. Where vectors have clusters, the
+ranges are a small part of them; where they have no structure at all, recall itself demands a fixed share of all vectors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import written
+from lanternfish.llm.common import small, written
 
 TREES, BITS, SEED = 16, 64, 20240607
-#: Vectors of a block and queries of a block.
-BLOCK, QUERIES = 4_096, 1_024
-#: Queries measured against brute force, and the recall that the number of candidates must reach on them.
+#: Vectors that a part has on average, and those beyond which the part of one hash string is cut by another hash.
+PART, LARGEST = 16_384, 262_144
+#: Queries of a part that one task takes; the part's vectors go to as many tasks as it has such lots.
+QUERIES = 4_096
+#: Vectors of each length, about, that bounds and counts of prefixes are taken from.
+SAMPLE = 32_768
+#: Queries of each length measured against brute force, and the recall that the number of candidates must reach on them.
 MEASURED, RECALL = 100, 0.96
 
 
@@ -38,186 +47,261 @@ def _codes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits, axis=3).reshape(len(x), TREES, 8)).view(">u8")[:, :, 0].T.astype(np.uint64)
 
 
-def _ranges(sorted_codes: np.ndarray, codes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the range of a tree that shares its first `level` bits."""
+def _entry_codes(x: np.ndarray, norm: float) -> np.ndarray:
+    rest = np.sqrt(np.maximum(0, 1 - ((x / norm) ** 2).sum(axis=1)))
+    return _codes(np.hstack([x / norm, rest[:, None]]))
+
+
+def _query_codes(x: np.ndarray) -> np.ndarray:
+    return _codes(np.hstack([x / np.sqrt((x**2).sum(axis=1, keepdims=True)), np.zeros((len(x), 1))]))
+
+
+def _range(codes: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest hash string that shares the first `level` bits."""
+    level = np.broadcast_to(np.asarray(level), codes.shape)
     free = np.where(level > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(level, 63).astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
     free = np.where(level >= BITS, np.uint64(0), free)
-    low = codes & ~free
-    return np.searchsorted(sorted_codes, low, "left"), np.searchsorted(sorted_codes, low | free, "right")
+    return codes & ~free, codes | free
 
 
-class Block:
-    """A block's row: its vectors and, per tree, sorted hash strings and the order that sorts them."""
-
-    def __init__(self, row: dict, size: int):
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(self.ids), size)
-        self.codes = np.frombuffer(row["codes"], np.uint64).reshape(TREES, len(self.ids))
-        self.order = np.frombuffer(row["order"], np.int32).reshape(TREES, len(self.ids))
+def _by_size(batch: pa.RecordBatch, names: tuple[str, str] = ("key", "vector")) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Keys and vectors of a batch, those of one length together."""
+    keys, vectors = np.asarray(batch.column(names[0])), batch.column(names[1])
+    starts, flat = np.asarray(vectors.offsets), np.asarray(vectors.values)
+    sizes = np.diff(starts)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        yield int(size), keys[rows], flat[starts[rows][:, None] + np.arange(size)[None, :]]
 
 
 def usable(vectors: DataFrame, id_name: str = "vec_id") -> DataFrame:
-    """id and vector (array of double) of the rows that take part.
+    """id, vector (array of double) and key (a hash of the vector) of the rows that take part.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows of null id and vectors
-    of another length than the longest.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows of null id.
     """
     rows = vectors.select(F.col(id_name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("id is not null and size(vector) > 0")
     good = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    return rows.where(good)
+    return rows.where(good).withColumn("key", F.xxhash64("vector"))
+
+
+@dataclass
+class Tree:
+    """Sorted arrays of the vectors of one length: sample codes by tree, and per tree the bounds of its parts, their first number and cuts."""
+
+    norm: float
+    count: int
+    sample: np.ndarray
+    bounds: list[np.ndarray]
+    first: list[np.ndarray]
+    cuts: list[np.ndarray]
+
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        """float [rows, BITS + 1]: about how many vectors, over all trees, share 0, 1, ... 64 bits; codes: [trees, rows]."""
+        out = np.zeros((codes.shape[1], BITS + 1))
+        for level in range(BITS + 1):
+            for tree in range(TREES):
+                low, high = _range(codes[tree], level)
+                out[:, level] += np.searchsorted(self.sample[tree], high, "right") - np.searchsorted(self.sample[tree], low, "left")
+            if not out[:, level].any():
+                break
+        return out * (self.count / max(1, self.sample.shape[1]))
+
+
+def _levels(counts: np.ndarray, budget: float) -> np.ndarray:
+    """The longest prefix that about `budget` vectors share, over all trees; 0 if there are not so many."""
+    return np.maximum(0, (counts >= budget).sum(axis=1) - 1)
 
 
 class Forest:
-    """The written index of all usable vectors."""
+    """The index of all usable vectors: written entries (distinct vectors with their ids) and, per length of vectors, its trees."""
 
     def __init__(self, vectors: DataFrame, k: int = 20):
         self.spark, self.k = vectors.sparkSession, k
         rows = usable(vectors)
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
-        stats = rows.agg(F.max(F.size("vector")).alias("size"), F.max(norm).alias("norm")).first()
-        self.size, self.norm = stats["size"] or 1, stats["norm"] or 1.0
-        rows = rows.where(F.size("vector") == self.size).withColumn("hash", F.xxhash64("vector"))
-        place = F.row_number().over(Window.partitionBy("hash", "vector").orderBy("id"))
-        copies = rows.withColumn("place", place).where(F.col("place") <= k + 1)
-        entries = copies.groupBy("hash", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("entry", F.element_at("ids", 1))
+        place = F.dense_rank().over(Window.partitionBy("key", "vector").orderBy("id"))
+        least = rows.withColumn("place", place).where(F.col("place") <= k + 1)
+        entries = least.groupBy("key", "vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         self.entries = written(entries, "entries")
-        self.rows = rows
-        self.count = self.entries.count()
-        self.blocks = max(1, -(-self.count // BLOCK))
-        size, most = self.size, self.norm
-
-        def pack(table):
-            table = table.sort_by("entry")
-            x = np.asarray(table.column("vector").combine_chunks().flatten()).reshape(-1, size)
-            rest = np.sqrt(np.maximum(0, 1 - ((x / most) ** 2).sum(axis=1)))
-            codes = _codes(np.hstack([x / most, rest[:, None]]))
-            order = np.argsort(codes, axis=1, kind="stable")
-            blob = [np.asarray(table.column("entry")).tobytes(), x.tobytes(), np.take_along_axis(codes, order, 1).tobytes(), order.astype(np.int32).tobytes()]
-            return pa.table({"block": table.column("block")[:1], **{n: pa.array([b], pa.binary()) for n, b in zip(("ids", "vectors", "codes", "order"), blob, strict=True)}})
-
-        dealt = self.entries.select(F.pmod(F.xxhash64("entry"), F.lit(self.blocks)).cast("int").alias("block"), "entry", "vector")
-        self.index = written(dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, vectors binary, codes binary, order binary"), "forest")
-
-    def _cells(self, queries: DataFrame, count: int, function, schema: str) -> DataFrame:
-        """function(block, query ids, query vectors, query hash strings, levels) for each block of vectors and block of queries; queries: entry, vector, level."""
-        parts = max(1, -(-count // QUERIES))
-        blocks, size = self.blocks, self.size
-
-        def pack(table):
-            table = table.sort_by("entry")
-            x = np.asarray(table.column("vector").combine_chunks().flatten()).tobytes()
-            return pa.table({"part": table.column("part")[:1], "entries": pa.array([np.asarray(table.column("entry")).tobytes()], pa.binary()), "points": pa.array([x], pa.binary()), "levels": pa.array([np.asarray(table.column("level")).astype(np.int64).tobytes()], pa.binary())})
-
-        def cell(table):
-            row = table.slice(0, 1).to_pylist()[0]
-            points = np.frombuffer(row["points"], np.float64).reshape(-1, size)
-            scaled = points / np.sqrt((points**2).sum(axis=1, keepdims=True))
-            codes = _codes(np.hstack([scaled, np.zeros((len(points), 1))]))
-            return function(Block(row, size), np.frombuffer(row["entries"], np.int64), points, codes, np.frombuffer(row["levels"], np.int64))
-
-        dealt = queries.select(F.pmod(F.xxhash64("entry"), F.lit(parts)).cast("int").alias("part"), "entry", "vector", "level")
-        packed = dealt.groupBy("part").applyInArrow(pack, "part int, entries binary, points binary, levels binary")
-        packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        index = self.index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return packed.join(index, ["block", "part"]).groupBy("block", "part").applyInArrow(cell, schema)
-
-    def _levels(self, queries: DataFrame, count: int) -> DataFrame:
-        """entry and counts: how many vectors, over all trees and blocks, share 0, 1, ... 64 bits."""
-
-        def count_levels(block, entries, points, codes, levels):
-            counts = np.zeros((len(entries), BITS + 1), np.int64)
-            for tree in range(TREES):
-                for level in range(BITS + 1):
-                    low, high = _ranges(block.codes[tree], codes[tree], np.full(len(entries), level))
-                    counts[:, level] += high - low
-                    if not (high > low).any():
-                        break
-            return pa.table({"entry": pa.array(entries), "counts": pa.array(list(counts), pa.list_(pa.int64()))})
-
-        cells = self._cells(queries.withColumn("level", F.lit(0)), count, count_levels, "entry long, counts array<long>")
-        return cells.groupBy("entry").agg(F.array(*[F.sum(F.get("counts", F.lit(x))) for x in range(BITS + 1)]).alias("counts"))
-
-    def _budget(self, sample: DataFrame, levels: DataFrame, count: int) -> int:
-        """The fewest candidates, of a doubling row of numbers, that reach RECALL on the sample."""
-        k = self.k
-
-        def truth(block, entries, points, codes, unused):
-            scores = points @ block.vectors.T
-            scores[entries[:, None] == block.ids[None, :]] = -np.inf
-            best = np.argsort(-scores, axis=1)[:, :k]
-            own = np.empty_like(block.codes)
-            np.put_along_axis(own, block.order.astype(np.int64), block.codes, 1)
-            shared = np.zeros(best.shape, np.int64)
-            for tree in range(TREES):
-                differ = own[tree][best] ^ codes[tree][:, None]
-                shared = np.maximum(shared, np.where(differ == 0, BITS, BITS - np.frexp(differ.astype(np.float64))[1]))
-            at = np.repeat(np.arange(len(entries)), best.shape[1])
-            return pa.table({"entry": pa.array(entries[at]), "score": pa.array(scores[at, best.ravel()]), "shared": pa.array(shared.ravel())})
-
-        found = self._cells(sample.withColumn("level", F.lit(0)), count, truth, "entry long, score double, shared long")
-        best = found.withColumn("rank", F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("score")))).where((F.col("rank") <= k) & (F.col("score") > float("-inf")))
-        rows = best.groupBy("entry").agg(F.collect_list("shared").alias("shared")).join(levels, "entry").collect()
-        least = (k + 1) * TREES
-        for step in range(400):
-            budget = int(least * 1.15**step)
-            hits = [np.asarray(r["shared"]) >= level_for(r["counts"], budget) for r in rows]
-            if not hits or np.concatenate(hits).mean() >= RECALL:
-                return budget
-        return budget
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
+        stats = self.entries.groupBy(F.size("vector").alias("size")).agg(F.max(norm).alias("norm"), F.count("*").alias("n")).collect()
+        most = self.entries.select(F.explode("ids").alias("id")).groupBy("id").count().agg(F.max("count")).first()[0]
+        #: Vectors of one id at most; so many more are kept in each step, as a query's own id leaves at the end.
+        self.own = most or 1
+        sample = self._sample({r["size"]: r["n"] for r in stats}, {r["size"]: r["norm"] for r in stats})
+        self.trees, self.parts = {}, 0
+        for r in sorted(stats, key=lambda r: r["size"]):
+            self.trees[r["size"]] = self._cut(r["norm"], r["n"], sample.get(r["size"], np.zeros((TREES, 0), np.uint64)))
+
+    def _sample(self, counts: dict[int, int], norms: dict[int, float]) -> dict[int, np.ndarray]:
+        """Sorted hash strings [trees, rows] of about SAMPLE vectors of each length, taken by a hash of the vector."""
+
+        def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for size, keys, x in _by_size(batch):
+                    chosen = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)
+                    x = x[chosen.astype(np.float64) * 2.0**-53 < SAMPLE / counts[size]]
+                    if len(x):
+                        blob = _entry_codes(x, norms[size]).T.astype("<u8").tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([blob], pa.binary())], names=["size", "codes"])
+
+        found: dict[int, list] = {}
+        for r in self.entries.select("key", "vector").mapInArrow(codes, "size int, codes binary").toLocalIterator():
+            found.setdefault(r["size"], []).append(np.frombuffer(r["codes"], "<u8").reshape(-1, TREES))
+        return {size: np.sort(np.concatenate(blobs).T.astype(np.uint64), axis=1) for size, blobs in found.items()}
+
+    def _cut(self, norm: float, count: int, sample: np.ndarray) -> Tree:
+        """A length's parts: bounds at even steps of the sample; a part of more than LARGEST vectors, about, is cut by a hash of the vector."""
+        parts, seen = max(1, min(-(-count // PART), sample.shape[1] // 8)), sample.shape[1]
+        bounds, first, cuts = [], [], []
+        for codes in sample:
+            at = np.unique(codes[(np.arange(1, parts) * seen) // parts]) if parts > 1 else np.zeros(0, np.uint64)
+            held = np.diff(np.concatenate([[0], np.searchsorted(codes, at), [seen]])) * (count / max(1, seen))
+            cut = np.maximum(1, np.ceil(held / LARGEST)).astype(np.int64)
+            bounds.append(at)
+            cuts.append(cut)
+            first.append(self.parts + np.cumsum(cut) - cut)
+            self.parts += int(cut.sum())
+        return Tree(norm, count, sample, bounds, first, cuts)
+
+    def _index(self) -> DataFrame:
+        """part, code, entry, scale and points (16-bit components) of each entry in each tree."""
+        trees = self.trees
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for size, keys, x in _by_size(batch):
+                    tree = trees[size]
+                    codes = _entry_codes(x, tree.norm)
+                    top = np.abs(x).max(axis=1)
+                    points = np.round(x / top[:, None] * 32767).astype("<i2")
+                    raw = pa.array([p.tobytes() for p in points], pa.binary())
+                    for t in range(TREES):
+                        part = np.searchsorted(tree.bounds[t], codes[t], "right")
+                        number = tree.first[t][part] + (keys.view(np.uint64) % tree.cuts[t][part].astype(np.uint64)).astype(np.int64)
+                        columns = [pa.array(number.astype(np.int32)), pa.array(codes[t].view(np.int64)), pa.array(keys), pa.array((top / 32767).astype(np.float32)), raw]
+                        yield pa.RecordBatch.from_arrays(columns, names=["part", "code", "entry", "scale", "points"])
+
+        return self.entries.select("key", "vector").mapInArrow(place, "part int, code long, entry long, scale float, points binary")
+
+    def _asked(self, points: DataFrame, budgets: dict[int, float]) -> DataFrame:
+        """part, low, high (hash strings), point and q (its vector) for each part that one of a query's ranges reaches."""
+        trees = self.trees
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for size, keys, x in _by_size(batch):
+                    if size not in trees:
+                        continue
+                    tree, codes = trees[size], _query_codes(x)
+                    level = _levels(tree.counts(codes), budgets[size])
+                    raw = pa.array([v.tobytes() for v in (x / np.abs(x).max(axis=1, keepdims=True)).astype("<f4")], pa.binary())
+                    for t in range(TREES):
+                        low, high = _range(codes[t], level)
+                        a, b = (np.searchsorted(tree.bounds[t], v, "right") for v in (low, high))
+                        begin = tree.first[t][a]
+                        number = tree.first[t][b] + tree.cuts[t][b] - begin
+                        row = np.repeat(np.arange(len(x)), number)
+                        part = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                        columns = [pa.array(part.astype(np.int32)), pa.array(low.view(np.int64)[row]), pa.array(high.view(np.int64)[row]), pa.array(keys[row]), raw.take(pa.array(row))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["part", "low", "high", "point", "q"])
+
+        return points.mapInArrow(place, "part int, low long, high long, point long, q binary")
+
+    def _budgets(self, points: DataFrame) -> dict[int, float]:
+        """The fewest candidates per length, of a growing row of numbers, that reach RECALL on at most MEASURED queries."""
+        k, trees = self.k, self.trees
+        place = F.row_number().over(Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("key"), "key"))
+        chosen = points.withColumn("place", place).where(F.col("place") <= MEASURED).collect()
+        asked = {}
+        for size in sorted({len(r["vector"]) for r in chosen} & set(trees)):
+            rows = sorted((r for r in chosen if len(r["vector"]) == size), key=lambda r: (r["key"], r["vector"]))
+            x = np.array([r["vector"] for r in rows])
+            asked[size] = (np.array([r["key"] for r in rows]), x, _query_codes(x))
+
+        def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {}
+            for batch in batches:
+                for size, keys, x in _by_size(batch):
+                    if size not in asked:
+                        continue
+                    own, q, codes = asked[size]
+                    scores = q @ x.T
+                    scores[own[:, None] == keys[None, :]] = -np.inf
+                    at = np.argsort(-scores, axis=1)[:, :k]
+                    shared, mine = np.zeros(at.shape, np.int64), _entry_codes(x, trees[size].norm)
+                    for t in range(TREES):
+                        differ = mine[t][at] ^ codes[t][:, None]
+                        shared = np.maximum(shared, BITS - np.where(differ >> np.uint64(32) > 0, 32 + np.frexp((differ >> np.uint64(32)).astype(np.float64))[1], np.frexp((differ & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]))
+                    new = np.stack([np.take_along_axis(scores, at, 1), shared])
+                    both = np.concatenate([best[size], new], axis=2) if size in best else new
+                    best[size] = np.take_along_axis(both, np.argsort(-both[:1], axis=2)[:, :, :k], 2)
+            for size, (score, shared) in best.items():
+                at = np.repeat(np.arange(len(score)), score.shape[1])
+                columns = [pa.array(np.full(len(at), size, np.int32)), pa.array(at.astype(np.int32)), pa.array(score.ravel()), pa.array(shared.ravel().astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["size", "nth", "score", "shared"])
+
+        found = self.entries.select("key", "vector").mapInArrow(truth, "size int, nth int, score double, shared int").where("score > double('-inf')")
+        rank = F.row_number().over(Window.partitionBy("size", "nth").orderBy(F.desc("score"), F.desc("shared")))
+        rows = found.withColumn("rank", rank).where(F.col("rank") <= k).select("size", "nth", "shared").collect()
+        budgets = {}
+        for size, (_, _, codes) in asked.items():
+            counts = trees[size].counts(codes)
+            mine = [(r["nth"], r["shared"]) for r in rows if r["size"] == size]
+            nth, shared = np.array([m[0] for m in mine], np.int64), np.array([m[1] for m in mine])
+            budget = float((k + 1) * TREES)
+            while len(mine) and budget < counts[:, 0].max() and (shared >= _levels(counts, budget)[nth]).mean() < RECALL:
+                budget *= 1.15
+            budgets[size] = budget
+        return budgets
 
     def search(self, queries: DataFrame) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest found of each usable row of queries (vec_id, embedding), not itself.
 
-        Nearest first, ties by the smaller vec_id; all other vectors, if there are fewer. An empty index or query table gives
-        no rows; a vec_id on several rows is several vectors of that id, none of which is returned to its own id.
+        Nearest first, ties by the smaller vec_id; all other vectors, if there are fewer. Only vectors of the query's own length
+        are its candidates; every length has its trees. A query need not be in the index. A vec_id on several rows is several
+        vectors of that id, none of which is returned to its own id; repeated rows are one. An empty index or query table
+        gives no rows. Other columns are ignored.
         """
-        k = self.k
-        asked = usable(queries).where(F.size("vector") == self.size).withColumnRenamed("id", "query_id").distinct()
-        keys = self.entries.select(F.col("hash").alias("h"), F.col("vector").alias("v"), "entry")
-        asked = written(asked.withColumn("hash", F.xxhash64("vector")).join(keys, (F.col("hash") == F.col("h")) & (F.col("vector") == F.col("v"))).select("query_id", "entry", "vector"), "queries")
-        points = written(asked.groupBy("entry").agg(F.first("vector").alias("vector")), "points")
-        count = points.count()
-        levels = written(self._levels(points, count), "levels")
-        sample = points.orderBy(F.xxhash64("entry"), "entry").limit(MEASURED)
-        self.budget = self._budget(sample, levels, MEASURED)
-        level = F.greatest(F.lit(0), F.size(F.filter("counts", lambda n: n >= self.budget)) - 1)
-        placed = points.join(levels.select("entry", level.alias("level")), "entry")
-
-        def nearest(block, entries, points, codes, levels):
-            out = []
-            for a in range(0, len(entries), 128):
-                b = min(a + 128, len(entries))
-                seen = np.zeros((b - a, len(block.ids)), bool)
-                for tree in range(TREES):
-                    low, high = _ranges(block.codes[tree], codes[tree][a:b], levels[a:b])
-                    for i in range(b - a):
-                        seen[i, block.order[tree, low[i] : high[i]]] = True
-                scores = np.where(seen, points[a:b] @ block.vectors.T, -np.inf)
-                for i in range(b - a):
-                    row = scores[i]
-                    if len(row) > k + 1:
-                        least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                        at = np.flatnonzero((row >= least) & np.isfinite(row))
-                    else:
-                        at = np.flatnonzero(np.isfinite(row))
-                    at = at[np.lexsort((block.ids[at], -row[at]))][: k + 1]
-                    out.append((np.full(len(at), entries[a + i]), block.ids[at], row[at]))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pa.table({"entry": pa.array(columns[0]), "found": pa.array(columns[1]), "score": pa.array(columns[2])})
-
-        found = self._cells(placed, count, nearest, "entry long, found long, score double")
-        order = Window.partitionBy("entry").orderBy(F.desc("score"), "found")
-        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-        members = self.entries.select(F.col("entry").alias("found"), "ids")
-        found = found.join(members, "found").select("entry", "score", F.explode("ids").alias("vec_id"))
-        order = Window.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
-        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-        best = found.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
-        best = asked.select("query_id", "entry").join(best, "entry")
+        k, most = self.k, self.k + self.own
+        asked = written(usable(queries).distinct(), "queries")
+        points = written(asked.select("key", "vector").distinct(), "points")
+        self.budgets = self._budgets(points)
+        ranges = written(self._asked(points, self.budgets), "ranges")
+        lots = ranges.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("lots")).where("lots > 1")
+        lots = small(written(lots, "lots"))
+        index = self._index().join(lots, "part", "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+        ranges = ranges.join(lots.withColumnRenamed("lots", "cut"), "part", "left").withColumn("lot", F.pmod(F.xxhash64("point"), F.coalesce("cut", F.lit(1))).cast("int")).drop("cut")
+
+        def nearest(table: pa.Table, wanted: pa.Table) -> pa.Table:
+            out = [[], [], []]
+            if table.num_rows and wanted.num_rows:
+                codes = np.asarray(table.column("code")).view(np.uint64)
+                order = np.argsort(codes, kind="stable")
+                codes, entry, scale = codes[order], np.asarray(table.column("entry"))[order], np.asarray(table.column("scale"))[order]
+                points = np.frombuffer(b"".join(table.column("points").to_pylist()), "<i2").reshape(len(order), -1)[order].astype(np.float32)
+                q = np.frombuffer(b"".join(wanted.column("q").to_pylist()), "<f4").reshape(wanted.num_rows, -1)
+                low = np.searchsorted(codes, np.asarray(wanted.column("low")).view(np.uint64), "left")
+                high = np.searchsorted(codes, np.asarray(wanted.column("high")).view(np.uint64), "right")
+                names = np.asarray(wanted.column("point"))
+                for i in np.flatnonzero(high > low):
+                    score = (points[low[i] : high[i]] @ q[i]) * scale[low[i] : high[i]]
+                    at = np.argpartition(-score, most + 3)[: most + 4] if len(score) > most + 4 else np.arange(len(score))
+                    for part, value in zip(out, (np.full(len(at), names[i]), entry[low[i] + at], score[at]), strict=True):
+                        part.append(value)
+            columns = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.int64, np.int64, np.float32), strict=True)]
+            return pa.table({n: pa.array(c) for n, c in zip(("point", "entry", "score"), columns, strict=True)})
+
+        found = index.groupBy("part", "lot").cogroup(ranges.groupBy("part", "lot")).applyInArrow(nearest, "point long, entry long, score float")
+        found = found.groupBy("point", "entry").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("point").orderBy(F.desc("score"), "entry")
+        pairs = written(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * most).select("point", "entry"), "pairs")
+        scored = pairs.join(self.entries.select(F.col("key").alias("entry"), F.col("vector").alias("other"), "ids"), "entry")
+        scored = scored.join(points.select(F.col("key").alias("point"), "vector"), "point").where(F.size("vector") == F.size("other"))
+        score = F.aggregate(F.zip_with("vector", "other", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        each = scored.select("point", "vector", score.alias("score"), F.explode("ids").alias("vec_id"))
+        order = Window.partitionBy("point", "vector").orderBy(F.desc("score"), "vec_id")
+        each = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        best = each.groupBy("point", "vector").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
+        mine = asked.select(F.col("id").alias("query_id"), "key", F.col("vector").alias("v")).join(best, (F.col("key") == F.col("point")) & (F.col("v") == F.col("vector")))
         others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-        return best.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
-
-
-def level_for(counts: list[int], budget: int) -> int:
-    """The longest prefix that at least `budget` vectors share, over all trees; 0 if there are not so many."""
-    return max(0, sum(n >= budget for n in counts) - 1)
+        return mine.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

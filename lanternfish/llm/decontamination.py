@@ -72,7 +72,9 @@ def _rarest(items: Items, index: DataFrame) -> DataFrame:
 def candidates(items: Items, index: DataFrame, slop: int = 0) -> DataFrame:
     """doc_id, item, at (the document's word at which the item would start), starts: where the two rarest words of windows stand right.
 
-    With slop, the second word may stand up to so many words from its place, found by joining on blocks of slop + 1 places.
+    With slop, each of the two may stand up to so many words from its place: for every place of the rarest word, `at` is each
+    of the alignments that are up to slop away, and the second word must be within slop of its place there. That is found by
+    joining on blocks of slop + 1 places.
     """
     pairs = _rarest(items, index)
     first = index.join(small(pairs.withColumnRenamed("term_id_1", "term_id")), "term_id").select("doc_id", "item", (F.col("pos") - F.col("place_1")).alias("at"), "place_1", "place_2", "starts")
@@ -81,6 +83,7 @@ def candidates(items: Items, index: DataFrame, slop: int = 0) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("item") == F.col("item_2")) & (F.col("place_2") == F.col("other"))
     if slop:
         block = lambda c: F.floor(F.col(c) / (slop + 1))
+        first = first.withColumn("at", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
         first = first.withColumn("block", F.explode(F.array(*[block("at") + k for k in (-1, 0, 1)])))
         met = first.join(second, same & (F.col("block") == block("at_2")) & (F.abs(F.col("at") - F.col("at_2")) <= slop))
     else:
@@ -91,7 +94,9 @@ def candidates(items: Items, index: DataFrame, slop: int = 0) -> DataFrame:
 def matches(docs: DataFrame, items: Items, slop: int = 0) -> DataFrame:
     """Each row of docs with n_words, hits (array of start, length, item_ids: the exact places of windows) and n_hit words in any of them.
 
-    With slop > 0, hits are proximity matches: each word of the window stands within slop words of its place.
+    With slop > 0, hits are proximity matches: for some place of the window, each of its words stands within slop words of its
+    own; a hit is such a place, so that its words may reach beyond the document's ends, and n_hit counts the words inside.
+    doc_id may be null or repeated: postings of one doc_id are looked up together and each row is compared with its own words.
     """
     index = build_index(docs, items)
     found = candidates(items, index, slop).join(small(items.texts), "item")
@@ -111,8 +116,9 @@ def matches(docs: DataFrame, items: Items, slop: int = 0) -> DataFrame:
         right = F.filter(c["starts"], lambda s: stands(c, s, width))
         return F.transform(right, lambda s: F.struct((c["at"] + s).alias("start"), width.alias("length"), c["item_ids"].alias("item_ids")))
 
+    inside = lambda h: F.filter(F.sequence(h["start"], h["start"] + h["length"] - 1), lambda p: (p >= 0) & (p < F.size("own")))
     rows = rows.withColumn("hits", F.coalesce(F.flatten(F.transform("found", hits)), F.expr("array()").cast("array<struct<start:int,length:int,item_ids:array<string>>>")))
-    spots = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
+    spots = F.array_distinct(F.flatten(F.transform("hits", inside)))
     return rows.withColumn("n_words", F.size("own").cast("long")).withColumn("n_hit", F.size(spots).cast("long")).drop("own", "found")
 
 
@@ -120,8 +126,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A null or empty text has no words; whole texts
-    are compared, however long; repeated rows of a document get a row each, tested against their own text; without items
-    nothing is contaminated.
+    are compared, however long; repeated rows of a document, and rows of null doc_id, get a row each, tested against their own
+    text; items of the same words hit together, an item of null id counts as a hit without an id; without items nothing is
+    contaminated, without documents there are no rows.
     """
     rows = matches(docs.select("doc_id", "text"), items_of(benchmark, window))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["item_ids"]))))

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import BYTES, bounded_batches, text_runs
+from lanternfish.llm.common import BYTES, bounded_batches, small, text_runs
 
 BUCKETS, ORDERS = 8_192, (2, 3, 4)
 #: Documents per language that a model is fitted on at most, in the order of a hash of doc_id.
 PER_LANGUAGE = 1_000
+#: Documents of a side of a duel that it is fitted on at most, the same share of each of the side's languages.
+PER_SIDE = 2_000
 PENALTY, STEPS = 1e-4, 150
 UNDETERMINED = "und"
 
@@ -116,7 +118,11 @@ class Model:
         return out, score
 
     def identified(self, docs: DataFrame) -> DataFrame:
-        """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text); whole texts are read, other columns ignored."""
+        """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text); whole texts are read, other columns ignored.
+
+        A null text, or one without letters, is UNDETERMINED with score 0. A null doc_id is not held out; repeated rows get a row
+        each, with the same prediction; equal votes and margins go to the language first by name; an empty table gives no rows.
+        """
 
         def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -130,45 +136,51 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of docs (doc_id, text, lang) that aren't held out, at most `per_language` of each language.
+    """A model of docs (doc_id, text, lang; other columns are ignored) that aren't held out, at most `per_language` of each language.
 
     Rows with a null id, lang or text, or a text without words, teach nothing. With one language it is always predicted, with
-    none every text is undetermined. Rows of a repeated doc_id are learned from once for each row.
+    none every text is undetermined. Rows of a repeated doc_id are learned from once for each row, and count once in the bound.
+    The driver holds the sparse features of the chosen documents; a duel's matrix has at most 2 x PER_SIDE rows.
     """
     bounded_batches(docs.sparkSession)
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    usable = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", F.col("lang").alias("known")).distinct()
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.string())
+            texts = batch.column(1).cast(pa.string())
             for a, b in text_runs(texts, 200):
-                for i, row in zip(range(a, b), features([x or "" for x in texts[a:b].to_pylist()]), strict=True):
-                    at = np.flatnonzero(row).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], batch.column(1)[i : i + 1], pa.array([at.tobytes()], pa.binary()), pa.array([row[at].tobytes()], pa.binary())], names=["doc_id", "lang", "at", "share"])
+                rows = features([x or "" for x in texts[a:b].to_pylist()])
+                at = [np.flatnonzero(row).astype(np.int32) for row in rows]
+                columns = [pa.array([x.tobytes() for x in at], pa.binary()), pa.array([row[x].tobytes() for row, x in zip(rows, at, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], names=["lang", "at", "share"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").where("lang = known and text is not null").select("doc_id", "lang", "text")
-    found = sorted((r for r in rows.mapInArrow(learn, "doc_id long, lang string, at binary, share binary").toLocalIterator() if r["at"]), key=lambda r: (r["doc_id"], r["lang"]))
+    rows = usable.where("text is not null").join(small(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    found = sorted((r for r in rows.mapInArrow(learn, "lang string, at binary, share binary").toLocalIterator() if r["at"]), key=lambda r: (r["lang"], r["at"], r["share"]))
     languages = sorted({r["lang"] for r in found})
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["share"], np.float32)
-    lang = np.array([languages.index(r["lang"]) for r in found], np.int64)
-    means = np.array([x[lang == k].mean(axis=0) for k in range(len(languages))]) if languages else np.zeros((0, BUCKETS))
+    of = {name: [r for r in found if r["lang"] == name] for name in languages}
+
+    def dense(some: list) -> np.ndarray:
+        x = np.zeros((len(some), BUCKETS), np.float32)
+        for i, r in enumerate(some):
+            x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["share"], np.float32)
+        return x
+
+    def duel(left: list[int], right: list[int]) -> np.ndarray:
+        """The machine between two groups of languages; rows sorted by their content are taken at even steps."""
+        sides = [[r for k in side for r in of[languages[k]][:: -(-len(of[languages[k]]) * len(side) // PER_SIDE)]] for side in (left, right)]
+        return fit_svm(dense(sides[0] + sides[1]), np.repeat(np.asarray([1, -1], np.float32), [len(x) for x in sides]))
+
+    means = np.array([dense(of[name]).mean(axis=0) for name in languages]) if languages else np.zeros((0, BUCKETS))
     means = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
     families = families_of(means)
-    home = np.zeros(len(languages), np.int64)
-    for f, members in enumerate(families):
-        home[members] = f
     duels, weights = [], []
     for a, b in combinations(range(len(families)), 2):
-        at = np.isin(home[lang], (a, b))
         duels.append((0, a, b))
-        weights.append(fit_svm(x[at], np.where(home[lang[at]] == a, 1, -1).astype(np.float32)))
+        weights.append(duel(families[a], families[b]))
     for f, members in enumerate(families):
         for a, b in combinations(range(len(members)), 2):
-            at = np.isin(lang, (members[a], members[b]))
             duels.append((f + 1, a, b))
-            weights.append(fit_svm(x[at], np.where(lang[at] == members[a], 1, -1).astype(np.float32)))
+            weights.append(duel([members[a]], [members[b]]))
     return Model(languages, families, duels, np.array(weights, np.float32).reshape(len(duels), BUCKETS + 1))

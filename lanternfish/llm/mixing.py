@@ -20,12 +20,17 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SIZE)), F.lit(0)).cast("long")
 
 
-def random_key(*cols: Column | str) -> Column:
-    """A random but repeatable key of KEY_BITS bits from the columns' values."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in cols])
+def random_key(doc_id: Column | str = "doc_id", text_hash: Column | str = "text_hash") -> Column:
+    """A random but repeatable key of KEY_BITS bits from a row's doc_id (null: empty) and the hash of its text, so that rows of one doc_id differ."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in (doc_id, text_hash)])
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text_hash and size of documents (doc_id, source, text)."""
+    return docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"), size_of(F.col("text")).alias("size"))
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """One row per source: source, source_size, weight, target, budget.
 
@@ -54,15 +59,17 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights:
 
 
 def mixed(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of sizes (doc_id, source, size and others), each with key, source_size, target and taken.
-
-    Within a source the rows stand in the order of a hash-random key, which splits into buckets of about BUCKET_ROWS rows, so
-    that a source with most of the rows is sorted by many tasks. Bucket totals give each bucket's prefix sum, a window within
-    the bucket each row's. With S the source's words and B its budget, every row is taken B div S times; the rest of the budget
-    is cut exactly, so that the row on the cut is taken in part. Rows of null text have size 0 and take 0; repeated rows count
-    separately, ties of the key go by doc_id and size. Reruns agree. Columns of these names in the input are replaced.
+    """doc_id, source, size, key, source_size, target and taken of each row of sizes (doc_id, source, size and, if there is one, text_hash).
+
+    Other columns are ignored. Within a source the rows stand in the order of a hash-random key, which splits into buckets of
+    about BUCKET_ROWS rows, so that a source with most of the rows is sorted by many tasks. Bucket totals give each bucket's
+    prefix sum, a window within the bucket each row's. With S the source's words and B its budget, every row is taken B div S
+    times; the rest of the budget is cut exactly, so that the row on the cut is taken in part. Rows of null text have size 0
+    and take 0; repeated rows count separately, ties of the key go by doc_id and size. Reruns agree. A null source is a source
+    of its own; an empty table gives no rows.
     """
-    keyed = written(sizes.drop("key", "target", "taken", "source_size", "budget").withColumn("key", random_key("doc_id")), "sizes")
+    text_hash = "text_hash" if "text_hash" in sizes.columns else F.lit("")
+    keyed = written(sizes.select("doc_id", "source", "size", random_key("doc_id", text_hash).alias("key")), "sizes")
     targets = small(source_targets(keyed, share, most, weights).drop("weight"))
     bits = max(0, (keyed.count() // BUCKET_ROWS).bit_length())
     rows = keyed.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
@@ -81,24 +88,20 @@ def mixed(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[in
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The documents themselves as the mix holds them, repeated by epoch, with their own columns.
+    """The documents themselves as the mix holds them, repeated by epoch, with their own columns, whatever their names.
 
     A source's cut is a value of the random key: rows up to it are in one epoch more than the others. Documents stay whole, so
-    a source's words come within one document of its budget. Only the sources' cuts, not the texts, are joined.
+    a source's words come within one document (and its equal rows) of its budget. Only the sources' cuts, not the texts, are
+    joined. Of a source whose texts have no words, every row stays once.
     """
-    named = docs.withColumns({"_size": size_of(F.col("text")), "_key": random_key("doc_id")})
-    taken = mixed(named.select("doc_id", "source", F.col("_size").alias("size")), share, most, weights)
-    epochs = F.floor(F.col("budget") / F.col("source_size"))
-    cuts = (
-        taken.withColumn("budget", F.floor("target"))
-        .groupBy("source")
-        .agg(
-            F.max(F.when(F.col("source_size") > 0, epochs).otherwise(1)).cast("int").alias("_epochs"),
-            F.max(F.when((F.col("source_size") > 0) & (F.col("taken") > epochs * F.col("size")), F.col("key"))).alias("_cut"),
-        )
-        .withColumnRenamed("source", "_source")
+    taken = mixed(sized(docs), share, most, weights)
+    epochs = F.floor(F.col("target") / F.col("source_size"))
+    cuts = taken.groupBy(F.col("source").alias("_source")).agg(
+        F.max(F.when(F.col("source_size") > 0, epochs).otherwise(1)).cast("int").alias("_epochs"),
+        F.max(F.when((F.col("source_size") > 0) & (F.col("taken") > epochs * F.col("size")), F.col("key"))).alias("_cut"),
     )
     cuts = small(written(cuts, "cuts"))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_own"), random_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("_key"))
     copies = F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
-    out = named.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    out = named.join(cuts, F.col("_own").eqNullSafe(F.col("_source")))
+    return out.select("_row", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

@@ -36,14 +36,13 @@ from d left join spots using (r) left join ids using (r)
 
 def op8_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    sizes = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    return mixing.mixed(sizes).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE["op8_mixing"] = r"""
 with sizes as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-           ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key from documents),
+           ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 15))::bigint as key from documents),
 totals as (
     select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from sizes group by source),
 weighed as (

@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse word features.
 
-The features of a text are its words and the first 4 to 6 letters of its longer words. Labels say toxic or not; a toxic document's severity grade is 1, 2 or 3 by how often the words that mark toxic documents
-occur in it. One weight per word is shared by all thresholds: P(grade > k) = sigmoid(w . x - t_k) with t_0 <= t_1 <= t_2
+The features of a text are its words and the first 4 to 6 letters of its longer words. Labels say toxic or not and may give a
+severity grade of 1, 2 or 3. Where they give none, a toxic document's grade is which third of the labelled toxic documents it
+is in by how often the words that mark toxic documents occur in it; grades 2 and 3 then hold no more than these words. One weight per word is shared by all thresholds: P(grade > k) = sigmoid(w . x - t_k) with t_0 <= t_1 <= t_2
 and x = log(1 + count). The expected severity is the sum of these, 0 to 3; a document is rejected if P(grade > 0) >= 0.5.
 """
 
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from lanternfish.llm.common import BYTES, bounded_batches, text_runs, words, written
 
 GRADES = 3
-#: Labelled documents a model is fitted on at most, taken in the order of a hash of doc_id, and features it has at most.
-SAMPLE, FEATURES = 10_000, 4_096
+#: Labelled documents a model is fitted on at most, taken in the order of a hash of doc_id.
+SAMPLE = 10_000
 PREFIXES = (4, 5, 6)
-#: How far a feature's share of toxic documents must be from its share of clean ones, in standard errors of the log ratio.
+#: How far a feature's share of toxic documents must be from its share of clean ones, in standard errors of the log ratio. A
+#: word nearer to that than chance has no weight: what it says is lost, on purpose, as it is noise in a sample of this size.
 LEAST_Z = 2.9
 L2, STEPS, RATE = 1e-5, 400, 0.3
 
@@ -79,7 +81,12 @@ class Model:
         return _sigmoid(eta[:, None] - self.thresholds[None, :])
 
     def graded(self, docs: DataFrame) -> DataFrame:
-        """doc_id, severity (expected grade, 0 to 3), grade (the most likely one) and toxic, of each row of docs (doc_id, text)."""
+        """doc_id, severity (expected grade, 0 to 3), grade (the most likely one) and toxic, of each row of docs (doc_id, text).
+
+        Other columns are ignored. A null or empty text has no features and gets what the thresholds alone say; a very long one is
+        read whole; of equally likely grades the least counts; rows of null or repeated doc_id get a row each; an empty table
+        gives none.
+        """
 
         def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -93,7 +100,7 @@ class Model:
         return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(grade, "doc_id long, severity double, grade int, toxic boolean")
 
     def kept(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs, with all their columns, that are not rejected."""
+        """The rows of docs, with all their columns, that are not rejected: P(grade > 0) < 0.5 by their own text, null or repeated ids or not."""
         at = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,16 +112,18 @@ class Model:
         return docs.mapInArrow(keep, docs.schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    """A model of at most `sample` labelled documents (labels: doc_id, toxic 0/1).
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of at most `sample` labelled documents (labels: doc_id, toxic 0/1 and, if it has that column, severity 1 to 3).
 
-    Rows with a null doc_id or label are left out, a doc_id labelled twice is toxic if either label is, and documents of
-    a repeated doc_id count separately. With no labels, or none of one kind, nothing is rejected.
+    Rows with a null doc_id or label are left out, a doc_id labelled twice is toxic if either label is and has the greater
+    severity, and documents of a repeated doc_id count separately. With no labels, no documents, or none of one kind, nothing
+    is rejected. The features are all those of the labelled documents that pass LEAST_Z, so the sample bounds them, too.
     """
     bounded_batches(docs.sparkSession)
-    named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    severity = F.col("severity").cast("int") if "severity" in labels.columns else F.lit(None).cast("int")
+    named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.max(severity).alias("severity"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "severity"), "labelled")
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = totals["toxic"], totals["n"] - totals["toxic"]
     if not toxic or not clean:
@@ -125,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     seen = seen.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     scored = seen.withColumn("z", ratio / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))).where(F.abs("z") >= LEAST_Z)
-    picked = {r["feature"]: r["z"] for r in scored.orderBy(F.abs("z").desc(), "feature").limit(features).collect()}
+    picked = {r["feature"]: r["z"] for r in sorted(scored.collect(), key=lambda r: r["feature"])}
     index = {f: i for i, f in enumerate(picked)}
     selected = Model(dict.fromkeys(picked, 0.0), np.zeros(GRADES))
 
@@ -133,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         for batch in batches:
             counts = [sorted((index[f], n) for f, n in row.items()) for row in selected.counted(batch.column(1).to_pylist())]
             lists = [pa.array([[x[k] for x in row] for row in counts], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "toxic", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *lists], names=["doc_id", "toxic", "severity", "feature", "n"])
 
-    table = rows.mapInArrow(design, "doc_id long, toxic int, feature array<int>, n array<int>").collect()
+    table = rows.mapInArrow(design, "doc_id long, toxic int, severity int, feature array<int>, n array<int>").collect()
     table = sorted(table, key=lambda r: (r["doc_id"], r["feature"], r["n"]))
     doc = np.repeat(np.arange(len(table)), [len(r["feature"]) for r in table])
     feature = np.array([f for r in table for f in r["feature"]], np.int64)
@@ -144,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     marks = np.array([f.endswith("$") and z > 0 for f, z in picked.items()], float)
     hits = np.bincount(doc, n * marks[feature], len(table))
     cuts = np.quantile(hits[label == 1], [1 / 3, 2 / 3])
-    grade = np.where(label == 1, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0)
+    given = np.array([min(GRADES, max(1, r["severity"])) if r["severity"] is not None else 0 for r in table])
+    grade = np.where(label == 1, np.where(given > 0, given, 1 + (hits > cuts[0]) + (hits > cuts[1])), 0)
     weights, thresholds = fit_ordinal(doc, feature, np.log1p(n), grade, len(index))
     return Model(dict(zip(picked, weights.tolist(), strict=True)), thresholds)
