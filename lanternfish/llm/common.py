@@ -21,7 +21,7 @@ BROADCAST_ROWS = 200_000
 #: Most bytes that it may have.
 BROADCAST_BYTES = 64_000_000
 #: Bytes of text that a Python operator holds as arrays at a time.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 #: Bytes of a batch of rows on its way to Python.
 BATCH_BYTES = 8_000_000
 

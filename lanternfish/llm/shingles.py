@@ -7,6 +7,8 @@ import numpy as np
 from lanternfish.llm.common import BYTES
 
 WORDS = 5
+#: Bytes of text hashed at a time.
+STRETCH = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -31,23 +33,34 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return known[:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, text after text, and the number of words of each text."""
-    raw = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in texts]
-    counts = np.zeros(len(raw), np.int64)
-    data = np.frombuffer((b" ".join(raw) + b" ").translate(BYTES), np.uint8)
-    inside = data != 32
-    edges = np.flatnonzero(np.diff(inside, prepend=False))
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a stretch of bytes begin, and a 64-bit hash of each."""
+    edges = np.flatnonzero(np.diff(data != 32, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_P, len(data)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power(_P_INVERSE, len(data))[starts]
-    hashes = mix(hashes + (ends - starts).astype(np.uint64))
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    values *= _power(_P, len(data))
+    np.cumsum(values, out=sums[1:])
+    return starts, mix((sums[ends] - sums[starts]) * _power(_P_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, text after text, and the number of words of each text.
+
+    Bytes are hashed STRETCH at a time, up to the end of a word, so that a long text needs little more room than its words.
+    """
+    raw = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in texts]
+    joined = (b" ".join(raw) + b" ").translate(BYTES)
+    data, found, at = np.frombuffer(joined, np.uint8), [], 0
+    while at < len(data):
+        end = joined.find(b" ", min(at + STRETCH, len(data) - 1)) + 1
+        starts, hashes = _hashed(data[at:end])
+        found.append((starts + at, hashes))
+        at = end
+    starts, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
     limits = np.cumsum([len(x) + 1 for x in raw])
-    places = np.searchsorted(starts, limits)
-    return hashes, np.diff(places, prepend=0)
+    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0) if raw else np.zeros(0, np.int64)
 
 
 def shingle_hashes(texts: list[str | None], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
