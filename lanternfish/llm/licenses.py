@@ -1,97 +1,129 @@
-"""License scans, with DataFrame functions only: statements against templates, then inheritance along directories.
+"""License scans, with DataFrame functions only: statements, headers and licence files against templates, then inheritance along directories.
 
-A statement is a line or sentence with a word that licences use; a licence file, known by its name or by consisting mostly of
-statements, is one statement as a whole too. Statements and templates are sparse TF-IDF vectors of their words (idf over all
-statements and templates); a statement is the template of the greatest cosine, if that is at least THRESHOLD. A file
-without a licence of its own has that of the licence file in its nearest ancestor directory.
+What is compared with templates are a file's units: its lines and sentences, its paragraphs and comment blocks without the
+comment marks (so that wrapped headers are whole), and the whole text of a file that is named like a licence file. Units and
+templates are sparse TF-IDF vectors of their words, with the idf of all files. A unit is of the template of the greatest
+cosine, if that is at least THRESHOLD. A unit can reach it only if it holds a word of the template's heavy part, the
+fewest words without which the rest of the template is too short a vector; so only units with such a word are compared, and
+none is lost. SPDX tags are read as they are. A file without a licence of its own has that of the licence file in its nearest
+ancestor directory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import lowered, small, words, written
+from lanternfish.llm.common import small, words, written
+from lanternfish.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.5
-#: A statement has one of these in it, in lower case.
-CUE = r"licen[sc]e|copyright|copying|spdx|warrant|permission is|redistribut|public domain"
 #: Names of licence files.
-NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|copyright)[^/]*$"
-#: Share of a file's words in statements from which it is a licence file.
-MOSTLY = 0.5
-#: Short statements of licences, by SPDX id.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("MPL-2.0", "This source code form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """path, statement of each line or sentence of files (path, text) with a cue, and of each file whose name is a licence file's."""
-    parts = F.split(F.col("text"), r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})")
-    cued = F.filter(parts, lambda s: F.rlike(lowered(s), F.lit(CUE)))
-    whole = F.when(F.col("path").rlike(NAMES), F.array("text")).otherwise(F.expr("array()").cast("array<string>"))
-    maybe = F.rlike(lowered(F.col("text")), F.lit(CUE)) | F.col("path").rlike(NAMES)
-    return files.where(maybe).select("path", F.explode(F.array_distinct(F.concat(cued, whole))).alias("statement"))
-
-
-def matched(texts: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """statement, license, similarity of each distinct statement that is like a template; ties by the licence's name."""
-    spark = texts.sparkSession
-    named = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, text string")
-    units = written(texts.select("statement").distinct(), "statements")
-    terms = lambda df, key, text: df.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    own, theirs = written(terms(units, "statement", "statement"), "terms"), terms(named, "template", "text")
-    both = own.select("term").unionByName(theirs.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = units.count() + len(templates)
-    idf = written(both.select("term", (F.log((n + 1.0) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
-    theirs = written(theirs.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")), "templates")
-    weighted = own.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = weighted.join(small(theirs.select("term", "template", F.col("w").alias("v"))), "term").groupBy("statement", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    dots = dots.join(norm(weighted, "statement", "own_norm"), "statement").join(small(norm(theirs, "template", "norm")), "template").join(small(named.drop("text")), "template")
-    dots = dots.withColumn("similarity", F.round(F.col("dot") / (F.col("own_norm") * F.col("norm")), 6)).where(F.col("similarity") >= threshold)
-    return dots.groupBy("statement").agg(F.max_by("license", F.struct(F.col("similarity"), F.lit(0) - F.col("template"))).alias("license"), F.max("similarity").alias("similarity"))
-
-
-def scanned(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|copyright|unlicense)[^/]*$"
+#: Share of a file's words in units like licence texts from which a file of another name is a licence file, too.
+MOSTLY = 0.9
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
+#: What sets lines and sentences, and paragraphs, apart; comment marks at the beginning of a line; comment lines in a row.
+STATEMENTS = r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})"
+PARAGRAPHS = r"\n[ \t]*\n"
+MARKS = r"(?md)^[ \t]*(?:/?\*+/?|//+|#+|--+|;+|%+|<!--)[ \t]*"
+BLOCKS = r"(?md)(?:^[ \t]*(?:/?\*|//|#|--|;|%).*\n?){2,}"
+
+
+def units(text: Column, named: Column) -> Column:
+    """The distinct units of a text, as arrays of words; a null text has none."""
+    bare = F.regexp_replace(text, MARKS, "")
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(BLOCKS), F.lit(0)), lambda b: F.regexp_replace(b, F.lit(MARKS), F.lit("")))
+    whole = F.when(named, F.array(bare)).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(F.split(text, STATEMENTS), F.split(bare, PARAGRAPHS), blocks, whole)
+    return F.array_distinct(F.transform(parts, words))
+
+
+def frequencies(files: DataFrame) -> DataFrame:
+    """The written number of files, n, that hold each term."""
+    terms = files.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    return written(terms.groupBy("term").agg(F.count("*").alias("n")), "frequencies")
+
+
+def _idf(n: Column, total: int) -> Column:
+    return F.log((total + 1.0) / (n + 1)) + 1
+
+
+def _weighed(templates: DataFrame, known: DataFrame, total: int) -> list:
+    """template, term, w of the templates' terms; a term that no file holds counts as held by none."""
+    own = templates.select("template", F.explode(words(F.col("text"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+    rows = own.join(known, "term", "left").select("template", "term", (F.col("tf") * _idf(F.coalesce("n", F.lit(0)), total)).alias("w"))
+    return sorted(rows.collect(), key=lambda r: (r["template"], r["term"]))
+
+
+def heavy_terms(weights: list, threshold: float) -> list[str]:
+    """The heavy parts of all templates: words by falling weight until the rest's norm is below the threshold's share of the whole."""
+    by = defaultdict(list)
+    for r in weights:
+        by[r["template"]].append((r["w"], r["term"]))
+    out = set()
+    for terms in by.values():
+        rest = math.fsum(w * w for w, _ in terms)
+        least = rest * threshold * threshold * (1 - 1e-9)
+        for w, term in sorted(terms, key=lambda x: (-x[0], x[1])):
+            if rest < least:
+                break
+            out.add(term)
+            rest -= w * w
+    return sorted(out)
+
+
+def scanned(files: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, mostly: float = MOSTLY, kinds: tuple[str, ...] = ("text",)) -> DataFrame:
     """path, own_license, similarity, license, inherited_from (a directory) of each row of files (path, text).
 
-    own_license is that of the file's most similar statement, ties by name. A null or empty text has no statement, a null path
-    no directory; a whole text is scanned, however long; repeated rows get a row each. Where a directory has several licence
-    files, the most similar counts, ties by the licence's name; the directory of a path is all before its last slash. Statements
-    are compared once each and directories, not files, walk up the tree, so that a common statement or a large directory
-    is one row in these steps.
+    own_license is that of the file's most similar unit, ties by the licence's name; an SPDX tag is a unit of similarity 1. A file
+    is a licence file by its name, or if units like templates of `kinds` hold at least `mostly` of its words; other files
+    never give their licence to a directory. A null or empty text has no unit, a null path no directory; whole texts are
+    scanned, however long; repeated rows get a row each, rows of one path with different texts each their own; other columns
+    are ignored; an empty table gives no rows. Where a directory has several licence files, the most similar counts, ties by
+    the licence's name; the directory of a path is all before its last slash. Distinct units are compared once each and
+    directories, not files, walk up the tree, so that a common header or a large directory is one row in these steps.
     """
-    found = written(statements(files.select("path", "text").where("text is not null")), "found")
-    likes = matched(found, templates, threshold)
-    best = F.struct(F.col("similarity"), F.col("license"))
-    hits = written(found.join(likes, "statement").select("path", "statement", "similarity", "license"), "hits")
-    own = hits.groupBy("path").agg(F.max_by("license", F.struct("similarity", "license")).alias("own_license"), F.max("similarity").alias("similarity"), F.sum(F.size(words(F.col("statement")))).alias("stated"))
-    sized = files.select("path", F.size(words(F.col("text"))).alias("words")).join(hits.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max("words").alias("words"))
-    directory = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, r"/[^/]*$", "")).otherwise("")
-    makers = own.join(sized, "path").where(F.col("path").rlike(NAMES) | (F.col("stated") >= MOSTLY * F.col("words")))
-    granted = makers.withColumnRenamed("own_license", "license").groupBy(directory(F.col("path")).alias("ancestor")).agg(F.max_by("license", best).alias("granted"))
-    granted = written(granted, "granted")
-    folders = files.where("path is not null").select(directory(F.col("path")).alias("directory")).distinct()
+    spark = files.sparkSession
+    rows = files.select("path", "text", F.xxhash64("path", "text").alias("file"))
+    held = rows.where("text is not null")
+    total, known = held.count(), frequencies(held)
+    named = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, kind string, text string")
+    weights = _weighed(named, known, total)
+    heavy = F.array(*map(F.lit, heavy_terms(weights, threshold))) if weights else F.array(F.lit(""))
+    is_named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
+    some = held.where(F.arrays_overlap(words(F.col("text")), heavy)).select("file", F.explode(units(F.col("text"), is_named)).alias("words")).where(F.arrays_overlap("words", heavy))
+    found = written(some.select("file", F.md5(F.array_join("words", " ")).alias("unit"), "words").distinct(), "found")
+    theirs = spark.createDataFrame(weights, "template int, term string, v double") if weights else spark.createDataFrame([], "template int, term string, v double")
+    norms = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    own = found.select("unit", "words").dropDuplicates(["unit"]).select("unit", F.explode("words").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    own = written(own.join(known, "term").select("unit", "term", (F.col("tf") * _idf(F.col("n"), total)).alias("w")), "terms")
+    own_norms = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
+    dots = own.join(F.broadcast(theirs), "term").groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    likes = dots.join(own_norms, "unit").join(F.broadcast(norms), "template").withColumn("similarity", F.round(F.col("dot") / (F.col("own_norm") * F.col("norm")), 6))
+    likes = likes.where(F.col("similarity") >= threshold).join(F.broadcast(named.drop("text")), "template")
+    best = F.max_by(F.struct("license", "kind"), F.struct("similarity", F.lit(0) - F.col("template"))).alias("x")
+    likes = written(likes.groupBy("unit").agg(best, F.max("similarity").alias("similarity")).select("unit", "x.license", "x.kind", "similarity"), "likes")
+    hits = found.join(likes, "unit").select("file", "license", "similarity", F.size("words").alias("stated"), "kind")
+    tags = held.where(F.contains("text", F.lit("SPDX-License-Identifier:"))).select("file", F.regexp_extract("text", TAG, 1).alias("license")).where("license <> ''")
+    tags = tags.select("file", F.regexp_replace("license", r"[ \t]+", " ").alias("license"), F.lit(1.0).alias("similarity"), F.lit(0).alias("stated"), F.lit("tag").alias("kind"))
+    hits = hits.unionByName(tags.distinct())
+    stated = F.sum(F.when(F.col("kind").isin(*kinds), F.col("stated")).otherwise(0)).alias("stated")
+    own = hits.groupBy("file").agg(F.max_by("license", F.struct(F.col("kind") == "tag", F.col("similarity"), F.col("license"))).alias("own_license"), F.max("similarity").alias("similarity"), stated)
+    own = written(own, "own")
+    directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), "")
+    sized = rows.where("path is not null").join(own, "file").select(directory.alias("ancestor"), is_named.alias("named"), "stated", F.size(words(F.col("text"))).alias("words"), "own_license", "similarity")
+    makers = sized.where(F.col("named") | ((F.col("stated") > 0) & (F.col("stated") >= mostly * F.col("words"))))
+    granted = written(makers.groupBy("ancestor").agg(F.max_by("own_license", F.struct("similarity", "own_license")).alias("granted")), "granted")
+    folders = rows.where("path is not null").select(directory.alias("directory")).distinct()
     parts = F.split("directory", "/")
     up = folders.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("ancestor", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     nearest = up.join(small(granted), "ancestor").groupBy("directory").agg(F.max_by(F.struct("granted", "ancestor"), "depth").alias("x"))
     nearest = written(nearest.select("directory", "x.granted", "x.ancestor"), "nearest")
-    rows = files.select("path").withColumn("directory", directory(F.col("path"))).join(small(nearest), "directory", "left").join(own.drop("stated"), "path", "left")
-    return rows.select(
+    out = rows.select("path", "file", directory.alias("directory")).join(small(nearest), "directory", "left").join(own.drop("stated"), "file", "left")
+    return out.select(
         "path", "own_license", "similarity", F.coalesce("own_license", "granted").alias("license"), F.when(F.col("own_license").isNull(), F.col("ancestor")).alias("inherited_from")
     )

@@ -119,40 +119,56 @@ from placed group by conv_id
 """
 
 
+#: Documents have no names: one that consists mostly of statements, headers or texts of licences stands for a licence file.
+LICENSE_KINDS, LICENSE_SHARE = ("statement", "header", "text"), 0.5
+
+
 def op6_license_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
-    rows = licenses.scanned(docs.select(path.alias("path"), "text"))
-    return rows.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "own_license", "similarity", "license", "inherited_from")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = licenses.scanned(docs.select(path.alias("path"), "text"), kinds=LICENSE_KINDS, mostly=LICENSE_SHARE)
+    return rows.select(F.expr("try_cast(substring_index(path, '/', -1) as bigint)").alias("doc_id"), "own_license", "similarity", "license", "inherited_from")
 
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_RE2 = lambda pattern: pattern.replace("(?md)", "(?m)").replace("'", "''")
 ORACLE["op6_license_scan"] = f"""
-with files as (select doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, '')) as directory, text from documents),
-parts as (select doc_id, unnest(list_distinct(string_split_regex(regexp_replace(text, '([.!?])[ \\t]+(\\p{{Lu}})', '\\1' || chr(10) || '\\2', 'g'), '\\n'))) as statement from files where text is not null),
-found as (select * from parts where regexp_matches(lower(statement), '{licenses.CUE}')),
-templates as (select * from (values {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.TEMPLATES))}) t(template, license, text)),
-own as (select statement, term, count(*) as tf from (select statement, unnest({_WORDS.format("statement")}) as term from (select distinct statement from found)) group by all),
+with files as (
+    select row_number() over () as r, doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, '')) as directory, text,
+           regexp_replace(text, '{_RE2(licenses.MARKS)}', '', 'g') as bare from documents),
+pieces as (
+    select r, unnest(list_concat(list_concat(
+        string_split_regex(regexp_replace(text, '([.!?])[ \\t]+(\\p{{Lu}})', '\\1' || chr(10) || '\\2', 'g'), '\\n'), string_split_regex(bare, '{licenses.PARAGRAPHS}')),
+        list_transform(regexp_extract_all(text, '{_RE2(licenses.BLOCKS)}'), lambda b: regexp_replace(b, '{_RE2(licenses.MARKS)}', '', 'g')))) as piece
+    from files where text is not null),
+found as (select distinct r, array_to_string({_WORDS.format("piece")}, ' ') as unit from pieces),
+templates as (select * from (values {", ".join(f"({i}, '{a}', '{b}', {_QUOTED(c)})" for i, (a, b, c) in enumerate(licenses.TEMPLATES))}) t(template, license, kind, text)),
+total as (select count(*) as n from files where text is not null),
+known as (select term, count(*) as n from (select unnest(list_distinct({_WORDS.format("text")})) as term from files) group by term),
 theirs as (select template, term, count(*) as tf from (select template, unnest({_WORDS.format("text")}) as term from templates) group by all),
-n as (select (select count(distinct statement) from found) + (select count(*) from templates) as n),
-idf as (select term, ln((n + 1.0) / (count(*) + 1)) + 1 as idf from (select term from own union all select term from theirs), n group by term, n),
-a as (select statement, term, tf * idf as w from own join idf using (term)),
-b as (select template, term, tf * idf as w from theirs join idf using (term)),
+b as (select template, term, tf * (ln((total.n + 1.0) / (coalesce(known.n, 0) + 1)) + 1) as w from theirs left join known using (term), total),
+own as (select unit, term, count(*) as tf from (select unit, unnest(string_split(unit, ' ')) as term from (select distinct unit from found where unit <> '')) group by all),
+a as (select unit, term, tf * (ln((total.n + 1.0) / (known.n + 1)) + 1) as w from own join known using (term), total),
 likes as (
-    select statement, template, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) as similarity
-    from a join b using (term) join (select statement, sqrt(sum(w * w)) as norm from a group by 1) x using (statement)
+    select unit, template, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) as similarity
+    from a join b using (term) join (select unit, sqrt(sum(w * w)) as norm from a group by 1) x using (unit)
     join (select template, sqrt(sum(w * w)) as norm from b group by 1) y using (template) group by all),
-best as (select statement, arg_max(license, similarity * 1000 - template) as license, max(similarity) as similarity from likes join templates using (template) where similarity >= {licenses.THRESHOLD} group by 1),
-hits as (select doc_id, statement, license, best.similarity from found join best using (statement)),
-mine as (select doc_id, (max(struct_pack(s := similarity, l := license))).l as own_license, max(similarity) as similarity, sum(len({_WORDS.format("statement")})) as stated from hits group by 1),
+best as (
+    select unit, arg_max(license, similarity * 1000 - template / 1000.0) as license, arg_max(kind, similarity * 1000 - template / 1000.0) as kind, max(similarity) as similarity
+    from likes join templates using (template) where similarity >= {licenses.THRESHOLD} group by 1),
+hits as (
+    select r, license, kind, similarity, len(string_split(unit, ' ')) as stated from found join best using (unit)
+    union all select r, regexp_replace(tag, '[ \\t]+', ' ', 'g'), 'tag', 1.0, 0 from (select r, regexp_extract(text, '{licenses.TAG}', 1) as tag from files) where tag <> ''),
+mine as (select r, (max(struct_pack(t := kind = 'tag', s := similarity, l := license))).l as own_license, max(similarity) as similarity, sum(stated) as stated from hits group by 1),
 granted as (
-    select directory, (max(struct_pack(s := similarity, l := own_license))).l as granted from mine join files using (doc_id)
-    where stated >= {licenses.MOSTLY} * len({_WORDS.format("text")}) group by 1),
+    select directory, (max(struct_pack(s := similarity, l := own_license))).l as granted from mine join files using (r)
+    where stated > 0 and stated >= {LICENSE_SHARE} * len({_WORDS.format("text")}) group by 1),
 up as (
     select f.directory, g.directory as ancestor, granted, row_number() over (partition by f.directory order by length(g.directory) desc) as place
     from (select distinct directory from files) f join granted g on f.directory = g.directory or starts_with(f.directory, g.directory || '/'))
 select doc_id, own_license, similarity, coalesce(own_license, granted) as license, case when own_license is null then ancestor end as inherited_from
-from files left join mine using (doc_id) left join (select * from up where place = 1) using (directory)
+from files left join mine using (r) left join (select * from up where place = 1) using (directory)
 """
 
 
