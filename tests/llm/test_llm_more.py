@@ -286,6 +286,14 @@ def test_token_files(spark, tmp_path):
     assert tokens.read(spark, out, "doc_id", "n_tokens", doc_ids=[7, 2999]).count() == 2
 
 
+def test_words_of_every_character(spark):
+    """Lower-casing changes A-Z alone, whatever other characters stand in the text, and words are what the pattern finds."""
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"Ab{c}C d" for c in points[:0x600] + points[0x600::37]] + ["".join(points[i : i + 50]) for i in range(0, len(points), 50)] + ["", " ", "A", "ΑΣ ΣΑ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", common.words(F.col("t")).alias("w")).collect()
+    assert all(r["w"] == words(r["t"]) for r in rows)
+
+
 def test_no_broadcast_of_few_but_large_rows(spark):
     rows = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert common.fits(rows) and not common.fits(rows, size=5_000) and not common.fits(rows, rows=9)
