@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from urllib.parse import quote_plus, unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,14 +33,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_PARTS = re.compile(r"(?:[a-z]+://)?(?:www\.)?([^/?#]*)([^?#]*)\??([^#]*)", re.I)
+
+
 def plain_link(link: str) -> str:
     """A link without scheme, www., tracking parameters, fragment and closing slashes, in lower case."""
-    try:
-        parts = urlsplit(link if re.match(r"[a-z]+://", link, re.I) else f"http://{link}")
-    except ValueError:
-        return link.lower()
-    kept = urlencode([kv for kv in parse_qsl(parts.query, keep_blank_values=True) if not _TRACKING.match(kv[0])])
-    return urlunsplit(("", parts.netloc.lower().removeprefix("www."), parts.path.rstrip("/"), kept, "")).lstrip("/").lower()
+    host, path, query = _PARTS.match(link).groups()
+    named = [tuple(map(unquote_plus, x.partition("=")[::2])) for x in query.split("&") if x]
+    kept = "&".join("=".join(map(quote_plus, x)) for x in named if not _TRACKING.match(x[0]))
+    return (host + path.rstrip("/") + ("?" + kept if kept else "")).lstrip("/").lower()
 
 
 def _compatible(text: str | None) -> str | None:

@@ -69,16 +69,25 @@ def test_scores_do_not_depend_on_partitions(spark):
         ("https://example.com/A/b?z=1&a=2&ref=q#f", "example.com/A/b?a=2&z=1", "other"), ("zangi.com/dl/123456", "services.zangi.com/dl/123456", "zangi"), ("bit.ly/Q", "bit.ly/Q", "shortener"),
     ],
 )
-def test_links(link, url, kind):
-    found = links.normal_link(link)
-    assert (found[0], found[2]) == (url, kind)
+def test_links(spark, link, url, kind):
+    found = spark.createDataFrame([(link,)], "link string").select(links.normalized(F.col("link")).alias("x")).first()["x"]
+    assert (found["url"], found["kind"]) == (url, kind)
 
 
-def test_cut_links():
-    assert links.normal_link("t.me/abc…") == ("t.me/abc", "t.me", "telegram", True, "prefix")
-    assert links.normal_link("no link") is None and links.normal_link(None) is None
-    assert links.links_in("https://\nt.me/OFFICIAL_NAME_\nPART_TWO\n…") == ["https://t.me/OFFICIAL_NAME_PART_TWO…"]
-    assert links.links_in("t.me/full\nword") == ["t.me/full"]
+def test_odd_links(spark):
+    rows = [("t.me/abc…", ("t.me/abc", "t.me", "telegram", True, "prefix")), ("no link", None), (None, None), ("x.org/a_(b)).", ("x.org/a_(b)", "x.org", "other", False, "exact")), ("x.org/a.).)", ("x.org/a", "x.org", "other", False, "exact"))]
+    rows += [("https://u:p@Www.X.org:80/?q=%zz&a=~*", ("x.org?a=~%2A&q=%25zz", "x.org", "other", False, "exact")), ("t.me/s/@Name/", ("t.me/name", "t.me", "telegram", False, "exact")), ("ftp", None)]
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, link string").select("i", links.normalized(F.col("link")).alias("x")).orderBy("i").collect()
+    assert [r["x"] and tuple(r["x"]) for r in got] == [r[1] for r in rows]
+
+
+def test_links_in_text(spark):
+    texts = {
+        "https://\nt.me/OFFICIAL_NAME_\nPART_TWO\n…": ["https://t.me/OFFICIAL_NAME_PART_TWO…"], "t.me/full\nword": ["t.me/full"], "see http://x.org/a?b=c and (y.io), ok": ["http://x.org/a?b=c", "y.io"],
+        "t.me/a…\nrest…": ["t.me/a…"], "x.org/a\nmore\n\nend…": ["x.org/a"], "no links. none": [], "": [], "wow t.me… x": ["t.me…"],
+    }
+    got = {r["t"]: r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", links.in_text(F.col("t")).alias("x")).collect()}
+    assert got == texts
 
 
 def test_link_columns(spark):
@@ -89,10 +98,16 @@ def test_link_columns(spark):
     assert [x["url"] for x in kept] == ["t.me/abcdef"]
 
 
-def test_names():
-    assert [bool(names.name_rule(x)) for x in ("Elon Musk", "iam_elon", "3lon", "Tesla CEO", "muskceo", "Gabriel Ontiveros", "melody")] == [True] * 5 + [False] * 2
-    assert names.name_rule("watermelon", ("watermelon",)) is None
-    assert names.fold("Ｅlоn") == "elon"
+def test_names(spark):
+    rules = {
+        "Elon Musk": "contains 'elonmusk'", "iam_elon": "'elon' with a claim prefix", "3lon": "'elon'", "3l0n x": "'elon'", "Tesla CEO": "contains 'teslaceo'", "muskceo": "'musk' with elon/tesla/spacex/ceo", "Gabriel Ontiveros": None,
+        "melody": None, "watermelon": None, "watermelon musk": None, "elonfan": "'elon' + other words", "myelonteam": "'elon' with a role/claim word", "Ｅlоn": "'elon'", "é1ón": "'elon'", "": None, None: None,
+    }
+    got = spark.createDataFrame([(x,) for x in rules], "n string").select("n", names.impersonates(F.col("n"), ("watermelon",)).alias("r"), names.folded(F.col("n")).alias("f")).collect()
+    assert {r["n"]: r["r"] for r in got} == rules
+    assert {r["n"]: r["f"] for r in got}["Ｅlоn"] == "elon"
+    one = spark.createDataFrame([("@plain", "Elon Musk"), ("@elonx", "y"), ("a", "UNKNOWN")], "h string, d string").select(names.impersonation(F.col("h"), F.col("d")).alias("x")).collect()
+    assert [r["x"] and (r["x"]["field"], r["x"]["value"]) for r in one] == [("DISPLAY_NAME", "Elon Musk"), ("HANDLE", "elonx"), None]
 
 
 def test_text(spark):
