@@ -32,8 +32,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lowered(text: Column) -> Column:
-    """The text with A-Z lower-cased and all other characters kept; lower() does that where no other character has a lower case."""
-    others = text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
+    """The text with A-Z lower-cased and all other characters kept; lower() does that where no other character has, or in a newer Unicode may have, a lower case."""
+    others = text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")
     return F.when(others, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
 
 

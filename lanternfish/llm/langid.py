@@ -138,14 +138,17 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of docs (doc_id, text, lang; other columns are ignored) that aren't held out, at most `per_language` of each language.
 
-    Rows with a null id, lang or text, or a text without words, teach nothing. With one language it is always predicted, with
+    They are the first by a hash of doc_id among a share of the language's documents in which twice as many are to be
+    expected, so that no task gets all documents of a large language. Rows with a null id, lang or text, or a text without words, teach nothing. With one language it is always predicted, with
     none every text is undetermined. Rows of a repeated doc_id are learned from once for each row, and count once in the bound.
     The driver holds the sparse features of the chosen documents; a duel's matrix has at most 2 x PER_SIDE rows.
     """
     bounded_batches(docs.sparkSession)
     usable = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    share = usable.groupBy("lang").agg((2.0 * per_language / F.count("*")).alias("share"))
+    few = usable.select("doc_id", "lang").join(small(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang")
+    chosen = few.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
