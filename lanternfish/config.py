@@ -7,72 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Id, category, weights by score, weight per extra instance, greatest contribution, strength,
-# needs corroboration (Y: on every score; a score: on that one), can trigger a block (Y), fact group, least count.
-REGISTRY_TEXT = """
-A001 AUTOMATION AUTO+25,SPAM+10,HUM-10 1 35 STRONG - - REPEATED_OUTBOUND_TEXT 10
-A002 AUTOMATION AUTO+20,SPAM+10,HUM-5 0 20 MODERATE - - REPEATED_OUTBOUND_TEXT 3
-A003 AUTOMATION AUTO+15,SPAM+10,HUM-10 1 25 MODERATE - - GENERIC_REPLIES 5
-A004 AUTOMATION AUTO+25,SPAM+10,HUM-20 0 25 MODERATE - - GENERIC_REPLIES 1
-A005 AUTOMATION AUTO+10,HUM-15 0 10 MODERATE Y - THREAD_DEPTH 20
-A006 AUTOMATION AUTO+10,HUM-10 0 10 MODERATE Y - CONTENT_MIX 1
-A007 AUTOMATION AUTO+10,SPAM+5,HUM-10 0 10 MODERATE Y - CONTENT_MIX 1
-A008 AUTOMATION AUTO+10 0 10 MODERATE Y - SYNC_POSTING 3
-A009 AUTOMATION AUTO+20 0 20 MODERATE - - TIMING 1
-A010 AUTOMATION AUTO+15,SPAM+5 0 15 MODERATE - - TIMING 1
-A011 AUTOMATION AUTO+5 0 5 WEAK Y - SHELL 1
-A012 AUTOMATION AUTO+10,DEC+10,HUM-5 0 10 MODERATE Y - HIDDEN_HISTORY_PERSONA 1
-S001 SPAM SPAM+25 5 35 MODERATE - - ENGAGEMENT_BAIT 1
-S002 SPAM SPAM+15,AUTO+10,HUM-5 0 15 MODERATE - - REPEATED_OUTBOUND_TEXT 5
-S003 SPAM SPAM+30,AUTO+10 2 40 MODERATE - - REPEATED_OUTBOUND_TEXT 5
-S004 SCAM SCAM+35,SPAM+35,AUTO+10 5 50 STRONG - Y REPEATED_OUTBOUND_TEXT 2
-S005 SCAM SCAM+20,SPAM+15 5 30 MODERATE - - DM_FUNNEL 1
-S006 SCAM SCAM+35,SPAM+20 0 35 MODERATE - - CRYPTO_AIRDROP 1
-S007 SPAM SPAM+15,SCAM+5 0 15 MODERATE - - REFERRAL 1
-S008 SCAM SCAM+45,SPAM+10 0 45 STRONG - Y MALICIOUS_DESTINATION 1
-S009 SPAM SPAM+25,AUTO+10 1 30 MODERATE - - TEMPLATED_PROMO 5
-S010 SPAM SPAM+25,SCAM+20 5 35 MODERATE - - OFFPLATFORM_FUNNEL 1
-S011 SPAM SPAM+40,SCAM+15 0 40 STRONG - - ADULT_FUNNEL 1
-S012 SCAM SCAM+25,SPAM+15 0 25 MODERATE - - GIVEAWAY_LURE 1
-S013 SCAM SCAM+10,SPAM+5 0 10 WEAK Y - BEFRIENDING_OPENERS 2
-S014 SCAM SCAM+10,SPAM+10 0 10 WEAK Y - AMPLIFIES_SCAM 1
-S015 SPAM SPAM+20 0 20 MODERATE - - SELF_PROMO 1
-S016 SCAM SCAM+30 0 30 MODERATE - - INVESTMENT_SOLICITATION 1
-S018 SPAM SPAM+15 5 20 MODERATE - - FOLLOW_BACK_FARMING 2
-I001 IMPERSONATION IMP+90,DEC+20 0 90 STRONG - Y IDENTITY_CLAIM 1
-I002 IMPERSONATION IMP+40,DEC+15 0 40 MODERATE - - IDENTITY_CLAIM 1
-I003 IMPERSONATION IMP+45 0 45 MODERATE - - PERSONA_PRESENTATION 1
-I004 IMPERSONATION IMP+30 0 30 MODERATE - - PERSONA_FACTS 1
-I005 IMPERSONATION SCAM+30,IMP+20 0 30 MODERATE - - FAKE_REPRESENTATIVE 1
-D001 DECEPTION DEC+25 0 25 MODERATE Y - LOCATION_MISMATCH 1
-D002 DECEPTION DEC+25 0 25 MODERATE - - IDENTITY_CONTRADICTION 1
-D003 DECEPTION DEC+20 0 20 MODERATE - - FAKE_STATS 1
-D004 DECEPTION DEC+10 0 10 WEAK Y - SYNTHETIC_PERSONA 1
-D005 DECEPTION DEC+25 0 25 MODERATE - - SYNTHETIC_PERSONA 2
-D006 DECEPTION DEC+35,SCAM+15 0 35 MODERATE - - BACKUP_CLAIM 1
-D007 DECEPTION DEC+20,AUTO+10,HUM-15 0 20 MODERATE AUTO - IDENTITY_CHANGE 1
-W001 AUTOMATION AUTO+5,SPAM+5,SCAM+5 0 5 WEAK Y - ACCOUNT_AGE 1
-W002 AUTOMATION AUTO+3,DEC+3 0 3 WEAK Y - USERNAME_PATTERN 1
-W003 DECEPTION DEC+5,AUTO+3 0 5 WEAK Y - DISPLAY_NAME_MISMATCH 1
-W004 AUTOMATION AUTO+5,SPAM+3 0 5 WEAK Y - FOLLOW_GRAPH 1
-W005 DECEPTION DEC+5 0 5 WEAK Y - IDENTITY_CHANGE 1
-W006 SPAM SPAM+5 0 5 WEAK Y - FOLLOW_GRAPH 1
-N001 NETWORK NET+60 0 60 STRONG - - NETWORK 1
-N002 NETWORK NET+20 0 60 MODERATE - - NETWORK 1
-N003 NETWORK NET+5 0 15 WEAK - - NETWORK 1
-H001 HUMAN HUM+15,AUTO-5 0 15 MODERATE - - H_CONTEXT_REPLIES 1
-H002 HUMAN HUM+10,AUTO-5 0 10 MODERATE - - H_PAST_REFERENCES 1
-H003 HUMAN AUTO-15,HUM+20 0 20 STRONG - - H_CONVERSATIONS 1
-H004 HUMAN HUM+15,AUTO-5 0 15 MODERATE - - H_LONG_TERM 1
-H005 HUMAN HUM+10,AUTO-5 0 10 MODERATE - - H_ORIGINAL 1
-H006 HUMAN HUM+5 0 5 WEAK - - H_RHYTHM 1
-H007 HUMAN HUM+15,AUTO-5 0 15 MODERATE - - H_RECOGNITION 1
-H008 HUMAN IMP-40 0 40 MODERATE - - H_HONEST_LABEL 1
-H009 HUMAN HUM+10,AUTO-5 0 10 MODERATE - - H_PERSONAL 1
-H010 HUMAN HUM+10,AUTO-5 0 10 MODERATE - - H_CONVERSATIONS 1
-"""
-
-SCORE_NAMES = {"AUTO": "AUTOMATION", "SPAM": "SPAM", "SCAM": "SCAM", "IMP": "IMPERSONATION", "DEC": "DECEPTION", "HUM": "HUMAN_CONTINUITY", "NET": "NETWORK_COORDINATION"}
 MALICIOUS_SCORES = ("AUTOMATION", "SPAM", "SCAM", "IMPERSONATION", "DECEPTION")
 
 # Thresholds of the scoring policy.
@@ -180,17 +114,66 @@ class Feature:
     min_count: int
 
 
-def _features() -> tuple[Feature, ...]:
-    out = []
-    for line in REGISTRY_TEXT.strip().splitlines():
-        name, category, weights, extra, cap, strength, corroboration, block, group, least = line.split()
-        by_score = {}
-        for part in weights.split(","):
-            sign = "+" if "+" in part else "-"
-            short, value = part.split(sign)
-            by_score[SCORE_NAMES[short]] = int(sign + value)
-        out.append(Feature(name, category, by_score, int(extra), int(cap), strength, corroboration == "Y", SCORE_NAMES.get(corroboration), block == "Y", group, int(least)))
-    return tuple(out)
-
-
-FEATURES = _features()
+#: The feature registry in its natural order, with each feature's weight per score.
+FEATURES: tuple[Feature, ...] = (
+    Feature("A001", "AUTOMATION", {"AUTOMATION": 25, "SPAM": 10, "HUMAN_CONTINUITY": -10}, 1, 35, "STRONG", False, None, False, "REPEATED_OUTBOUND_TEXT", 10),
+    Feature("A002", "AUTOMATION", {"AUTOMATION": 20, "SPAM": 10, "HUMAN_CONTINUITY": -5}, 0, 20, "MODERATE", False, None, False, "REPEATED_OUTBOUND_TEXT", 3),
+    Feature("A003", "AUTOMATION", {"AUTOMATION": 15, "SPAM": 10, "HUMAN_CONTINUITY": -10}, 1, 25, "MODERATE", False, None, False, "GENERIC_REPLIES", 5),
+    Feature("A004", "AUTOMATION", {"AUTOMATION": 25, "SPAM": 10, "HUMAN_CONTINUITY": -20}, 0, 25, "MODERATE", False, None, False, "GENERIC_REPLIES", 1),
+    Feature("A005", "AUTOMATION", {"AUTOMATION": 10, "HUMAN_CONTINUITY": -15}, 0, 10, "MODERATE", True, None, False, "THREAD_DEPTH", 20),
+    Feature("A006", "AUTOMATION", {"AUTOMATION": 10, "HUMAN_CONTINUITY": -10}, 0, 10, "MODERATE", True, None, False, "CONTENT_MIX", 1),
+    Feature("A007", "AUTOMATION", {"AUTOMATION": 10, "SPAM": 5, "HUMAN_CONTINUITY": -10}, 0, 10, "MODERATE", True, None, False, "CONTENT_MIX", 1),
+    Feature("A008", "AUTOMATION", {"AUTOMATION": 10}, 0, 10, "MODERATE", True, None, False, "SYNC_POSTING", 3),
+    Feature("A009", "AUTOMATION", {"AUTOMATION": 20}, 0, 20, "MODERATE", False, None, False, "TIMING", 1),
+    Feature("A010", "AUTOMATION", {"AUTOMATION": 15, "SPAM": 5}, 0, 15, "MODERATE", False, None, False, "TIMING", 1),
+    Feature("A011", "AUTOMATION", {"AUTOMATION": 5}, 0, 5, "WEAK", True, None, False, "SHELL", 1),
+    Feature("A012", "AUTOMATION", {"AUTOMATION": 10, "DECEPTION": 10, "HUMAN_CONTINUITY": -5}, 0, 10, "MODERATE", True, None, False, "HIDDEN_HISTORY_PERSONA", 1),
+    Feature("S001", "SPAM", {"SPAM": 25}, 5, 35, "MODERATE", False, None, False, "ENGAGEMENT_BAIT", 1),
+    Feature("S002", "SPAM", {"SPAM": 15, "AUTOMATION": 10, "HUMAN_CONTINUITY": -5}, 0, 15, "MODERATE", False, None, False, "REPEATED_OUTBOUND_TEXT", 5),
+    Feature("S003", "SPAM", {"SPAM": 30, "AUTOMATION": 10}, 2, 40, "MODERATE", False, None, False, "REPEATED_OUTBOUND_TEXT", 5),
+    Feature("S004", "SCAM", {"SCAM": 35, "SPAM": 35, "AUTOMATION": 10}, 5, 50, "STRONG", False, None, True, "REPEATED_OUTBOUND_TEXT", 2),
+    Feature("S005", "SCAM", {"SCAM": 20, "SPAM": 15}, 5, 30, "MODERATE", False, None, False, "DM_FUNNEL", 1),
+    Feature("S006", "SCAM", {"SCAM": 35, "SPAM": 20}, 0, 35, "MODERATE", False, None, False, "CRYPTO_AIRDROP", 1),
+    Feature("S007", "SPAM", {"SPAM": 15, "SCAM": 5}, 0, 15, "MODERATE", False, None, False, "REFERRAL", 1),
+    Feature("S008", "SCAM", {"SCAM": 45, "SPAM": 10}, 0, 45, "STRONG", False, None, True, "MALICIOUS_DESTINATION", 1),
+    Feature("S009", "SPAM", {"SPAM": 25, "AUTOMATION": 10}, 1, 30, "MODERATE", False, None, False, "TEMPLATED_PROMO", 5),
+    Feature("S010", "SPAM", {"SPAM": 25, "SCAM": 20}, 5, 35, "MODERATE", False, None, False, "OFFPLATFORM_FUNNEL", 1),
+    Feature("S011", "SPAM", {"SPAM": 40, "SCAM": 15}, 0, 40, "STRONG", False, None, False, "ADULT_FUNNEL", 1),
+    Feature("S012", "SCAM", {"SCAM": 25, "SPAM": 15}, 0, 25, "MODERATE", False, None, False, "GIVEAWAY_LURE", 1),
+    Feature("S013", "SCAM", {"SCAM": 10, "SPAM": 5}, 0, 10, "WEAK", True, None, False, "BEFRIENDING_OPENERS", 2),
+    Feature("S014", "SCAM", {"SCAM": 10, "SPAM": 10}, 0, 10, "WEAK", True, None, False, "AMPLIFIES_SCAM", 1),
+    Feature("S015", "SPAM", {"SPAM": 20}, 0, 20, "MODERATE", False, None, False, "SELF_PROMO", 1),
+    Feature("S016", "SCAM", {"SCAM": 30}, 0, 30, "MODERATE", False, None, False, "INVESTMENT_SOLICITATION", 1),
+    Feature("S018", "SPAM", {"SPAM": 15}, 5, 20, "MODERATE", False, None, False, "FOLLOW_BACK_FARMING", 2),
+    Feature("I001", "IMPERSONATION", {"IMPERSONATION": 90, "DECEPTION": 20}, 0, 90, "STRONG", False, None, True, "IDENTITY_CLAIM", 1),
+    Feature("I002", "IMPERSONATION", {"IMPERSONATION": 40, "DECEPTION": 15}, 0, 40, "MODERATE", False, None, False, "IDENTITY_CLAIM", 1),
+    Feature("I003", "IMPERSONATION", {"IMPERSONATION": 45}, 0, 45, "MODERATE", False, None, False, "PERSONA_PRESENTATION", 1),
+    Feature("I004", "IMPERSONATION", {"IMPERSONATION": 30}, 0, 30, "MODERATE", False, None, False, "PERSONA_FACTS", 1),
+    Feature("I005", "IMPERSONATION", {"SCAM": 30, "IMPERSONATION": 20}, 0, 30, "MODERATE", False, None, False, "FAKE_REPRESENTATIVE", 1),
+    Feature("D001", "DECEPTION", {"DECEPTION": 25}, 0, 25, "MODERATE", True, None, False, "LOCATION_MISMATCH", 1),
+    Feature("D002", "DECEPTION", {"DECEPTION": 25}, 0, 25, "MODERATE", False, None, False, "IDENTITY_CONTRADICTION", 1),
+    Feature("D003", "DECEPTION", {"DECEPTION": 20}, 0, 20, "MODERATE", False, None, False, "FAKE_STATS", 1),
+    Feature("D004", "DECEPTION", {"DECEPTION": 10}, 0, 10, "WEAK", True, None, False, "SYNTHETIC_PERSONA", 1),
+    Feature("D005", "DECEPTION", {"DECEPTION": 25}, 0, 25, "MODERATE", False, None, False, "SYNTHETIC_PERSONA", 2),
+    Feature("D006", "DECEPTION", {"DECEPTION": 35, "SCAM": 15}, 0, 35, "MODERATE", False, None, False, "BACKUP_CLAIM", 1),
+    Feature("D007", "DECEPTION", {"DECEPTION": 20, "AUTOMATION": 10, "HUMAN_CONTINUITY": -15}, 0, 20, "MODERATE", False, "AUTOMATION", False, "IDENTITY_CHANGE", 1),
+    Feature("W001", "AUTOMATION", {"AUTOMATION": 5, "SPAM": 5, "SCAM": 5}, 0, 5, "WEAK", True, None, False, "ACCOUNT_AGE", 1),
+    Feature("W002", "AUTOMATION", {"AUTOMATION": 3, "DECEPTION": 3}, 0, 3, "WEAK", True, None, False, "USERNAME_PATTERN", 1),
+    Feature("W003", "DECEPTION", {"DECEPTION": 5, "AUTOMATION": 3}, 0, 5, "WEAK", True, None, False, "DISPLAY_NAME_MISMATCH", 1),
+    Feature("W004", "AUTOMATION", {"AUTOMATION": 5, "SPAM": 3}, 0, 5, "WEAK", True, None, False, "FOLLOW_GRAPH", 1),
+    Feature("W005", "DECEPTION", {"DECEPTION": 5}, 0, 5, "WEAK", True, None, False, "IDENTITY_CHANGE", 1),
+    Feature("W006", "SPAM", {"SPAM": 5}, 0, 5, "WEAK", True, None, False, "FOLLOW_GRAPH", 1),
+    Feature("N001", "NETWORK", {"NETWORK_COORDINATION": 60}, 0, 60, "STRONG", False, None, False, "NETWORK", 1),
+    Feature("N002", "NETWORK", {"NETWORK_COORDINATION": 20}, 0, 60, "MODERATE", False, None, False, "NETWORK", 1),
+    Feature("N003", "NETWORK", {"NETWORK_COORDINATION": 5}, 0, 15, "WEAK", False, None, False, "NETWORK", 1),
+    Feature("H001", "HUMAN", {"HUMAN_CONTINUITY": 15, "AUTOMATION": -5}, 0, 15, "MODERATE", False, None, False, "H_CONTEXT_REPLIES", 1),
+    Feature("H002", "HUMAN", {"HUMAN_CONTINUITY": 10, "AUTOMATION": -5}, 0, 10, "MODERATE", False, None, False, "H_PAST_REFERENCES", 1),
+    Feature("H003", "HUMAN", {"AUTOMATION": -15, "HUMAN_CONTINUITY": 20}, 0, 20, "STRONG", False, None, False, "H_CONVERSATIONS", 1),
+    Feature("H004", "HUMAN", {"HUMAN_CONTINUITY": 15, "AUTOMATION": -5}, 0, 15, "MODERATE", False, None, False, "H_LONG_TERM", 1),
+    Feature("H005", "HUMAN", {"HUMAN_CONTINUITY": 10, "AUTOMATION": -5}, 0, 10, "MODERATE", False, None, False, "H_ORIGINAL", 1),
+    Feature("H006", "HUMAN", {"HUMAN_CONTINUITY": 5}, 0, 5, "WEAK", False, None, False, "H_RHYTHM", 1),
+    Feature("H007", "HUMAN", {"HUMAN_CONTINUITY": 15, "AUTOMATION": -5}, 0, 15, "MODERATE", False, None, False, "H_RECOGNITION", 1),
+    Feature("H008", "HUMAN", {"IMPERSONATION": -40}, 0, 40, "MODERATE", False, None, False, "H_HONEST_LABEL", 1),
+    Feature("H009", "HUMAN", {"HUMAN_CONTINUITY": 10, "AUTOMATION": -5}, 0, 10, "MODERATE", False, None, False, "H_PERSONAL", 1),
+    Feature("H010", "HUMAN", {"HUMAN_CONTINUITY": 10, "AUTOMATION": -5}, 0, 10, "MODERATE", False, None, False, "H_CONVERSATIONS", 1),
+)
