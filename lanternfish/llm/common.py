@@ -21,6 +21,8 @@ BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 BROADCAST_ROWS = 200_000
 #: Most bytes that it may have.
 BROADCAST_BYTES = 64_000_000
+#: Rows of a file of a table of short rows.
+ROWS_A_FILE = 200_000
 #: Bytes of text that a Python operator holds as arrays at a time.
 RUN_BYTES = 1_000_000
 #: Bytes of a batch of rows on its way to Python.
@@ -52,9 +54,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, name)
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage is cut and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None, a_file: int = ROWS_A_FILE, **options: str) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage is cut and survives lost executors.
+
+    Where a bound on the number of rows is known, there are no more files than rows / a_file ask for, so that a small table
+    isn't hundreds of tiny files.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // a_file)))
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

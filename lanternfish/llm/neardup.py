@@ -25,6 +25,8 @@ from lanternfish.operators.components import connected_components
 THRESHOLD = 0.8
 #: Texts of a side of a block in which all pairs of texts of different classes are compared.
 BLOCK = 1_024
+#: Texts of a file of shingle sets.
+SETS_A_FILE = 20_000
 
 
 def content_ids(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
@@ -129,7 +131,7 @@ def _cells(buckets: DataFrame, sets: DataFrame, bands: bool = True):
     With bands, each row has the hashes of all open buckets of its text by nth, null where that bucket is not open.
     """
     large = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots")).where("slots > 1")
-    rows = buckets.join(small(written(large, "large")), "band", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    rows = buckets.join(small(large), "band", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("content"), F.col("slots")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
     rows = rows.withColumn("cell", F.explode(other)).select("nth", "band", "cell.i", "cell.j", "slot", "content", "component")
@@ -225,22 +227,28 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     """doc_id, row_key and label (of the row's class; null for a text without words) of each of the rows (doc_id, row_key, text)."""
     bounded_batches(keyed.sparkSession)
     rows = written(signed(keyed, words), "signed")
+    n = rows.where("content <> 0").count()
+    some = lambda df, name, each=1: written(df, name, rows=each * n)
     texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "row_key", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
     texts = texts.select("content", "x.doc_id", "x.row_key", "x.bands")
     shared = texts.select("content", F.posexplode("bands").alias("nth", "band"))
-    leaders = written(shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    buckets = written(_by_band(shared, leaders), "buckets")
-    wanted = written(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
-    sets = written(_sets(keyed, wanted, words), "sets")
-    cut = lambda df: written(df, "edges")
+    leaders = shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    buckets = some(_by_band(shared, some(leaders, "leaders", bagminhash.BANDS // 2)), "buckets", bagminhash.BANDS)
+    wanted = some(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
+    sets = written(_sets(keyed, wanted, words), "sets", rows=n, a_file=SETS_A_FILE)
     pairs = buckets.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
-    links = written(_linked_pairs(pairs, sets, threshold), "links")
-    found = written(connected_components(links, cut), "components")
+    links = some(_linked_pairs(pairs, sets, threshold), "links")
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        m = links.count()
+        return written(connected_components(links, lambda df: written(df, "edges", rows=2 * m)), "components", rows=2 * m)
+
+    found = classes_of(links)
 
     def still_open() -> DataFrame:
         placed = buckets.join(found, buckets["content"] == found["node"], "left").select("nth", "band", "content", F.coalesce("component", "content").alias("component"))
         bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
-        return written(_by_band(placed, written(bands, "bands")), "open")
+        return some(_by_band(placed, some(bands, "bands", bagminhash.BANDS // 2)), "open", bagminhash.BANDS)
 
     for last in (False, True):
         cells = _cells(still_open(), sets, bands=last)
@@ -248,7 +256,7 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
         more = written(more, "links")
         if more.limit(1).count():
             links = links.unionByName(more)
-            found = written(connected_components(links, cut), "components")
+            found = classes_of(links)
     return rows.join(found, rows["content"] == found["node"], "left").select("doc_id", "row_key", F.when(F.col("content") != 0, F.coalesce("component", "content")).alias("label"))
 
 
