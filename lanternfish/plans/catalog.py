@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "scoring", "decisions", "flow", "lists", "review")
+MODULES = ("text", "scoring", "decisions", "flow", "lists", "review", "evidence", "ledger")
 
 
 def _gathered(name: str) -> dict:

@@ -18,3 +18,18 @@ def registry() -> tuple[dict, dict, object]:
         return add
 
     return queries, oracle, query
+
+
+def relation(spark, sf_dir: str, text: str):
+    """The rows of a SELECT that both engines read alike; it names tables as {customer}."""
+    from string import Formatter
+
+    from lanternfish.sources.tables import table
+
+    names = {name for _, name, _, _ in Formatter().parse(text) if name}
+    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
+
+
+def plain(text: str) -> str:
+    """The same SELECT for the other engine, where tables have their names."""
+    return text.replace("{", "").replace("}", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.functions import links, names
+from lanternfish.functions import links
 from lanternfish.operators import model
 from lanternfish.plans.common import registry
 from lanternfish.plans.projections import INSTANCES_SQL, instances
@@ -51,14 +51,6 @@ def link_watch_match(spark, sf_dir):
     return found.select(F.col("id").alias("page_id"), "pos", "how")
 
 
-@query()
-def name_rule(spark, sf_dir):
-    """Names made of customers' numbers, by the rule they meet; tests hold the rule against literals."""
-    made = F.element_at(F.array(*map(F.lit, ("Elon Musk", "iam_elon", "3l0n", "watermelon", "Tesla CEO", "muskrat", "Е1оn Тesla"))), (F.col("c_custkey") % 7 + 1).cast("int"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(made, F.lit(" "), F.col("c_mktsegment")).alias("name"))
-    return rows.select("c_custkey", "name", names.impersonates(F.col("name"), ("watermelon",)).alias("rule"))
-
-
 @query("""with n as (select c_custkey as seq, 'C' || (c_custkey // 2) as handle, lower('C' || (c_custkey // 2)) as key from customer)
 select seq, handle, case when key in (select lower('c' || s_suppkey) from supplier where s_suppkey % 5 = 0) then 'ALLOWLISTED' when (seq // 2) between 1 and 100 and (seq // 2) % 3 = 0 then 'REMOVED_BEFORE' when (seq // 2) between 1 and 100 then 'LISTED'
     when row_number() over (partition by key order by seq) > 1 then 'DUPLICATE' else 'ADDED' end as result from n""")
