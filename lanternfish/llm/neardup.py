@@ -113,16 +113,16 @@ def _alike(low: np.ndarray, row: np.ndarray, threshold: float) -> np.ndarray:
     return (low == row).sum(axis=1) >= low.shape[1] * (threshold - 5 * (threshold * (1 - threshold) / low.shape[1]) ** 0.5)
 
 
-def _by_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """rows (band, content and others) joined with bands (band, n, others), where no task gets a whole large bucket.
+def _by_group(rows: DataFrame, groups: DataFrame, key: str = "band", spread: str = "content") -> DataFrame:
+    """rows (key, spread and others) joined with groups (key, n, others), where no task gets all rows of a large group.
 
-    Buckets of more than BLOCK texts, which are at most one row in BLOCK, are named to the rows first (by broadcast if they
-    are few); their rows are then dealt to slots by hash, and the band's own row goes to each of its slots.
+    Groups of more than BLOCK rows, which are at most one row in BLOCK, are named to the rows first (by broadcast if they are
+    few); their rows are then dealt to slots by a hash of `spread`, and the group's own row goes to each of its slots.
     """
-    large = bands.where(F.col("n") > BLOCK).select(F.col("band").alias("_band"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_slots"))
-    dealt = rows.join(small(large), F.col("band") == F.col("_band"), "left").withColumn("_slot", F.coalesce(F.pmod(F.xxhash64("content"), F.col("_slots")), F.lit(0)).cast("int")).drop("_band", "_slots")
+    large = groups.where(F.col("n") > BLOCK).select(F.col(key).alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("_slots"))
+    dealt = rows.join(small(large), F.col(key) == F.col("_key"), "left").withColumn("_slot", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_slots")), F.lit(0)).cast("int")).drop("_key", "_slots")
     slots = F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)
-    return dealt.join(bands.withColumn("_slot", F.explode(slots)), ["band", "_slot"]).drop("_slot", "n")
+    return dealt.join(groups.withColumn("_slot", F.explode(slots)), [key, "_slot"]).drop("_slot", "n")
 
 
 def _cells(buckets: DataFrame, sets: DataFrame, bands: bool = True):
@@ -233,7 +233,7 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     texts = texts.select("content", "x.doc_id", "x.row_key", "x.bands")
     shared = texts.select("content", F.posexplode("bands").alias("nth", "band"))
     leaders = shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = some(_by_band(shared, some(leaders, "leaders", bagminhash.BANDS // 2)), "buckets", bagminhash.BANDS)
+    buckets = some(_by_group(shared, some(leaders, "leaders", bagminhash.BANDS // 2)), "buckets", bagminhash.BANDS)
     wanted = some(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
     sets = written(_sets(keyed, wanted, words), "sets", rows=n, a_file=SETS_A_FILE)
     pairs = buckets.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
@@ -248,7 +248,7 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     def still_open() -> DataFrame:
         placed = buckets.join(found, buckets["content"] == found["node"], "left").select("nth", "band", "content", F.coalesce("component", "content").alias("component"))
         bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
-        return some(_by_band(placed, some(bands, "bands", bagminhash.BANDS // 2)), "open", bagminhash.BANDS)
+        return some(_by_group(placed, some(bands, "bands", bagminhash.BANDS // 2)), "open", bagminhash.BANDS)
 
     for last in (False, True):
         cells = _cells(still_open(), sets, bands=last)
@@ -271,8 +271,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -
     table gives no rows.
     """
     named = _labelled(_keyed(docs, "doc_id", "text"), threshold, words)
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", F.coalesce("least", "doc_id").alias("class_id"))
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    least = written(least, "least", rows=named.count())
+    alone = named.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    return _by_group(named.where("label is not null"), least, "label", "row_key").select("doc_id", F.col("least").alias("class_id")).unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
