@@ -3,15 +3,13 @@
 What is compared with templates are a file's units: its lines and sentences, its paragraphs and comment blocks without the
 comment marks (so that wrapped headers are whole), and the whole text of a file that is named like a licence file. Units and
 templates are sparse TF-IDF vectors of their words, with the idf of all files. A unit is of the template of the greatest
-cosine, if that is at least THRESHOLD. A unit can reach it only if it holds a word of the template's heavy part, the
-fewest words without which the rest of the template is too short a vector; so only units with such a word are compared, and
-none is lost. SPDX tags are read as they are. A file without a licence of its own has that of the licence file in its nearest
+cosine, if that is at least THRESHOLD. A unit can reach it only if it holds one of the heavy terms, as is proved from the
+templates' vectors; so only units with such a word are compared, and none is lost. SPDX tags are read as they are. A file without a licence of its own has that of the licence file in its nearest
 ancestor directory.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -52,28 +50,36 @@ def _idf(n: Column, total: int) -> Column:
     return F.log((total + 1.0) / (n + 1)) + 1
 
 
+def _weight(tf: Column, n: Column, total: int) -> Column:
+    return (1 + F.log(tf)) * _idf(n, total)
+
+
 def _weighed(templates: DataFrame, known: DataFrame, total: int) -> list:
-    """template, term, w of the templates' terms; a term that no file holds counts as held by none."""
+    """template, term, n, w of the templates' terms; a term that no file holds counts as held by none."""
     own = templates.select("template", F.explode(words(F.col("text"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
-    rows = own.join(known, "term", "left").select("template", "term", (F.col("tf") * _idf(F.coalesce("n", F.lit(0)), total)).alias("w"))
+    rows = own.join(known, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).select("template", "term", "n", _weight(F.col("tf"), F.col("n"), total).alias("w"))
     return sorted(rows.collect(), key=lambda r: (r["template"], r["term"]))
 
 
 def heavy_terms(weights: list, threshold: float) -> list[str]:
-    """The heavy parts of all templates: words by falling weight until the rest's norm is below the threshold's share of the whole."""
-    by = defaultdict(list)
+    """Terms of which a unit must hold one to be like any template.
+
+    A term's share is its greatest part of a template's squared length. The cosine with a template is at most the root of the
+    shares of the terms in common; so terms whose shares together stay below the threshold's square can't reach it without
+    one of the others. The most frequent terms are taken for these, as far as their shares go.
+    """
+    lengths, share = defaultdict(float), defaultdict(float)
+    for r in weights:
+        lengths[r["template"]] += r["w"] ** 2
     for r in weights:
-        by[r["template"]].append((r["w"], r["term"]))
-    out = set()
-    for terms in by.values():
-        rest = math.fsum(w * w for w, _ in terms)
-        least = rest * threshold * threshold * (1 - 1e-9)
-        for w, term in sorted(terms, key=lambda x: (-x[0], x[1])):
-            if rest < least:
-                break
-            out.add(term)
-            rest -= w * w
-    return sorted(out)
+        share[r["term"]] = max(share[r["term"]], r["w"] ** 2 / lengths[r["template"]])
+    held = {r["term"]: r["n"] for r in weights}
+    light, left = set(), threshold * threshold * (1 - 1e-9)
+    for term in sorted(share, key=lambda t: (-held[t], t)):
+        if share[term] < left:
+            left -= share[term]
+            light.add(term)
+    return sorted(set(share) - light)
 
 
 def scanned(files: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, mostly: float = MOSTLY, kinds: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -97,10 +103,10 @@ def scanned(files: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMP
     is_named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))
     some = held.where(F.arrays_overlap(words(F.col("text")), heavy)).select("file", F.explode(units(F.col("text"), is_named)).alias("words")).where(F.arrays_overlap("words", heavy))
     found = written(some.select("file", F.md5(F.array_join("words", " ")).alias("unit"), "words").distinct(), "found")
-    theirs = spark.createDataFrame(weights, "template int, term string, v double") if weights else spark.createDataFrame([], "template int, term string, v double")
+    theirs = spark.createDataFrame([(r["template"], r["term"], r["w"]) for r in weights], "template int, term string, v double")
     norms = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     own = found.select("unit", "words").dropDuplicates(["unit"]).select("unit", F.explode("words").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    own = written(own.join(known, "term").select("unit", "term", (F.col("tf") * _idf(F.col("n"), total)).alias("w")), "terms")
+    own = written(own.join(known, "term").select("unit", "term", _weight(F.col("tf"), F.col("n"), total).alias("w")), "terms")
     own_norms = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
     dots = own.join(F.broadcast(theirs), "term").groupBy("unit", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     likes = dots.join(own_norms, "unit").join(F.broadcast(norms), "template").withColumn("similarity", F.round(F.col("dot") / (F.col("own_norm") * F.col("norm")), 6))

@@ -147,9 +147,9 @@ templates as (select * from (values {", ".join(f"({i}, '{a}', '{b}', {_QUOTED(c)
 total as (select count(*) as n from files where text is not null),
 known as (select term, count(*) as n from (select unnest(list_distinct({_WORDS.format("text")})) as term from files) group by term),
 theirs as (select template, term, count(*) as tf from (select template, unnest({_WORDS.format("text")}) as term from templates) group by all),
-b as (select template, term, tf * (ln((total.n + 1.0) / (coalesce(known.n, 0) + 1)) + 1) as w from theirs left join known using (term), total),
+b as (select template, term, (1 + ln(tf)) * (ln((total.n + 1.0) / (coalesce(known.n, 0) + 1)) + 1) as w from theirs left join known using (term), total),
 own as (select unit, term, count(*) as tf from (select unit, unnest(string_split(unit, ' ')) as term from (select distinct unit from found where unit <> '')) group by all),
-a as (select unit, term, tf * (ln((total.n + 1.0) / (known.n + 1)) + 1) as w from own join known using (term), total),
+a as (select unit, term, (1 + ln(tf)) * (ln((total.n + 1.0) / (known.n + 1)) + 1) as w from own join known using (term), total),
 likes as (
     select unit, template, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) as similarity
     from a join b using (term) join (select unit, sqrt(sum(w * w)) as norm from a group by 1) x using (unit)
