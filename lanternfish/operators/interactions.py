@@ -43,9 +43,9 @@ def advanced(rows: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
-    """The first arrival of each interaction."""
+    """The first arrival of each interaction; a null post is another than an empty one."""
     least = F.min_by(F.struct(*rows.columns), F.col("seq"))
-    return rows.groupBy(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in KEY]).agg(least.alias("x")).select("x.*")
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY]).agg(least.alias("x")).select("x.*")
 
 
 def history(rows: DataFrame) -> DataFrame:
@@ -65,15 +65,21 @@ def bursts(rows: DataFrame, last: int = 200) -> DataFrame:
 
 
 def running(rows: DataFrame) -> DataFrame:
-    """Each row with the account's history up to it: seen kinds, posts, and counts of follows, replies, likes and reposts."""
+    """Each row with the account's history up to it: seen kinds, posts, and counts of follows, replies, likes and reposts.
+
+    A kind or post counts at its first row, so that running sums do, and no row holds a set of all before it.
+    """
     order = Window.partitionBy("handle").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)).over(order)
-    return rows.withColumns(
+    first = lambda c: F.col(c).isNotNull() & (F.row_number().over(Window.partitionBy("handle", c).orderBy("seq")) == 1)
+    rows = rows.withColumns({"_kind": first("kind"), "_post": first("post")})
+    rows = rows.withColumns(
         {
-            "diversity": F.size(F.collect_set("kind").over(order)), "n_posts": F.size(F.collect_set("post").over(order)),
+            "diversity": F.count_if("_kind").over(order).cast("int"), "n_posts": F.count_if("_post").over(order).cast("int"),
             "follows": count("NEW_FOLLOW"), "replies": count("REPLY"), "likes": count("LIKE", "REPOST"),
         }
     )
+    return rows.drop("_kind", "_post")
 
 
 def priority(rows: DataFrame) -> DataFrame:

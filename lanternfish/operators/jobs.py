@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # The order of tiers in a plan, and rates of the paced job.
 TIER_ORDER = ("OWNER_BLOCK", "BLOCK_CONFIRMED", "KNOWN_SCAM_LIST", "AUTO_BLOCK_PATTERN", "OWNER_TRAINED")
 BATCH_SIZE, BATCH_MOST, BATCHES_A_DAY, PAUSE_MINUTES, ATTEMPTS = 20, 25, 5, 10, 3
-SECRET_KEY = "(?i)password|cookie|token|secret|credential|session"
+# Keys that no stored payload may have at any depth, in any case.
+SECRET_KEYS = ("password", "cookie", "cookies", "token", "auth_token", "ct0", "2fa", "otp", "session", "passkey")
 
 
 def handle_key(handle: Column) -> Column:
@@ -37,7 +38,7 @@ def plan(candidates: DataFrame, done: list[DataFrame], n: int = BATCH_SIZE) -> D
     for other in done:
         rows = rows.join(other.select(handle_key(F.col("handle")).alias("key")), "key", "left_anti")
     rank = F.array_position(F.array(*map(F.lit, TIER_ORDER)), F.col("tier"))
-    return rows.orderBy(rank, "key").limit(min(max(n, 1), 10_000)).drop("key")
+    return rows.orderBy(rank, "key").limit(max(n, 1)).drop("key")
 
 
 def verified(row: Column | None = None) -> Column:
@@ -78,8 +79,20 @@ def report_history(reports: DataFrame) -> DataFrame:
     return reports.groupBy("handle").agg(F.count("*").alias("attempts"), last.alias("x"), F.max("no_retry").alias("no_retry")).select("handle", "attempts", "x.*", "no_retry")
 
 
+def payload_keys(payload: Column) -> Column:
+    """All keys of a JSON text, at any depth, in lower case: its strings that a colon follows. Strings are read whole, one after another, so that none is sought within another."""
+    strings = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    return F.transform(F.filter(strings, lambda s: F.endswith(s, F.lit(":"))), lambda s: F.lower(F.regexp_extract(s, r'(?s)^"(.*)"', 1)))
+
+
 def audit_events(events: DataFrame, versions: dict[str, str]) -> DataFrame:
-    """Events (stage, event, payload: a JSON object, handle) stamped with versions; a payload with a credential-like key raises."""
-    bad = F.exists(F.coalesce(F.json_object_keys("payload"), F.expr("array()").cast("array<string>")), lambda k: k.rlike(SECRET_KEY))
+    """Events (stage, event, payload: a JSON text or null, handle) stamped with versions; a payload with a credential's key at any depth raises."""
+    bad = F.coalesce(F.arrays_overlap(payload_keys(F.col("payload")), F.array(*map(F.lit, SECRET_KEYS))), F.lit(False))
     checked = F.when(bad, F.raise_error(F.lit("credential-like key in an audit payload"))).otherwise(F.col("payload"))
     return events.withColumn("payload", checked).withColumns({k: F.lit(v) for k, v in versions.items()})
+
+
+def upgraded_events(events: DataFrame, versions: tuple[str, ...], older: str = "pre-v0.1.0") -> DataFrame:
+    """Stored events with all version columns; those that an older store lacks say so."""
+    missing = {v: F.lit(older) for v in versions if v not in events.columns}
+    return events.withColumns(missing) if missing else events

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish import config
@@ -40,7 +40,13 @@ def family(rows: DataFrame, by: str) -> DataFrame:
     return out.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn"), "fpr": share("fp", "tn"), "fnr": share("fn", "tp"), "precision_low": low, "precision_high": high})
 
 
-def upper_median(values: Column) -> Column:
-    """The element at the middle, the greater of two."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+def upper_medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per group: n, least, most and the element in the middle, the greater of two; nulls are left out.
+
+    It is found from running sums of the counts of distinct values, so that no task holds a group's rows in memory.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"_upto": upto, "_total": F.sum("_n").over(Window.partitionBy(*by))})
+    middle = F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), F.col(value)))
+    return placed.groupBy(*by).agg(F.sum("_n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), middle.alias("upper_median"))

@@ -5,6 +5,7 @@ Training rows are one owner's answers, so a group's rows fit in one task by natu
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterable
 
@@ -58,20 +59,23 @@ def contributions(features: Column, weights: dict[str, float], k: int = 3) -> Co
 
 
 def leave_one_out(training: DataFrame) -> DataFrame:
-    """handle, score of each training row (handle, features, label) by a model of all others; each held-out row is a task's group."""
-    every = training.groupBy().agg(F.array_sort(F.collect_list(F.struct("handle", "features", "label"))).alias("rows"))
-    folds = training.select(F.col("handle").alias("held")).join(F.broadcast(every), F.lit(True))
+    """owner, handle, score of each training row (owner, handle, features, label) by a model of all other rows of its owner.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for held, rows in zip(pdf["held"], pdf["rows"], strict=True):
-            rest = [r for r in rows if r["handle"] != held]
-            own = next(r for r in rows if r["handle"] == held)
-            weights, bias = fit([r["features"] for r in rest], [r["label"] for r in rest], sorted({f for r in rest for f in r["features"]}))
-            out.append((held, float(sigmoid(bias + sum(weights.get(f, 0.0) for f in own["features"])))))
-        return pd.DataFrame(out, columns=["handle", "score"])
+    One owner's answers are few and a task's group; owners are scored in parallel. Without an owner column all rows are one
+    owner's. Each row is held out by itself, also where a handle has several.
+    """
+    rows = training if "owner" in training.columns else training.withColumn("owner", F.lit("owner"))
+
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("handle", kind="stable", ignore_index=True)
+        scores = []
+        for i, own in enumerate(pdf["features"]):
+            rest = pdf.drop(index=i)
+            weights, bias = fit(list(rest["features"]), list(rest["label"]), sorted({f for row in rest["features"] for f in row}))
+            scores.append(float(sigmoid(bias + sum(weights.get(f, 0.0) for f in own))))
+        return pd.DataFrame({"owner": key[0], "handle": pdf["handle"], "label": pdf["label"].astype("int32"), "score": scores})
 
-    return folds.groupBy("held").applyInPandas(one, "handle string, score double")
+    return rows.select("owner", "handle", "features", "label").groupBy("owner").applyInPandas(each, "owner string, handle string, label int, score double")
 
 
 def threshold(scores: DataFrame) -> DataFrame:
@@ -97,6 +101,42 @@ def stratified_folds(labels: list[int], k: int = 5, seed: int = 7) -> list[int]:
     return out
 
 
+def training_hash(rows: list[tuple]) -> str:
+    """Eight digits that change with the training rows (handle, label, human, features), whatever their order."""
+    text = "\n".join("|".join((str(h).lower(), str(y), str(p), ",".join(sorted(f)))) for h, y, p, f in sorted(rows, key=lambda r: (str(r[0]).lower(), r[1])))
+    return hashlib.sha256(text.encode()).hexdigest()[:8]
+
+
+def refitted(training: DataFrame, model: dict | None = None, force: bool = False) -> dict:
+    """The owner's model after the answers (handle, label, human, features) so far: the old one unless they changed.
+
+    A new model counts its refits and names the hash of its rows. It is inactive with too few answers, or if no block of the
+    owner's clears the threshold that no keep and no human does. The rows are one owner's answers, few by nature.
+    """
+    rows = sorted(((r["handle"], r["label"], r["human"], r["features"]) for r in training.collect()), key=lambda r: (r[0].lower(), r[1]))
+    sha = training_hash(rows)
+    if model and model["training_sha8"] == sha and not force:
+        return model
+    labels = [r[1] for r in rows]
+    new = {"refit": (model or {}).get("refit", 0) + 1, "training_sha8": sha, "n_block": sum(labels), "n_keep": len(labels) - sum(labels), "active": False, "why_inactive": "too few answers"}
+    if not active(labels):
+        return new
+    features = [r[3] for r in rows]
+    vocabulary = lambda some: sorted({f for row in some for f in row})
+    scores = []
+    for i, own in enumerate(features):
+        rest = features[:i] + features[i + 1 :]
+        weights, bias = fit(rest, labels[:i] + labels[i + 1 :], vocabulary(rest))
+        scores.append(float(sigmoid(bias + sum(weights.get(f, 0.0) for f in own))))
+    barred = [s for s, (_, y, human, _) in zip(scores, rows, strict=True) if not y or human]
+    top = max(barred, default=0.5)
+    above = [s for s, y in zip(scores, labels, strict=True) if y and s > top]
+    limit = round((top + min(above)) / 2 if above and min(above) - top > 2 * MARGIN else min(0.999, top + MARGIN), 4)
+    caught = sum(1 for s, y in zip(scores, labels, strict=True) if y and s >= limit)
+    weights, bias = fit(features, labels, vocabulary(features))
+    return new | {"active": caught > 0, "why_inactive": None if caught else "no owner block clears the threshold", "weights": weights, "bias": bias, "threshold": limit, "caught": caught}
+
+
 def active(labels: list[int]) -> bool:
     """Whether there are answers enough to use a model."""
     return sum(labels) >= MIN_BLOCKS and len(labels) - sum(labels) >= MIN_KEEPS

@@ -179,8 +179,7 @@ def labels_needed(spark, sf_dir):
 
 @query("select l_returnflag, l_linestatus, list_sort(list(l_quantity))[count(*) // 2 + 1] as upper_median, min(l_quantity) as least, max(l_quantity) as most, count(*) as n from lineitem group by 1, 2")
 def upper_median(spark, sf_dir):
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(metrics.upper_median(q).alias("upper_median"), F.min(q).alias("least"), F.max(q).alias("most"), F.count("*").alias("n"))
+    return metrics.upper_medians(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 @query("""select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(avg(l_quantity), 4) as avg_qty, count(*) as n

@@ -80,7 +80,7 @@ def model_gd_scores(spark, sf_dir):
 @query()
 def model_loo_threshold(spark, sf_dir):
     training = _training(spark, sf_dir)
-    scores = model.leave_one_out(training).join(training.select("handle", "label"), "handle").withColumn("protected", F.lit(False))
+    scores = model.leave_one_out(training).withColumn("protected", F.lit(False))
     return model.threshold(scores)
 
 
