@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lanternfish.llm.common import small, words, written
 
 WINDOW = 10
+#: Test items of a file of items, of their terms and of their windows.
+ITEMS_A_FILE = 2_000
 
 
 def windows_of(count: Column, size: int) -> Column:
@@ -35,11 +37,12 @@ class Items:
 
 def items_of(benchmark: DataFrame, window: int = WINDOW) -> Items:
     """Test items (item_id, text). Items of the same words are one, with all their ids; items without words are left out."""
+    n = benchmark.count()
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
     texts = rows.groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    texts = written(texts.select(F.xxhash64("words").alias("item"), "words", "item_ids", F.size("words").alias("size")), "items")
+    texts = written(texts.select(F.xxhash64("words").alias("item"), "words", "item_ids", F.size("words").alias("size")), "items", rows=n, a_file=ITEMS_A_FILE)
     terms = texts.select(F.explode("words").alias("term")).distinct().withColumn("term_id", F.xxhash64("term"))
-    return Items(texts, written(terms, "terms"), window)
+    return Items(texts, written(terms, "terms", rows=n, a_file=ITEMS_A_FILE), window)
 
 
 def build_index(docs: DataFrame, items: Items) -> DataFrame:
@@ -66,7 +69,7 @@ def _rarest(items: Items, index: DataFrame) -> DataFrame:
     )
     both = both.withColumns({f"{c}_2": F.coalesce(f"{c}_2", f"{c}_1") for c in ("place", "term_id")})
     keys = ["item", "place_1", "term_id_1", "place_2", "term_id_2"]
-    return written(both.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("starts")), "rarest")
+    return written(both.groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("starts")), "rarest", rows=items.texts.count(), a_file=ITEMS_A_FILE)
 
 
 def candidates(items: Items, index: DataFrame, slop: int = 0) -> DataFrame:
@@ -140,4 +143,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with their own columns, in which no window of an item occurs."""
     renamed = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    return matches(renamed, items_of(benchmark, window)).where("n_hit = 0").select("row.*")
+    rows = matches(renamed, items_of(benchmark, window))
+    # A filter would be pushed below the steps before it and compute a text's words anew for each use; a generator isn't.
+    return rows.select("row", F.explode(F.when(F.col("n_hit") == 0, F.array(F.lit(1))))).select("row.*")
