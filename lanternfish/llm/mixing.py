@@ -100,7 +100,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, weights:
         F.max(F.when(F.col("source_size") > 0, epochs).otherwise(1)).cast("int").alias("_epochs"),
         F.max(F.when((F.col("source_size") > 0) & (F.col("taken") > epochs * F.col("size")), F.col("key"))).alias("_cut"),
     )
-    cuts = small(written(cuts, "cuts", rows=taken.select("source").distinct().count()))
+    cuts = small(written(cuts, "cuts", rows=docs.select("source").distinct().count()))
     named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_own"), random_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("_key"))
     copies = F.col("_epochs") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
     out = named.join(cuts, F.col("_own").eqNullSafe(F.col("_source")))
