@@ -29,10 +29,25 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return parsed_list(lines.withColumn("n", F.col("n") + 1))
 
 
-def rendered_list(entries: DataFrame) -> DataFrame:
-    """Lines of a list in the order of handles: an entry as JSON without empty fields."""
+def rendered_list(entries: DataFrame, updated: str, maintainer: bool = False) -> DataFrame:
+    """n, value: the lines of a list: a header with counts and the date, entries by handle, then tombstones; empty fields are left out.
+
+    Only maintainers may render the shared list; for others it raises.
+    """
+    if not maintainer:
+        raise PermissionError("the shared list is changed by maintainers only")
     fields = [n.split()[0] for n in ENTRY.split(", ")]
-    return entries.select(F.lower("handle").alias("key"), F.to_json(F.struct(*fields)).alias("value")).orderBy("key").select("value")
+    gone = F.coalesce("tombstone", F.lit(False))
+    counts = entries.agg(F.count_if(~gone).alias("a"), F.count_if(gone).alias("r"))
+    head = counts.select(F.struct(F.lit(0).alias("part"), F.lit("").alias("key")).alias("n"), F.format_string(f"# accounts: %d, removed: %d, updated: {updated}", "a", "r").alias("value"))
+    lines = entries.select(F.struct(F.when(gone, 2).otherwise(1).alias("part"), F.lower("handle").alias("key")).alias("n"), F.to_json(F.struct(*fields)).alias("value"))
+    return head.unionByName(lines).orderBy("n")
+
+
+def updated_on(lines: DataFrame) -> DataFrame:
+    """The date of the last comment of a list's lines (n, value) that names one."""
+    dated = F.regexp_extract("value", r"^\s*#.*updated:\s*(\d{4}-\d{2}-\d{2})", 1)
+    return lines.select("n", dated.alias("day")).where("day <> ''").agg(F.max_by("day", "n").alias("updated"))
 
 
 def ingested(existing: DataFrame, new: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -21,12 +21,38 @@ def flattened(states: DataFrame) -> DataFrame:
 
 
 def export(datasets: dict[str, DataFrame], folder: str, versions: dict[str, str]) -> DataFrame:
-    """Write each dataset as CSV with a header and return the manifest: name, path, rows, content hash (order-free) and versions."""
-    spark, manifest = next(iter(datasets.values())).sparkSession, []
+    """Write each dataset as CSV with a header, and return the manifest: dataset, file, bytes and sha256 of each file, and versions.
+
+    Hashes are of the files as they were written; nothing is computed twice and each file is read by one task.
+    """
+    out = None
     for name, df in datasets.items():
-        flat = flattened(df)
-        flat.write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}")
-        total = flat.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*flat.columns).cast("decimal(38,0)")).alias("h")).first()
-        manifest.append((name, f"{folder}/{name}", total["n"], str(total["h"]), *versions.values()))
-    fields = ["name string", "path string", "n_rows long", "content_hash string", *[f"{v} string" for v in versions]]
-    return spark.createDataFrame(manifest, ", ".join(fields))
+        spark, path = df.sparkSession, f"{folder}/{name}"
+        flattened(df).write.mode("errorifexists").option("header", True).csv(path)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+        rows = files.select(F.lit(name).alias("dataset"), F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumns({k: F.lit(v) for k, v in versions.items()})
+
+
+def verified_export(manifest: DataFrame, folder: str) -> DataFrame:
+    """The manifest's rows with same: whether the file still has its hash; a file that is gone has not."""
+    spark = manifest.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder)
+    now = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.sha2("content", 256).alias("_now"))
+    return manifest.join(now, "file", "left").withColumn("same", F.coalesce(F.col("_now") == F.col("sha256"), F.lit(False))).drop("_now")
+
+
+def audit_log(states: DataFrame, folder: str, header: dict[str, str]) -> None:
+    """Write states as JSON lines of type account, and one of type run with the header's fields."""
+    spark = states.sparkSession
+    run = spark.range(1).select(F.to_json(F.struct(F.lit("run").alias("type"), *[F.lit(v).alias(k) for k, v in sorted(header.items())])).alias("value"))
+    rows = states.select(F.to_json(F.struct(F.lit("account").alias("type"), *states.columns)).alias("value"))
+    run.unionByName(rows).write.mode("errorifexists").text(folder)
+
+
+def results(states: DataFrame, folder: str, columns: list[str]) -> None:
+    """Write the named columns, and beside them all columns, as CSV with a header."""
+    flat = flattened(states)
+    flat.select(*columns).write.mode("errorifexists").option("header", True).csv(f"{folder}/results")
+    flat.write.mode("errorifexists").option("header", True).csv(f"{folder}/results_full")
