@@ -225,6 +225,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert scout.accepted().count() == 20
 
 
+def test_scout_batches(spark, tmp_path):
+    """Late and repeated rows go, marks are per source, replays change nothing."""
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    scout = scouting.Scout(spark, str(tmp_path / "s"))
+    batch = lambda *rows: spark.createDataFrame([(i, "h", k, "p", t, False) for i, (k, t) in enumerate(rows)], scouting.SCHEMA)
+    first = batch(("LIKE", at(5)), ("LIKE", at(5)), ("NEW_FOLLOW", at(3)), ("LIKE", None))
+    scout.ingest(first, 0)
+    assert scout.accepted().count() == 2
+    scout.ingest(batch(("LIKE", at(4)), ("LIKE", at(6)), ("NEW_FOLLOW", at(4))), 1)
+    scout.ingest(first, 0)
+    scout.ingest(first, 7)
+    assert sorted((r["kind"], r["ts"].hour) for r in scout.accepted().collect()) == [("LIKE", 5), ("LIKE", 6), ("NEW_FOLLOW", 3), ("NEW_FOLLOW", 4)]
+    assert {r["source"]: r["mark"].hour for r in scout.marks().collect()} == {"NOTIF": 6, "FOLLOW": 4}
+
+
 def test_schema(spark):
     from lanternfish.functions import schema
 
