@@ -62,12 +62,19 @@ def compatible(text: Column) -> Column:
     return F.pandas_udf(each, T.StringType())(text)
 
 
-def normalized(text: Column) -> Column:
-    """Compatible characters, links cleaned in place, no emoji, lower case, single spaces. Null becomes the empty text."""
+def needs_python(text: Column) -> Column:
+    """Whether a text may hold a link or a character that isn't its own plain form; four cheap searches, of which each may find too much."""
+    odd = text.rlike(r"[^\x00-\x7E\xA1-\xA7\xA9\xAB-\xAC\xAE\xB0-\xB1\xB6\xB7\xBB\xBF-\u017E]")
+    return odd | F.contains(text, F.lit("://")) | text.rlike(r"\.[A-Za-z]") | text.rlike(r"[wW]\.")
+
+
+def normalized(text: Column, hard: Column | None = None) -> Column:
+    """Compatible characters, links cleaned in place, no emoji, lower case, single spaces. Null becomes the empty text. hard: needs_python() of the text, where it is known."""
     text = F.coalesce(text, F.lit(""))
-    hard = text.rlike(r"[^\x00-\x7E\xA1-\xA7\xA9\xAB-\xAC\xAE\xB0-\xB1\xB6\xB7\xBB\xBF-\u017E]|[A-Za-z0-9]\.[A-Za-z]|://|(?i)www\.")
+    hard = needs_python(text) if hard is None else hard
     done = F.when(hard, compatible(F.when(hard, text))).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(done, EMOJI, " ")), r"(?U)\s+", " "))
+    bare = F.when(hard, F.regexp_replace(done, EMOJI, " ")).otherwise(done)
+    return F.trim(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "))
 
 
 def emoji(text: Column) -> Column:
@@ -76,30 +83,37 @@ def emoji(text: Column) -> Column:
 
 
 def skeleton(norm: Column) -> Column:
-    """The normalised text with wallets, contacts, links, names and numbers as placeholders, without other punctuation."""
-    s = F.regexp_replace(norm, r"(?U)\b0x[a-f0-9]{16,}\b", " <wallet> ")
-    s = F.regexp_replace(s, r"(?U)\b(?:t\.me|wa\.me|telegram\.me)/\S+", " <contact> ")
-    s = F.regexp_replace(s, "(?iU)" + LINK, " <url> ")
-    s = F.regexp_replace(s, r"@[\p{L}\p{N}_]+", " <user> ")
+    """The normalised text with wallets, contacts, links, names and numbers as placeholders, without other punctuation.
+
+    Each kind is sought only in texts that hold what it can't do without.
+    """
+    s = F.when(F.contains(norm, F.lit("0x")), F.regexp_replace(norm, r"(?U)\b0x[a-f0-9]{16,}\b", " <wallet> ")).otherwise(norm)
+    s = F.when(F.contains(norm, F.lit(".me/")), F.regexp_replace(s, r"(?U)\b(?:t\.me|wa\.me|telegram\.me)/\S+", " <contact> ")).otherwise(s)
+    s = F.when(norm.rlike(r"\.[a-z]|://|www\.|[^\x00-\x7F]"), F.regexp_replace(s, "(?iU)" + LINK, " <url> ")).otherwise(s)
+    s = F.when(F.contains(norm, F.lit("@")), F.regexp_replace(s, r"@[\p{L}\p{N}_]+", " <user> ")).otherwise(s)
     s = F.regexp_replace(s, r"[$€£]?\p{Nd}[\p{Nd},.]*(?U:\s*)(?:k|m|million|billion)?", " <num> ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_<> ]+", " ")
     return F.trim(F.regexp_replace(s, r" +", " "))
 
 
-def distinctiveness(norm: Column, template: Column | None = None) -> Column:
-    """0 to 100: how far a normalised text is from what anyone might write."""
-    placeholder = F.when((skeleton(norm) if template is None else template).rlike("<(wallet|contact|url)>"), 15).otherwise(0)
+def plain_words(norm: Column) -> Column:
+    """A normalised text without punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(norm, r"[^\p{L}\p{N}_ ]+", " "), " +", " "))
 
-    def of_plain(plain: Column) -> Column:
-        tokens = F.split(plain, " ")
-        counts = let(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*config.STOP_WORDS)), lambda c: 8 * F.size(F.array_distinct(c)) - 2 * F.size(c))
-        spread = F.least(F.lit(100), counts + 2 * F.size(tokens))
-        said = F.size(F.filter(F.array(*[F.lit(p) for p in config.GENERIC_PHRASES if len(p) > 3]), lambda p: F.contains(plain, p)))
-        score = spread - 10 * said + placeholder
-        score = F.when(F.size(tokens) < 4, F.least(score, F.lit(20))).otherwise(score)
-        return F.when((plain == "") | plain.isin(*config.GENERIC_PHRASES), 5).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)))
 
-    return let(F.trim(F.regexp_replace(F.regexp_replace(norm, r"[^\p{L}\p{N}_ ]+", " "), " +", " ")), of_plain).cast("int")
+def _distinct(plain: Column, template: Column) -> Column:
+    tokens = F.split(plain, " ")
+    counts = let(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*config.STOP_WORDS)), lambda c: 8 * F.size(F.array_distinct(c)) - 2 * F.size(c))
+    spread = F.least(F.lit(100), counts + 2 * F.size(tokens))
+    said = sum((F.contains(plain, F.lit(p)).cast("int") for p in config.GENERIC_PHRASES if len(p) > 3), F.lit(0))
+    score = spread - 10 * said + F.when(template.rlike("<(wallet|contact|url)>"), 15).otherwise(0)
+    score = F.when(F.size(tokens) < 4, F.least(score, F.lit(20))).otherwise(score)
+    return F.when((plain == "") | plain.isin(*config.GENERIC_PHRASES), 5).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int")
+
+
+def distinctiveness(norm: Column, template: Column | None = None) -> Column:
+    """0 to 100: how far a normalised text is from what anyone might write."""
+    return let(plain_words(norm), lambda plain: _distinct(plain, skeleton(norm) if template is None else template))
 
 
 def band(score: Column) -> Column:
@@ -112,9 +126,10 @@ def short_hash(text: Column) -> Column:
 
 def fingerprints(rows, text: str = "text"):
     """Rows with norm, skeleton, exact_hash, norm_hash, template_id, distinctiveness and band of a text column; each step is computed once."""
-    rows = rows.withColumn("norm", normalized(F.col(text)))
-    rows = rows.withColumn("skeleton", skeleton(F.col("norm")))
-    rows = rows.withColumn("distinctiveness", distinctiveness(F.col("norm"), F.col("skeleton")))
+    rows = rows.withColumn("_hard", needs_python(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("norm", normalized(F.col(text), F.col("_hard")))
+    rows = rows.withColumns({"skeleton": skeleton(F.col("norm")), "_plain": plain_words(F.col("norm"))})
+    rows = rows.withColumn("distinctiveness", _distinct(F.col("_plain"), F.col("skeleton"))).drop("_hard", "_plain")
     return rows.withColumns(
         {
             "exact_hash": short_hash(F.coalesce(F.col(text), F.lit(""))),
