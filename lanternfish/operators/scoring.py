@@ -87,6 +87,29 @@ def scores(picked: DataFrame) -> DataFrame:
     return sums.select("handle", "score", gated.cast("int").alias("value"), (gated != total).alias("gated"))
 
 
+#: The short names of scores in drivers, in their order.
+SHORT = {"AUTOMATION": "AUTO", "SPAM": "SPAM", "SCAM": "SCAM", "IMPERSONATION": "IMP", "DECEPTION": "DEC", "HUMAN_CONTINUITY": "HUM"}
+
+
+def drivers(picked: DataFrame, valued: DataFrame) -> DataFrame:
+    """handle, drivers: for each score above 0, in order, its value and the features that make it."""
+    ids = picked.where("weight <> 0").groupBy("handle", "score").agg(F.array_join(F.array_sort(F.collect_set("feature_id")), "+").alias("ids"))
+    place = F.array_position(F.array(*map(F.lit, SHORT)), F.col("score"))
+    short = F.element_at(F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair]), F.col("score"))
+    rows = valued.where((F.col("value") > 0) & F.col("score").isin(*SHORT)).join(ids, ["handle", "score"], "left")
+    text = F.concat(short, F.lit(" "), F.col("value").cast("string"), F.lit("="), F.coalesce("ids", F.lit("")))
+    per = rows.groupBy("handle").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), text.alias("text")))).alias("x"))
+    return per.select("handle", F.array_join(F.transform("x", lambda d: d["text"]), "; ").alias("drivers"))
+
+
+def evidence(picked: DataFrame, instances: DataFrame) -> DataFrame:
+    """handle, strength, n_groups, features: what raises malicious scores, per strength; instances: handle, feature_id."""
+    raising = picked.where(F.col("score").isin(*config.MALICIOUS_SCORES) & (F.col("weight") > 0))
+    seen = instances.select("handle", "feature_id").distinct()
+    rows = raising.join(seen, ["handle", "feature_id"])
+    return rows.groupBy("handle", "strength").agg(F.count_distinct("group").alias("n_groups"), F.array_join(F.array_sort(F.collect_set("feature_id")), "|").alias("features"))
+
+
 def actions(contributed: DataFrame, picked: DataFrame, valued: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """One row per account: top score, counts of groups, block paths and the action, by the ladder in its fixed order.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lanternfish import config
 from lanternfish.operators import scoring
+from lanternfish.plans.common import plain, relation
 from lanternfish.plans.projections import INSTANCES_SQL, RECORDS_SQL, instances, records
 from lanternfish.sources.registry import features_sql, weights_sql
 
@@ -116,6 +117,39 @@ def account_actions(spark, sf_dir):
     return scoring.actions(*scoring.scored(instances(spark, sf_dir)))
 
 
+_VERDICTS = "select concat('o', o_orderkey) as handle, case o_orderkey % 3 when 0 then 'CONFIRMED' when 1 then 'DOWNGRADE_TO_REVIEW' end as verdict, o_orderkey % 7 = 0 as significant_contrary from {orders}"
+_JUDGED = _ACTIONS[: _ACTIONS.index("select handle, top_score, n_groups, n_strong_groups, path1, path2,")] + f""", v as ({plain(_VERDICTS)}),
+j as (select paths.*, coalesce(verdict, '') as verdict, coalesce(significant_contrary, false) as contrary from paths left join v using (handle))
+select handle, top_score, n_groups, n_strong_groups, path1, path2,
+       case when (path1 or path2) and (hum >= 30 or hs = 1 or contrary) then 'REVIEW' when (path1 or path2) and hm = 1 and verdict <> 'CONFIRMED' then 'REVIEW' when (path1 or path2) and verdict = 'CONFIRMED' then 'BLOCK'
+            when (path1 or path2) and verdict = 'DOWNGRADE_TO_REVIEW' then 'REVIEW' when path1 or path2 then 'BLOCK_CANDIDATE_PENDING_2ND_PASS'
+            when top_score >= 65 or n_strong_groups > 0 or n_groups >= 2 or verdict = 'DOWNGRADE_TO_REVIEW' then 'REVIEW' else 'KEEP' end as action
+from j"""
+
+
+@query(_JUDGED)
+def account_actions_judged(spark, sf_dir):
+    """The ladder with second passes: confirmed, downgraded, none, and significant contrary evidence."""
+    rows = scoring.actions(*scoring.scored(instances(spark, sf_dir)), relation(spark, sf_dir, _VERDICTS))
+    return rows.select("handle", "top_score", "n_groups", "n_strong_groups", "path1", "path2", "action")
+
+
+@query(_BASE + """, ids as (select handle, score, string_agg(distinct feature_id, '+' order by feature_id) as ids from chosen where weight <> 0 group by all),
+d as (select s.handle, list_position(['AUTOMATION', 'SPAM', 'SCAM', 'IMPERSONATION', 'DECEPTION', 'HUMAN_CONTINUITY'], s.score) as place,
+    case s.score when 'AUTOMATION' then 'AUTO' when 'IMPERSONATION' then 'IMP' when 'DECEPTION' then 'DEC' when 'HUMAN_CONTINUITY' then 'HUM' else s.score end || ' ' || s.value || '=' || coalesce(ids, '') as text
+    from scores s left join ids using (handle, score) where s.value > 0 and s.score <> 'NETWORK_COORDINATION')
+select handle, string_agg(text, '; ' order by place) as drivers from d group by 1""")
+def score_drivers(spark, sf_dir):
+    _, picked, valued = scoring.scored(instances(spark, sf_dir))
+    return scoring.drivers(picked, valued)
+
+
+@query(_BASE + f"select handle, strength, count(distinct grp) as n_groups, string_agg(distinct feature_id, '|' order by feature_id) as features from chosen where score in ({_MALICIOUS}) and weight > 0 group by all")
+def score_evidence(spark, sf_dir):
+    rows = instances(spark, sf_dir)
+    return scoring.evidence(scoring.scored(rows)[1], rows)
+
+
 @query(f"""
 with r as ({RECORDS_SQL}), m as (
     select *, left(date_collected, 4)::int * 12 + substr(date_collected, 6, 2)::int as now_m, left(joined, 4)::int * 12 + substr(joined, 6, 2)::int as joined_m,
