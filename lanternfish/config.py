@@ -95,6 +95,27 @@ ROLE_WORDS = (
 PARTNER_WORDS = ("elon", "tesla", "spacex", "ceo")
 COMPACT_TERMS = ("elonmusk", "mrmusk", "teslaceo", "spacexceo", "ceooftesla", "ceoofspacex", "teslafounder", "spacexfounder", "founderoftesla", "founderofspacex")
 
+# What states, decisions and labels may say.
+ENUMERATIONS = {
+    "account_nature": ("HUMAN_LIKELY", "AUTOMATION_LIKELY", "MIXED_OR_ASSISTED", "UNKNOWN"),
+    "classification": ("NORMAL", "SPAM", "SCAM", "IMPERSONATION", "COORDINATED_NETWORK", "REPURPOSED_ACCOUNT"),
+    "enforcement": ("KEEP", "REVIEW", "BLOCK_CANDIDATE", "BLOCK_CONFIRMED"),
+    "outcome": ("KEEP", "LOW_EVIDENCE_KEEP", "REVIEW", "REVIEW_INSUFFICIENT_DATA", "BLOCK_CANDIDATE", "BLOCK_CONFIRMED", "UNKNOWN"),
+    "evidence_state": ("SUFFICIENT", "PARTIAL", "INSUFFICIENT", "UNAVAILABLE"),
+    "nature_label": ("BOT_LIKELY", "HUMAN_LIKELY"),
+    "failure": ("COLLECTION_FAILURE", "FEATURE_EXTRACTION_FAILURE", "SCORING_FAILURE", "DECISION_THRESHOLD_FAILURE", "LABEL_AMBIGUITY"),
+    "behavior": ("PROFILE_HISTORY", "ORIGINAL_POSTS", "REPLIES", "REPOSTS", "QUOTES", "EXTERNAL_LINKS", "OLDER_CONTENT"),
+}
+
+# Features in an owner's words.
+FEATURE_WORDS = {
+    "I001": "claims to be a real public figure", "I002": "claims a role with a public figure or company", "I003": "uses a public figure's name or look", "I005": "claims to act for a public figure",
+    "S004": "sends the same scam script to many people", "S005": "pushes people to DM it", "S006": "crypto giveaway pitch", "S008": "links to a known malicious site", "S010": "pushes people to Telegram/WhatsApp",
+    "S011": "adult-cam link", "S012": "prize or money bait", "S016": "investment or money pitch", "OP_IDENTITY": "matches your protected-identity rule", "OP_RULE": "matches one of your rules",
+    "S001": "engagement bait", "S009": "repeated promo posts", "S018": "follow-back farming", "I004": "copied a public figure's facts", "S002": "giveaway-entry spam replies", "S003": "repeated unsolicited promo",
+    "S007": "referral codes", "S013": "cold openers to strangers", "S014": "amplifies scam accounts", "S015": "self-promotion",
+}
+
 # Weights of the coverage components.
 COVERAGE = {"PROFILE": 15, "ABOUT_PAGE": 15, "ORIGINAL_POSTS": 20, "REPLIES": 15, "OLDER_CONTENT": 15, "LINKS_CONTACTS": 10, "COUNTS": 10}
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
@@ -84,3 +84,14 @@ def checked(document: Column, schema: dict) -> Column:
     """What is wrong with a JSON text, each with its path; a text that isn't JSON has one problem, a null none. Keys that the schema doesn't name are allowed."""
     parsed = F.try_parse_json(document)
     return F.when(document.isNull(), _none()).when(parsed.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_problems(parsed, schema, schema, F.lit("$")))
+
+
+def enumerated(rows: DataFrame, columns: dict[str, str], catalogue: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows with problems: the columns whose value, or one of whose values, their enumeration doesn't have; a null says nothing wrong."""
+    tests = []
+    for column, name in columns.items():
+        allowed = F.array(*map(F.lit, catalogue[name]))
+        values = F.col(column) if rows.schema[column].dataType.typeName() == "array" else F.array(column)
+        wrong = F.size(F.array_except(F.array_compact(values), allowed)) > 0
+        tests.append(F.when(F.coalesce(wrong, F.lit(False)), F.lit(f"{column}: not one of {name}")))
+    return rows.withColumn("problems", F.array_compact(F.array(*tests)))

@@ -133,6 +133,24 @@ def list_groups(listed: DataFrame, allowed: DataFrame, adjudications: DataFrame,
     return rows.select("pos", "key", group.alias("group"))
 
 
+def list_status(groups: DataFrame, opted_in: bool) -> DataFrame:
+    """One row: how many listed accounts are in each group, whether none is pending, and whether a batch is due."""
+    count = lambda name: F.count_if(F.col("group") == name)
+    rows = groups.agg(F.count("*").alias("on_list"), *[count(g).alias(g.lower()) for g in ("PENDING", "BLOCKED", "SKIPPED_KEPT", "GONE", "GAVE_UP")])
+    return rows.withColumns({"finished": F.col("pending") == 0, "needs_batch": F.lit(opted_in) & (F.col("pending") > 0)})
+
+
+def blocked_since(outcomes: DataFrame, since: Column) -> DataFrame:
+    """One row, n: the accounts that the list's job has verified as blocked since then (outcomes: status, updated_at)."""
+    return outcomes.agg(F.count_if(F.col("status").isin("BLOCKED", "ALREADY_BLOCKED") & (F.col("updated_at") > since)).alias("n"))
+
+
+def task_lines(plan: DataFrame, order: list[str], template: str) -> DataFrame:
+    """n, line: a batch (handle, basis; few rows by nature) as the numbered lines of a task, by a format of number, handle and basis."""
+    place = F.row_number().over(Window.orderBy(*order))
+    return plan.withColumn("n", place).select("n", F.format_string(template, "n", handle_key(F.col("handle")), "basis").alias("line"))
+
+
 def list_batch(groups: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """The next batch: the first pending accounts of the list, 1 to BATCH_MOST of them."""
     return groups.where("group = 'PENDING'").orderBy("pos", "key").limit(max(1, min(size, BATCH_MOST))).select("pos", "key")

@@ -172,3 +172,18 @@ def backtest(predictions: DataFrame, by: str) -> DataFrame:
         F.count_if(block).alias("n_blocks"), F.count_if(block & F.col("flagged")).alias("n_caught"), F.count_if(keep & F.col("flagged")).alias("n_false"), F.count_if(F.col("human") & F.col("flagged")).alias("n_false_human")
     )
     return rows.withColumn("recall", F.when(F.col("n_blocks") > 0, F.bround(F.col("n_caught") / F.col("n_blocks"), 4)))
+
+
+def never_rated(states: DataFrame, model: dict) -> DataFrame:
+    """handle, score of the unrated states (handle, features) that the model would flag at its threshold; none if it is inactive."""
+    if not model["active"]:
+        return states.limit(0).select("handle", F.lit(0.0).alias("score"))
+    rows = states.select("handle", scored(F.col("features"), model["weights"], model["bias"]).alias("score"))
+    return rows.where(F.col("score") >= model["threshold"])
+
+
+def missed_fixtures(fixtures: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The fixtures (handle, tier: null for any) that must be blocked but aren't, or not by that tier (verdicts: handle, auto_block, tier)."""
+    rows = fixtures.withColumnRenamed("tier", "wanted").join(verdicts, "handle", "left")
+    good = F.coalesce("auto_block", F.lit(False)) & F.coalesce(F.col("wanted") == F.col("tier"), F.col("wanted").isNull())
+    return rows.where(~good).select("handle", "wanted", "tier")

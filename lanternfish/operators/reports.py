@@ -224,6 +224,13 @@ def shortened(text: Column, most: int = 90) -> Column:
     return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, most - 1)), F.lit("…")))
 
 
+def feature_words(features: Column, most: int = 2) -> Column:
+    """The first features in an owner's words, joined by +; features without words are left out."""
+    words = F.create_map(*[F.lit(x) for pair in config.FEATURE_WORDS.items() for x in pair])
+    said = F.filter(F.transform(features, lambda f: F.try_element_at(words, f)), lambda w: w.isNotNull())
+    return F.array_join(F.slice(said, 1, most), " + ")
+
+
 def stub_states(handles: DataFrame) -> DataFrame:
     """States of listed accounts that were never audited."""
     key = handle_key(c("handle"))

@@ -113,6 +113,24 @@ def policy_matches(texts: DataFrame, identities: DataFrame, answers: DataFrame)
     return who.unionByName(rule)
 
 
+def policy_outcome(matches: DataFrame, answers: DataFrame, impersonating: DataFrame) -> DataFrame:
+    """handle, identities, with_feature, rules, review_floor, hints of policy_matches().
+
+    answers: name, effect, answer, classification; impersonating: handles with a feature of impersonation. A matched rule that was
+    answered YES gives its hint, and with the effect REVIEW_FLOOR keeps the account at least under review.
+    """
+    told = matches.join(answers.select("name", "effect", "answer", "classification"), "name", "left")
+    yes = (c("kind") == "RULE") & (c("answer") == "YES")
+    names = lambda kind: F.array_sort(F.collect_set(F.when(c("kind") == kind, c("name"))))
+    rows = told.groupBy("handle").agg(
+        names("IDENTITY").alias("identities"), names("RULE").alias("rules"), F.coalesce(F.max(yes & (c("effect") == "REVIEW_FLOOR")), F.lit(False)).alias("review_floor"),
+        F.array_sort(F.collect_set(F.when(yes, c("classification")))).alias("hints"),
+    )
+    marked = impersonating.select("handle", F.lit(True).alias("marked")).distinct()
+    rows = rows.join(marked, "handle", "left")
+    return rows.select("handle", "identities", (F.coalesce("marked", F.lit(False)) & (F.size("identities") > 0)).alias("with_feature"), "rules", "review_floor", "hints")
+
+
 def rule_change_problems(n_examples: int, n_rounds: int, bumped: bool, tests_pass: bool, reruns_done: bool, live_job: bool) -> list[str]:
     """What stands against a change of rules; nothing if it may go in."""
     tests = [("fewer than 3 examples", n_examples >= MIN_SUPPORT), ("one round only", n_rounds >= 2), ("no version bump", bumped), ("tests fail", tests_pass), ("reruns missing", reruns_done), ("a job is live", not live_job)]

@@ -56,3 +56,23 @@ def results(states: DataFrame, folder: str, columns: list[str]) -> None:
     flat = flattened(states)
     flat.select(*columns).write.mode("errorifexists").option("header", True).csv(f"{folder}/results")
     flat.write.mode("errorifexists").option("header", True).csv(f"{folder}/results_full")
+
+
+def model_files(model: dict, training: DataFrame, folder: str) -> None:
+    """Write a fitted model as a JSON document and its training rows, which name it, as JSON lines."""
+    import json
+
+    spark = training.sparkSession
+    text = json.dumps(model, ensure_ascii=False, sort_keys=True)
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/model")
+    training.withColumn("training_sha8", F.lit(model["training_sha8"])).write.mode("overwrite").json(f"{folder}/training")
+
+
+def backtest_files(summary: DataFrame, flagged: DataFrame, folder: str, by: str = "tier") -> None:
+    """Write a backtest's rows per tier as JSON, its flagged accounts as CSV, and a table of both to read as Markdown."""
+    summary.write.mode("overwrite").json(f"{folder}/backtest")
+    flagged.write.mode("overwrite").option("header", True).csv(f"{folder}/flagged")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("n/a")) for c in summary.columns]), F.lit(" |"))
+    head = summary.sparkSession.createDataFrame([(0, "", "| " + " | ".join(summary.columns) + " |"), (1, "", "|" + "---|" * len(summary.columns))], "part int, key string, value string")
+    rows = summary.select(F.lit(2).alias("part"), F.col(by).cast("string").alias("key"), line.alias("value"))
+    head.unionByName(rows).orderBy("part", "key").select("value").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")

@@ -6,7 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.operators import control, jobs, known, ledger, model, reports, scouting
+from lanternfish import config
+from lanternfish.functions import schema
+from lanternfish.operators import control, jobs, known, ledger, model, reports, review, scouting
 from lanternfish.sources import lists, records, sinks, stores
 
 
@@ -197,3 +199,49 @@ def test_texts(spark):
     assert control.daily_summary(blocks, F.lit("2024-01-01")).first()["text"] == "1 blocked, 0 to try again, 0 to unblock"
     assert control.daily_summary(blocks, F.lit("2024-01-03")).count() == 0
     assert reports.CLAIM_LABELS == 188
+
+
+def test_policy_outcome(spark):
+    matches = spark.createDataFrame([("a", "IDENTITY", "P"), ("a", "RULE", "q1"), ("b", "RULE", "q2"), ("c", "IDENTITY", "P")], "handle string, kind string, name string")
+    answers = spark.createDataFrame([("q1", "REVIEW_FLOOR", "YES", "SPAM"), ("q2", "REVIEW_FLOOR", "NO", "SCAM")], "name string, effect string, answer string, classification string")
+    got = {r["handle"]: (r["identities"], r["with_feature"], r["rules"], r["review_floor"], r["hints"]) for r in review.policy_outcome(matches, answers, spark.createDataFrame([("a",)], "handle string")).collect()}
+    assert got == {"a": (["P"], True, ["q1"], True, ["SPAM"]), "b": ([], False, ["q2"], False, []), "c": (["P"], False, [], False, [])}
+
+
+def test_enumerations_and_words(spark):
+    rows = spark.createDataFrame([("KEEP", ["SPAM"]), ("MAYBE", ["SPAM", "ODD"]), (None, None)], "enforcement string, classification array<string>")
+    found = schema.enumerated(rows, {"enforcement": "enforcement", "classification": "classification"}, config.ENUMERATIONS)
+    assert [len(r["problems"]) for r in found.collect()] == [0, 2, 0]
+    said = spark.createDataFrame([(["X", "S004", "S005", "S006"],), ([],)], "f array<string>").select(reports.feature_words(F.col("f"))).collect()
+    assert [r[0] for r in said] == ["sends the same scam script to many people + pushes people to DM it", ""]
+
+
+def test_list_status_and_tasks(spark):
+    groups = spark.createDataFrame([(1, "a", "PENDING"), (2, "b", "GONE")], "pos int, key string, group string")
+    row = ledger.list_status(groups, True).first()
+    assert (row["on_list"], row["pending"], row["gone"], row["finished"], row["needs_batch"]) == (2, 1, 1, False, True)
+    assert ledger.list_status(groups.where("pos = 2"), True).first()["finished"]
+    outcomes = spark.createDataFrame([("BLOCKED", "2024-02-01"), ("GONE", "2024-02-01"), ("ALREADY_BLOCKED", "2023-01-01")], "status string, updated_at string")
+    assert ledger.blocked_since(outcomes, F.lit("2024-01-01")).first()["n"] == 1
+    plan = spark.createDataFrame([("@B", "why"), ("A", "why not")], "handle string, basis string")
+    assert [r["line"] for r in ledger.task_lines(plan, ["basis"], "%d. @%s: %s").orderBy("n").collect()] == ["1. @b: why", "2. @a: why not"]
+
+
+def test_model_and_backtest_files(spark, tmp_path):
+    rows = [(f"b{i}", 1, False, ["S004"]) for i in range(22)] + [(f"k{i}", 0, False, ["H001"]) for i in range(4)]
+    training = spark.createDataFrame(rows, "handle string, label int, human boolean, features array<string>")
+    fitted = model.refitted(training)
+    sinks.model_files(fitted, training, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m" / "model")).first()["threshold"] == fitted["threshold"]
+    assert {r["training_sha8"] for r in spark.read.json(str(tmp_path / "m" / "training")).collect()} == {fitted["training_sha8"]}
+    unrated = spark.createDataFrame([("x", ["S004"]), ("y", ["H001"])], "handle string, features array<string>")
+    assert [r["handle"] for r in model.never_rated(unrated, fitted).collect()] == ["x"]
+    assert model.never_rated(unrated, fitted | {"active": False}).count() == 0
+    fixtures = spark.createDataFrame([("x", "OWNER_TRAINED"), ("y", None), ("z", None)], "handle string, tier string")
+    verdicts = spark.createDataFrame([("x", True, "BLOCK_CONFIRMED"), ("y", True, "OWNER_TRAINED")], "handle string, auto_block boolean, tier string")
+    assert sorted(r["handle"] for r in model.missed_fixtures(fixtures, verdicts).collect()) == ["x", "z"]
+    tested = model.backtest(spark.createDataFrame([("A", True, 1, False), ("A", True, 0, True), ("B", False, 1, False)], "tier string, flagged boolean, label int, human boolean"), "tier")
+    sinks.backtest_files(tested, unrated.select("handle"), str(tmp_path / "b"))
+    lines = next((tmp_path / "b" / "markdown").glob("*.txt")).read_text().splitlines()
+    assert lines[0].startswith("| tier |") and [x.split(" | ")[0] for x in lines[2:]] == ["| A", "| B"]
+    assert [(r["tier"], r["n_caught"], r["n_false"], r["n_false_human"]) for r in tested.orderBy("tier").collect()] == [("A", 1, 1, 1), ("B", 0, 0, 0)]
