@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str, rows: int | None = None, a_file: int = ROW
     """The rows, written to the shared folder and read again: lineage is cut and survives lost executors.
 
     Where a bound on the number of rows is known, there are no more files than rows / a_file ask for, so that a small table
-    isn't hundreds of tiny files.
+    isn't hundreds of tiny files. That is for rows that come from a shuffle: the tasks behind it are as many as the files.
     """
     path = new_path(df.sparkSession, name)
     if rows is not None:

@@ -25,7 +25,7 @@ from lanternfish.operators.components import connected_components
 THRESHOLD = 0.8
 #: Texts of a side of a block in which all pairs of texts of different classes are compared.
 BLOCK = 1_024
-#: Texts of a file of shingle sets.
+#: Texts of a file of shingle sets, or of links that a task finds with them.
 SETS_A_FILE = 20_000
 
 
@@ -237,7 +237,7 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     wanted = some(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
     sets = written(_sets(keyed, wanted, words), "sets", rows=n, a_file=SETS_A_FILE)
     pairs = buckets.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
-    links = some(_linked_pairs(pairs, sets, threshold), "links")
+    links = written(_linked_pairs(pairs, sets, threshold), "links", rows=n, a_file=SETS_A_FILE)
 
     def classes_of(links: DataFrame) -> DataFrame:
         m = links.count()
@@ -253,7 +253,7 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     for last in (False, True):
         cells = _cells(still_open(), sets, bands=last)
         more = _linked_rest(cells, sets, threshold) if last else _linked_pairs(_best_pairs(cells, threshold), sets, threshold)
-        more = written(more, "links")
+        more = written(more, "links", rows=n, a_file=SETS_A_FILE)
         if more.limit(1).count():
             links = links.unionByName(more)
             found = classes_of(links)

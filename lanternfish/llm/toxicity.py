@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     severity = F.col("severity").cast("int") if "severity" in labels.columns else F.lit(None).cast("int")
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.max(severity).alias("severity"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "severity"), "labelled", rows=sample, a_file=sample // 8 + 1)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", "severity")
+    rows = written(found.repartition(8, "doc_id", "text"), "labelled")
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = totals["toxic"], totals["n"] - totals["toxic"]
     if not toxic or not clean:
