@@ -14,6 +14,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ OPTIONS = {
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",
 }
 #: Distinct pieces of text whose ids a worker keeps; when more have come, it starts anew.
-CACHE = 600_000
+CACHE = 200_000
 
 
 #: ASCII punctuation that, in a row behind letters, is a pre-token of its own; an apostrophe may begin another.
@@ -129,6 +130,12 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in cut]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, whole: bool) -> Encoder:
+    """A worker's encoder, which one task after another uses with the pieces that it has met."""
+    return Encoder(vocabulary, whole)
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, whole: bool = False) -> None:
     """Encode each document's text, append the end id and write token files.
 
@@ -141,7 +148,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
     end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, part = Encoder(vocabulary, whole), 0, TaskContext.get().partitionId()
+        encoder, start, part = encoder_of(vocabulary, whole), 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(1).cast(pa.string())
             for at, upto in text_runs(texts):
