@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish import config
+from lanternfish.sources.shared import few
 
 KINDS = ("NEW_FOLLOW", "LIKE", "REPOST", "REPLY", "QUOTE_POST", "MENTION", "TAG", "OTHER")
 KEY = ("handle", "kind", "post", "ts")
@@ -32,7 +33,7 @@ def marker(kind: Column) -> Column:
 
 def split_late(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows with late: not after their source's mark (source, mark) as of the batch's start."""
-    marked = rows.withColumn("source", marker(F.col("kind"))).join(F.broadcast(marks), "source", "left")
+    marked = rows.withColumn("source", marker(F.col("kind"))).join(few(marks), "source", "left")
     return marked.withColumn("late", F.coalesce(F.col("ts") <= F.col("mark"), F.lit(False))).drop("mark")
 
 

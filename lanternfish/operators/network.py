@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lanternfish import config
 from lanternfish.functions import text as tx
 from lanternfish.operators.components import connected_components
+from lanternfish.sources.shared import numbered
 
 RANK = "case strength when 'STRONG' then 3 when 'MODERATE' then 2 else 1 end"
 
@@ -89,8 +90,7 @@ def edges(pairs: DataFrame) -> DataFrame:
 def clusters(linked: DataFrame, pairs: DataFrame, written) -> DataFrame:
     """handle, cluster_id (numbered in the order of least members), component, n_evidence (fact groups over its own edges)."""
     found = connected_components(linked, written)
-    order = Window.orderBy("component")
-    names = found.select("component").distinct().withColumn("cluster_id", F.format_string("N6-%03d", F.row_number().over(order)))
+    names = numbered(found.select("component").distinct(), "component", "nth").select("component", F.format_string("N6-%03d", "nth").alias("cluster_id"))
     used = pairs.where("strength <> 'WEAK'").join(linked.select("a", "b"), ["a", "b"])
     groups = used.select(F.explode(F.array("a", "b")).alias("node"), "fact_group").groupBy("node").agg(F.count_distinct("fact_group").alias("n_evidence"))
     return found.join(names, "component").join(groups, "node", "left").select(F.col("node").alias("handle"), "cluster_id", "component", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))

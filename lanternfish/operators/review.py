@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish import config
+from lanternfish.sources.shared import few
 
 c = F.col
 
@@ -95,7 +96,7 @@ def first_form_pass(rows: DataFrame) -> DataFrame:
 
 def regraded(instances: DataFrame, enabled: DataFrame) -> DataFrame:
     """Identity claims that rest on an owner's rule (identity, rule) which isn't enabled become affiliation claims, behind the others."""
-    rows = instances.join(F.broadcast(enabled.select("identity", "rule", F.lit(True).alias("on"))), ["identity", "rule"], "left")
+    rows = instances.join(few(enabled.select("identity", "rule", F.lit(True).alias("on"))), ["identity", "rule"], "left")
     moved = (c("feature_id") == "I001") & c("rule").isNotNull() & (c("rule") != "CLAIM_TO_BE") & c("on").isNull()
     return rows.withColumns({"feature_id": F.when(moved, "I002").otherwise(c("feature_id")), "pos": F.when(moved, c("pos") + 1_000_000_000).otherwise(c("pos"))}).drop("on")
 
@@ -107,9 +108,9 @@ def policy_matches(texts: DataFrame, identities: DataFrame, answers: DataFrame)
     policy is an owner's few rows by nature; it is sent to each account's row.
     """
     mention = F.expr(r"text rlike concat('(?iU)(?<!\\w)', '\\Q', name, '\\E', '(?!\\w)')")
-    who = texts.join(F.broadcast(identities), mention).select("handle", F.lit("IDENTITY").alias("kind"), "name")
+    who = texts.join(few(identities), mention).select("handle", F.lit("IDENTITY").alias("kind"), "name")
     met = F.expr("text rlike concat('(?iU)', pattern) and (size(required) = 0 or arrays_overlap(required, features))")
-    rule = texts.join(F.broadcast(answers), met).select("handle", F.lit("RULE").alias("kind"), "name")
+    rule = texts.join(few(answers), met).select("handle", F.lit("RULE").alias("kind"), "name")
     return who.unionByName(rule)
 
 

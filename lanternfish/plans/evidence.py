@@ -158,6 +158,33 @@ def list_check(spark, sf_dir):
     return known.checked(known.facts(_records(spark, sf_dir)), listed, relation(spark, sf_dir, _WATCH), relation(spark, sf_dir, _ALLOWED), EXCLUSIONS)
 
 
+_ANSWERS = "select o_orderkey as id, concat('A', o_custkey) as handle, case o_orderkey % 9 when 0 then 'KEEP' when 1 then 'BLOCK' end as action from {orders}"
+
+
+@query(f"""with lc as ({ORACLE_SQL["list_check"]}), acc as ({plain(_ACCOUNTS)}), act as (select lower(handle) as key, arg_max(coalesce(action, '-'), id) as action from ({plain(_ANSWERS)}) group by 1),
+r as (select lc.*, k % 11 = 0 as confirmed, k % 3 = 0 as lures, nullif(action, '-') as action, k % 4 = 1 as review from lc join acc using (handle) left join act on act.key = lower(handle)),
+t as (select *, case when name_rule is not null then 'NAME_RULE' when phrase_hit then 'PHRASE_RULE' when n_link_hits > 0 and lures then 'WATCHLISTED_LINK_PLUS_LURE' end as shared from r),
+v as (select *, case when action = 'KEEP' then null when action = 'BLOCK' then 'OWNER_BLOCK' when allowlisted then null when confirmed then 'BLOCK_CONFIRMED' when listed_reason is not null or exact_chat then 'KNOWN_SCAM_LIST' when shared is not null then 'AUTO_BLOCK_PATTERN' end as tier from t)
+select handle, tier, case when tier = 'AUTO_BLOCK_PATTERN' then shared end as pattern, not (action is not null or allowlisted or tier is not null) and (review or n_link_hits > 0) as held from v""")
+def auto_block_verdicts(spark, sf_dir):
+    """Verdicts of all records: the lists are checked and the owner's answers joined as a decision is made."""
+    from lanternfish.operators import decisions, ledger
+
+    listed = relation(spark, sf_dir, _LISTED).where("not tombstone").select("handle", "reason")
+    check = known.checked(known.facts(_records(spark, sf_dir)), listed, relation(spark, sf_dir, _WATCH), relation(spark, sf_dir, _ALLOWED), EXCLUSIONS)
+    none = F.array().cast("array<string>")
+    states = relation(spark, sf_dir, _ACCOUNTS).select(
+        "handle", F.lower("handle").alias("key"), F.when(F.col("k") % 11 == 0, "BLOCK_CONFIRMED").when(F.col("k") % 4 == 1, "REVIEW").otherwise("KEEP").alias("enforcement"), F.when(F.col("k") % 3 == 0, F.array(F.lit("S012"))).otherwise(none).alias("features"),
+    )
+    rows = check.join(states, "handle").join(ledger.latest_actions(relation(spark, sf_dir, _ANSWERS)), "key", "left")
+    false, named = F.lit(False), F.col("name_rule").isNotNull()
+    rows = rows.select(
+        "handle", "enforcement", "features", none.alias("strong"), F.col("action").alias("owner_action"), F.col("allowlisted").alias("never_listed"), F.col("listed_reason").isNotNull().alias("listed"), F.col("exact_chat").alias("exact_chat_link"), false.alias("owner_scoped"),
+        F.lit("SUFFICIENT").alias("evidence_state"), *[false.alias(n) for n in ("substantial", "honest_label", "refuted", "basis")], named.alias("name_hit"), F.col("phrase_hit"), (F.col("n_link_hits") > 0).alias("link_hit"), F.lit(None).cast("double").alias("model_score"), F.lit(0.5).alias("threshold"),
+    )
+    return decisions.tiers(rows).select("handle", "tier", "pattern", "held")
+
+
 #: Rows of a list ingest: customers' handles in pairs, with biographies that hold links.
 _INGEST = """
 select c_custkey as seq, case when c_custkey % 17 = 0 then 'not a handle' else concat('A', c_custkey - c_custkey % 2) end as handle, c_name as display_name,

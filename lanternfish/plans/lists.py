@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lanternfish import config
 from lanternfish.functions import links
 from lanternfish.operators import model
-from lanternfish.plans.common import registry
+from lanternfish.plans.common import registry, relation
 from lanternfish.plans.projections import INSTANCES_SQL, instances
 from lanternfish.sources import lists
 from lanternfish.sources.tables import table
@@ -68,6 +69,35 @@ def _training(spark, sf_dir, rows: int = TRAINING_ROWS):
     return first.join(found, "handle", "left").select("handle", "label", F.coalesce("features", F.expr("array()").cast("array<string>")).alias("features"))
 
 
+#: Weights of a model that is given, by the place of a feature in the registry.
+_GIVEN = {f.feature_id: (i % 9 - 4) / 8 for i, f in enumerate(config.FEATURES)}
+_GIVEN_SQL = ", ".join(f"('{f}', {w}::double)" for f, w in _GIVEN.items())
+
+
+@query(f"""with i as (select distinct handle, feature_id from ({INSTANCES_SQL})), w as (select * from (values {_GIVEN_SQL}) t(feature_id, w))
+select handle, round(1 / (1 + exp(-greatest(-30.0, least(30.0, -0.5 + coalesce(sum(w), 0))))), 6) as score from i left join w using (feature_id) group by 1""")
+def model_scores(spark, sf_dir):
+    """Scores of all orders by a given model."""
+    found = instances(spark, sf_dir).groupBy("handle").agg(F.array_sort(F.collect_set("feature_id")).alias("features"))
+    return found.select("handle", F.round(model.scored(F.col("features"), _GIVEN, -0.5), 6).alias("score"))
+
+
+#: Scores of two owners: of the first they lie close, of the second a tenth apart.
+_SCORED = {"close": "o_orderkey * 7919 % 1000 / 1024.0", "apart": "o_orderkey % 10 / 10.0"}
+_THRESHOLD = "with s as (select {e}::double as score, {e} > 0.6 as block, o_orderkey % 97 = 0 as protected from orders), t as (select max(score) as top from s where not block or protected), n as (select top, (select min(score) from s, t where block and score > top) as next from t) select '{o}' as owner, round_even(case when coalesce(next - top > 0.04, false) then (top + next) / 2 else least(0.999, top + 0.02) end, 4) as threshold from n"
+
+
+@query(" union all ".join(f"select * from ({_THRESHOLD.format(e=e, o=o)})" for o, e in _SCORED.items()))
+def model_thresholds(spark, sf_dir):
+    """The thresholds of two owners' scores, whose greatest negative or protected ones stand near to and far from the next block."""
+    out = None
+    for owner, e in _SCORED.items():
+        s = relation(spark, sf_dir, f"select cast({e} as double) as score, cast({e} > 0.6 as int) as label, o_orderkey % 97 = 0 as protected from {{orders}}")
+        one = model.threshold(s).select(F.lit(owner).alias("owner"), "threshold")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def model_gd_scores(spark, sf_dir):
     """Scores of all orders by a model of an owner's answers; tests hold the training against a plain loop."""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[int, str] = {}
 
@@ -29,3 +30,23 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A side that is small by nature, with a broadcast hint; more rows than that raise."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} rows where few are expected")
+    return F.broadcast(df)
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """The rows with their number (from 1) in the order of a column of distinct values.
+
+    Ranges of the order are numbered by their own tasks and moved by the counts of the ranges before, of which there are few; so
+    no task gets all rows.
+    """
+    parts = written(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    return parts.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
