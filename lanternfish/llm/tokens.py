@@ -32,7 +32,7 @@ OPTIONS = {
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",
 }
 #: Distinct pieces of text whose ids a worker keeps; when more have come, it starts anew.
-CACHE = 200_000
+CACHE = 600_000
 
 
 #: ASCII punctuation that, in a row behind letters, is a pre-token of its own; an apostrophe may begin another.
@@ -58,6 +58,7 @@ CUTTABLE_PRE_TOKENIZER = {
 }
 
 
+@lru_cache(maxsize=2)
 def cuttable(vocabulary: str) -> bool:
     """Whether the vocabulary file's own rules prove that a text's ids are those of its pieces between spaces and line feeds.
 
@@ -71,6 +72,15 @@ def cuttable(vocabulary: str) -> bool:
     return plain and rules.get("normalizer") == CUTTABLE_NORMALIZER and rules.get("pre_tokenizer") == CUTTABLE_PRE_TOKENIZER
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str):
+    """The file's tokenizer, which a worker loads once for all of its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
 class Encoder:
     """Ids of texts as bytes, by any vocabulary file of the tokenizers library.
 
@@ -82,10 +92,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, whole: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.whole, self.letters = Tokenizer.from_file(vocabulary), whole or not cuttable(vocabulary), _byte_letters()
+        self.tokenizer, self.whole, self.letters = _tokenizer(vocabulary), whole or not cuttable(vocabulary), _byte_letters()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -130,12 +137,6 @@ class Encoder:
         return [b"".join(map(get, pieces)) for pieces in cut]
 
 
-@lru_cache(maxsize=1)
-def encoder_of(vocabulary: str, whole: bool) -> Encoder:
-    """A worker's encoder, which one task after another uses with the pieces that it has met."""
-    return Encoder(vocabulary, whole)
-
-
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, whole: bool = False) -> None:
     """Encode each document's text, append the end id and write token files.
 
@@ -148,7 +149,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
     end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, part = encoder_of(vocabulary, whole), 0, TaskContext.get().partitionId()
+        encoder, start, part = Encoder(vocabulary, whole), 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(1).cast(pa.string())
             for at, upto in text_runs(texts):
