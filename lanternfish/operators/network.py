@@ -96,6 +96,35 @@ def clusters(linked: DataFrame, pairs: DataFrame, written) -> DataFrame:
     return found.join(names, "component").join(groups, "node", "left").select(F.col("node").alias("handle"), "cluster_id", "component", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
+def clusters_of(member: DataFrame, shared: DataFrame, written) -> DataFrame:
+    """What clusters() gives of members() and facts(), without pairing the members of strong facts.
+
+    A strong fact links all of its members, so each is linked to the least of them: k - 1 links in place of k (k - 1) / 2 pairs, and a fact
+    that very many share is an aggregate and a join. Only moderate facts are paired; whether such a pair shares a strong fact,
+    too, is told by its accounts' own lists of these.
+    """
+    rows = member.join(shared.where("strength <> 'WEAK'").select("fact_type", "fact_key", "fact_group", "strength"), ["fact_type", "fact_key", "fact_group"])
+    rows = written(rows.select("handle", "fact_type", "fact_key", "fact_group", "strength"))
+    strong, moderate = rows.where("strength = 'STRONG'"), rows.where("strength = 'MODERATE'")
+    star = strong.groupBy("fact_type", "fact_key").agg(F.min("handle").alias("b"))
+    links = strong.join(star, ["fact_type", "fact_key"]).where("handle <> b").select(F.col("handle").alias("a"), "b")
+    fact = F.struct("fact_type", "fact_key")
+    own = strong.groupBy("handle").agg(F.collect_set(fact).alias("facts"), F.collect_set(F.when(F.col("fact_type") == "TEXT", F.col("fact_key"))).alias("texts"))
+    side = lambda name: own.select(F.col("handle").alias(name), F.col("facts").alias(f"{name}_facts"), F.col("texts").alias(f"{name}_texts"))
+    pairs = moderate.withColumnRenamed("handle", "a").join(moderate.select("fact_type", "fact_key", F.col("handle").alias("b")), ["fact_type", "fact_key"]).where("a < b")
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    meets = lambda name: F.coalesce(F.arrays_overlap(f"a_{name}", f"b_{name}"), F.lit(False))
+    text = F.max(F.col("fact_type") == "TEXT").over(Window.partitionBy("a", "b")) | meets("texts")
+    pairs = pairs.select("a", "b", "fact_type", "fact_group", meets("facts").alias("tied"), text.alias("text")).where("not (text and fact_type = 'TEMPLATE')")
+    found = pairs.groupBy("a", "b").agg(F.collect_set("fact_group").alias("groups"), F.max("tied").alias("tied")).where(F.col("tied") | (F.size("groups") >= config.CLUSTER_MIN_MODERATE))
+    found = written(found)
+    components = connected_components(links.unionByName(found.where("not tied").select("a", "b")), written)
+    names = numbered(components.select("component").distinct(), "component", "nth").select("component", F.format_string("N6-%03d", "nth").alias("cluster_id"))
+    seen = strong.select(F.col("handle").alias("node"), "fact_group").unionByName(found.select(F.explode(F.array("a", "b")).alias("node"), "groups").select("node", F.explode("groups").alias("fact_group")))
+    evidence = seen.groupBy("node").agg(F.count_distinct("fact_group").alias("n_evidence"))
+    return components.join(names, "component").join(evidence, "node", "left").select(F.col("node").alias("handle"), "cluster_id", "component", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
+
+
 def cluster_scores(prints: DataFrame) -> DataFrame:
     """The best cluster of each account. prints: cluster_id, pos (of the cluster), handle (an account of the cluster), kind, strength,
     has_value, dated, n_members (null if the fingerprint names none), direct (it names the account), topic.

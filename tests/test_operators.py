@@ -240,6 +240,46 @@ def test_scout_batches(spark, tmp_path):
     assert {r["source"]: r["mark"].hour for r in scout.marks().collect()} == {"NOTIF": 6, "FOLLOW": 4}
 
 
+def test_stateful_history(spark, tmp_path):
+    """Keyed state over two micro-batches equals the batch operators."""
+    from lanternfish.operators import interactions as it
+
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    rows = [(i, f"h{i % 3}", ("LIKE", "REPLY", "TAG")[i % 4 % 3], f"p{i % 5}" if i % 6 else None, at(i * 7), False) for i in range(40)]
+    spark.createDataFrame(rows[:25], scouting.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(scouting.SCHEMA).parquet(str(tmp_path / "in"))
+    query = lambda: scouting.stateful_history(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out" / str(n)))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert query().awaitTermination(90)
+    spark.createDataFrame(rows[25:], scouting.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert query().awaitTermination(90)
+    got = {r["handle"]: (r["n"], r["diversity"], r["n_posts"], r["burst"]) for r in spark.read.parquet(str(tmp_path / "out" / "1")).collect()}
+    df = spark.createDataFrame(rows, scouting.SCHEMA)
+    burst = {r["handle"]: r["burst"] for r in it.bursts(df).collect()}
+    assert got == {r["handle"]: (r["n"], r["diversity"], r["n_posts"], burst[r["handle"]]) for r in it.history(df).collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_clusters_without_pairs(spark, seed):
+    """Clusters by links to the least member equal those by all pairs, on random strong and moderate facts and templates."""
+    import random
+
+    from lanternfish.sources.shared import written
+
+    rng, rows, facts = random.Random(seed), [], []
+    for n in range(40):
+        kind = rng.choice(["TEXT", "TEMPLATE", "WALLET", "SHARED_DOMAIN", "REPLY_WAVE"])
+        strength = "STRONG" if kind == "WALLET" or (kind == "TEXT" and n % 3 == 0) else "MODERATE" if n % 7 else "WEAK"
+        group = f"{kind}:{n % 9 if kind == 'REPLY_WAVE' else n}"
+        who = rng.sample(range(30), rng.choice([2, 2, 3, 12]) if kind != "WALLET" else 2)
+        rows += [(kind, str(n), group, f"h{w:02}") for w in who]
+        facts.append((kind, str(n), group, len(who), strength))
+    member = spark.createDataFrame(rows, "fact_type string, fact_key string, fact_group string, handle string")
+    shared = spark.createDataFrame(facts, "fact_type string, fact_key string, fact_group string, n_members int, strength string")
+    pairs = written(network.pair_facts(member, shared))
+    want = sorted(map(tuple, network.clusters(network.edges(pairs), pairs, written).collect()))
+    assert want and sorted(map(tuple, network.clusters_of(member, shared, written).collect())) == want
+
+
 def test_schema(spark):
     from lanternfish.functions import schema
 
