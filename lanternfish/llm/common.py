@@ -22,7 +22,7 @@ BROADCAST_ROWS = 200_000
 #: Most bytes that it may have.
 BROADCAST_BYTES = 64_000_000
 #: Rows of a file of a table of short rows.
-ROWS_A_FILE = 200_000
+ROWS_A_FILE = 1_000_000
 #: Bytes of text that a Python operator holds as arrays at a time.
 RUN_BYTES = 1_000_000
 #: Bytes of a batch of rows on its way to Python.
