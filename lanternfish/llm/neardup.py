@@ -229,12 +229,12 @@ def _labelled(keyed: DataFrame, threshold: float, words: int) -> DataFrame:
     rows = written(signed(keyed, words), "signed")
     n = rows.where("content <> 0").count()
     some = lambda df, name, each=1: written(df, name, rows=each * n)
-    texts = rows.where("content <> 0").groupBy("content").agg(F.min_by(F.struct("doc_id", "row_key", "bands"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x"))
-    texts = texts.select("content", "x.doc_id", "x.row_key", "x.bands")
-    shared = texts.select("content", F.posexplode("bands").alias("nth", "band"))
+    texts = rows.where("content <> 0").groupBy("content")
+    shared = texts.agg(F.any_value("bands").alias("bands")).select("content", F.posexplode("bands").alias("nth", "band"))
+    places = texts.agg(F.min_by(F.struct("doc_id", "row_key"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("x")).select("content", "x.doc_id", "x.row_key")
     leaders = shared.groupBy("band").agg(F.min("content").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = some(_by_group(shared, some(leaders, "leaders", bagminhash.BANDS // 2)), "buckets", bagminhash.BANDS)
-    wanted = some(buckets.select("content").distinct().join(texts.select("content", "doc_id", "row_key"), "content"), "wanted")
+    wanted = some(buckets.select("content").distinct().join(places, "content"), "wanted")
     sets = written(_sets(keyed, wanted, words), "sets", rows=n, a_file=SETS_A_FILE)
     pairs = buckets.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     links = written(_linked_pairs(pairs, sets, threshold), "links", rows=n, a_file=SETS_A_FILE)
