@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import zlib
 from array import array
@@ -39,6 +40,10 @@ CACHE = 600_000
 MARKS = string.punctuation.replace("'", "")
 
 
+#: A word of lower-case Latin letters, which the vocabulary's rules before its model leave as it is.
+PLAIN = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()) + "]+")
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -103,13 +108,13 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         if len(self.kept) > CACHE:
             self.kept, self.older, self.tails = {}, self.kept, {}
-        kept, older, tails, model, rest = self.kept, self.older, self.tails, self.tokenizer.model, []
+        kept, older, tails, model, rest, plain = self.kept, self.older, self.tails, self.tokenizer.model, [], PLAIN.fullmatch
         for piece in pieces:
             ids = older.get(piece)
             if ids is None:
                 core = piece.rstrip(MARKS)
                 tail = piece[len(core) :]
-                if not core.isalpha() or max(core) > "\u024f" or core != core.lower():
+                if not plain(core):
                     rest.append(piece)
                     continue
                 ids = kept.get(core)
