@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import ann, chat, decontamination, langid, licenses, mixing, neardup, tokencount, tokens, toxicity
+from lanternfish.llm import ann, chat, decontamination, interactions, langid, licenses, mixing, neardup, resampling, tokencount, tokens, toxicity
 from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
@@ -67,6 +67,71 @@ from placed
 """
 
 
+def op11_importance_resampling(spark, sf_dir):
+    rows = resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE["op11_importance_resampling"] = r"""
+with d as (
+    select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+b as (
+    select regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+own as (select r, array_to_string(w[p : p + n - 1], ' ') as f from (select r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) as p from d, range(1, 4) t(n))),
+wanted as (select array_to_string(w[p : p + n - 1], ' ') as f from (select w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) as p from b, range(1, 4) t(n))),
+bits as (
+    select f, list_concat([4294967295::bigint], flatten(list_transform(range(strlen(f)), lambda i: [('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::bigint, 0, 0, 0, 0, 0, 0, 0]))) as l
+    from (select distinct f from own union select f from wanted)),
+hashed as (
+    select f, xor(list_reduce(l, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 10000 as bucket from bits),
+s as (select bucket, count(*) as n from own join hashed using (f) group by 1),
+t as (select bucket, count(*) as n from wanted join hashed using (f) group by 1),
+gains as (
+    select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from own) + 10000)::double
+                                   / ((s.n + 1)::double * ((select count(*) from wanted) + 10000)::double)))::bigint as gain
+    from s left join t using (bucket)),
+weights as (select r, count(*) as n_features, sum(gain)::bigint as weight from own join hashed using (f) join gains using (bucket) group by 1),
+scored as (
+    select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+           (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+    from d left join weights using (r)),
+placed as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, 5 * count(*) over (partition by n_words >= 20) // 100 as most from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= most then place end as rank from placed
+"""
+
+
+def op12_filter_audit(spark, sf_dir):
+    return interactions.audited(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+with texts as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part from documents),
+worded as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as first from texts),
+marked as (
+    select doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+                          regexp_matches(text, '[#$%&*|]'), doc_id > first] as fails from worded),
+rows as (
+    select part, fails, coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic from marked left join labels l using (doc_id)),
+counted as (
+    select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from rows group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+    select [ascii(a.x) - 64, ascii(b.x) - 64, ascii(c.x) - 64, ascii(d.x) - 64, ascii(e.x) - 64] as o, a.x || b.x || c.x || d.x || e.x as filter_order
+    from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (
+    select *, o[step] as f, fails[o[step]] as failing, coalesce(list_bool_or(list_transform(o[1 : step - 1], lambda k: fails[k])), false) as gone,
+           len(list_filter(fails, lambda x: x)) as number
+    from counted, orders, range(1, 6) t(step)),
+found as (
+    select part, filter_order, step, any_value(substr(filter_order, step::int, 1)) as letter, sum(case when not failing and not gone then n else 0 end)::bigint as kept,
+           sum(case when failing and not gone then n else 0 end)::bigint as removed, sum(case when failing and gone then n else 0 end)::bigint as redundant,
+           sum(case when failing and number = 1 then n else 0 end)::bigint as unique_fails, sum(case when failing and not gone then good else 0 end)::bigint as good_lost,
+           sum(case when failing and not gone then toxic else 0 end)::bigint as toxic_lost
+    from steps group by all)
+select * exclude (letter) replace (step::int as step), (sum(removed) over (partition by part, letter))::bigint as shapley from found
+"""
+
+
 def op2_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return langid.fit(docs).identified(docs)
