@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.llm import ann, chat, decontamination, interactions, langid, licenses, mixing, neardup, resampling, tokencount, tokens, toxicity
+from lanternfish.llm import ann, chat, decontamination, interactions, jaccard, langid, licenses, mixing, neardup, resampling, tokencount, tokens, toxicity
 from lanternfish.llm.common import new_path, read
 
 ORACLE: dict[str, str] = {}
@@ -132,6 +132,25 @@ select * exclude (letter) replace (step::int as step), (sum(removed) over (parti
 """
 
 
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_jaccard_join"] = r"""
+with recursive texts as (select row_number() over () as r, doc_id, text from documents),
+worded as (
+    select r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from texts),
+runs as (select distinct r, w[p : p + 3] as s from (select r, w, unnest(range(1, greatest(len(w) - 2, 2))) as p from worded where len(w) > 0)),
+numbered as (select r, dense_rank() over (order by s) as s from runs),
+sizes as (select r, count(*) as n from numbered group by r),
+pairs as (select a.r as a, b.r as b, count(*) as same from numbered a join numbered b using (s) where a.r <> b.r group by 1, 2),
+links as (select a, b from pairs join sizes x on x.r = a join sizes y on y.r = b where 100 * same >= 85 * (x.n + y.n - same)),
+reached as (select r as a, r as b from texts union select reached.a, links.b from reached join links on reached.b = links.a)
+select t.doc_id, coalesce(max(sizes.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+from texts t join reached on reached.a = t.r join texts o on o.r = reached.b left join sizes on sizes.r = t.r group by t.r, t.doc_id
+"""
+
+
 def op2_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return langid.fit(docs).identified(docs)

@@ -45,13 +45,13 @@ def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * _power(_P_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], table: bytes = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, text after text, and the number of words of each text.
 
-    Bytes are hashed STRETCH at a time, up to the end of a word, so that a long text needs little more room than its words.
+    table: what each byte counts as; spaces separate words. Bytes are hashed STRETCH at a time, up to the end of a word, so that a long text needs little more room than its words.
     """
     raw = [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in texts]
-    joined = (b" ".join(raw) + b" ").translate(BYTES)
+    joined = (b" ".join(raw) + b" ").translate(table)
     data, found, at = np.frombuffer(joined, np.uint8), [], 0
     while at < len(data):
         end = joined.find(b" ", min(at + STRETCH, len(data) - 1)) + 1
@@ -63,12 +63,12 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, limits), prepend=0) if raw else np.zeros(0, np.int64)
 
 
-def shingle_hashes(texts: list[str | None], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: list[str | None], size: int = WORDS, table: bytes = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each run of `size` words, text after text, and the number of each text.
 
     A text of fewer words, but not none, has one shingle of all its words.
     """
-    words, counts = word_hashes(texts)
+    words, counts = word_hashes(texts, table)
     short = (counts > 0) & (counts < size)
     firsts = np.cumsum(counts) - counts
     total = np.zeros(len(words), np.uint64)
