@@ -163,6 +163,7 @@ def _linked_rest(cells, sets: DataFrame, percent: int) -> DataFrame:
             seen[may] = True
             seen[x] |= len(may) > 0
         at = table.select(columns).filter(pa.array(seen))
+        at = at.set_column(len(columns) - 1, "known", at.column("known").cast(pa.list_(pa.int64())))
         same = lambda v, kind: pa.array(np.full(at.num_rows, v, kind))
         for k, (name, v, kind) in enumerate((("band", band, np.int64), ("i", i, np.int32), ("j", j, np.int32))):
             at = at.add_column(k, name, same(v, kind))
