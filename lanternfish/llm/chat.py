@@ -60,7 +60,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role, text; other columns are ignored. Turns stand in the order of turn (null last), ties
     by role and text; repeated rows are turns of their own; a null role or text is empty; rows of null conv_id are one
-    conversation; an empty table gives no rows. A turn is rendered, parsed and escaped in its own row; only the finished
+    conversation; an empty table gives no rows. A turn is rendered, parsed, escaped if it isn't read back as it was, and parsed again, in its own row;
+    one that even then isn't read back raises; only the finished
     strings of a conversation, which are one output row anyhow, meet in one place.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -69,6 +70,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     for name in ("role", "text"):
         rows = rows.withColumn(f"out_{name}", F.when(F.col("same"), F.col(name)).otherwise(escaped(F.col(name))))
     rows = rows.withColumn("piece", rendered(F.col("out_role"), F.col("out_text"))).withColumn("loss", F.col("role") == "assistant")
+    again = F.col("same") | F.coalesce(parsed(F.col("piece")) == source, F.lit(False))
+    rows = rows.withColumn("piece", F.when(again, F.col("piece")).otherwise(F.raise_error(F.concat(F.lit("a turn isn't read back as it was: "), F.col("piece")))))
     rows = rows.select("conv_id", "turn", "role", "text", "piece", "loss", F.length("out_role").alias("role_length"), F.length("out_text").alias("text_length"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

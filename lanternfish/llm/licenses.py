@@ -23,12 +23,13 @@ THRESHOLD = 0.5
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|copyright|unlicense)[^/]*$"
 #: Share of a file's words in units like licence texts from which a file of another name is a licence file, too.
 MOSTLY = 0.9
-TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*+)"
+#: Groups repeat possessively here, as Java's matcher then loops; else each repetition takes a stack frame, and long files end it.
 #: What sets lines and sentences, and paragraphs, apart; comment marks at the beginning of a line; comment lines in a row.
 STATEMENTS = r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})"
 PARAGRAPHS = r"\n[ \t]*\n"
 MARKS = r"(?md)^[ \t]*(?:/?\*+/?|//+|#+|--+|;+|%+|<!--)[ \t]*"
-BLOCKS = r"(?md)(?:^[ \t]*(?:/?\*|//|#|--|;|%).*\n?){2,}"
+BLOCKS = r"(?md)(?:^[ \t]*(?:/?\*|//|#|--|;|%).*\n?){2,}+"
 
 
 def units(text: Column, named: Column) -> Column:

@@ -216,7 +216,7 @@ def op6_license_scan(spark, sf_dir):
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
-_RE2 = lambda pattern: pattern.replace("(?md)", "(?m)").replace("'", "''")
+_RE2 = lambda pattern: pattern.replace("(?md)", "(?m)").replace(")*+", ")*").replace("{2,}+", "{2,}").replace("'", "''")
 ORACLE["op6_license_scan"] = f"""
 with files as (
     select row_number() over () as r, doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, '')) as directory, text,
@@ -243,7 +243,7 @@ best as (
     from likes join templates using (template) where similarity >= {licenses.THRESHOLD} group by 1),
 hits as (
     select r, license, kind, similarity, len(string_split(unit, ' ')) as stated from found join best using (unit)
-    union all select r, regexp_replace(tag, '[ \\t]+', ' ', 'g'), 'tag', 1.0, 0 from (select r, regexp_extract(text, '{licenses.TAG}', 1) as tag from files) where tag <> ''),
+    union all select r, regexp_replace(tag, '[ \\t]+', ' ', 'g'), 'tag', 1.0, 0 from (select r, regexp_extract(text, '{_RE2(licenses.TAG)}', 1) as tag from files) where tag <> ''),
 mine as (select r, (max(struct_pack(t := kind = 'tag', s := similarity, l := license))).l as own_license, max(similarity) as similarity, sum(stated) as stated from hits group by 1),
 granted as (
     select directory, (max(struct_pack(s := similarity, l := own_license))).l as granted from mine join files using (r)

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import string
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -44,6 +45,15 @@ MARKS = string.punctuation.replace("'", "")
 PLAIN = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()) + "]+")
 
 
+def lowered(text: str) -> str:
+    """The text lower-cased where that may come before composition of characters and is what the vocabulary's rule does; else as it is."""
+    if text.isascii():
+        return text if "<|" in text else text.lower()
+    low = text.lower()
+    special = "<|" in text or "\u03a3" in text or "\u0130" in text
+    return low if not special and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -92,8 +102,9 @@ class Encoder:
     With a cuttable file, a text is cut at spaces and line feeds and each distinct piece is encoded once; the pieces' ids,
     joined, are the text's. A piece of letters before ASCII punctuation is the ids of its two pre-tokens, and a word of Latin
     letters goes straight to the vocabulary's model, whose own rules before it would leave the word as it is. Texts are
-    lower-cased first, as the vocabulary does itself, but for those where that isn't the same before its other rules. Any
-    other file, or `whole`, encodes whole texts. Pieces not met for long leave memory and are encoded again if they return.
+    lower-cased first, as the vocabulary does itself, but for those where that isn't the same before its other rules: it
+    composes characters first, so a capital that composes with no mark keeps the mark apart when it is lower-cased later. Texts
+    that composition would change, in either case, therefore reach the vocabulary as they are. Any other file, or `whole`, encodes whole texts. Pieces not met for long leave memory and are encoded again if they return.
     """
 
     def __init__(self, vocabulary: str, whole: bool = False):
@@ -131,8 +142,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self._encoded(texts)
-        lower = lambda x: x if "<|" in x or "\u03a3" in x or "\u0130" in x else x.lower()
-        cut = [lower(x).replace("\n", " ").split(" ") for x in texts]
+        cut = [lowered(x).replace("\n", " ").split(" ") for x in texts]
         needed = set().union(*cut)
         if len(self.kept) > CACHE:
             self._learn(needed)
