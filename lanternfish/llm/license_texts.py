@@ -51,6 +51,18 @@ The copyright notices in the Software and this entire statement, including the a
 _GPL_TEXT = """GNU GENERAL PUBLIC LICENSE Version {version}
 Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."""
 
+#: Names of licences as statements give them; each is looked for in the wordings below.
+_NAMES = {
+    "MIT": "MIT License", "Apache-2.0": "Apache License 2.0", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License",
+    "GPL-2.0": "GNU General Public License v2.0", "GPL-3.0": "GNU General Public License v3.0", "LGPL-2.1": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0": "GNU Lesser General Public License v3.0", "AGPL-3.0": "GNU Affero General Public License v3.0", "MPL-1.1": "Mozilla Public License 1.1",
+    "MPL-2.0": "Mozilla Public License 2.0", "EPL-1.0": "Eclipse Public License 1.0", "EPL-2.0": "Eclipse Public License 2.0", "EUPL-1.2": "European Union Public Licence 1.2",
+    "CDDL-1.0": "Common Development and Distribution License 1.0", "Artistic-2.0": "Artistic License 2.0", "AFL-3.0": "Academic Free License 3.0", "OFL-1.1": "SIL Open Font License 1.1",
+    "MS-PL": "Microsoft Public License", "PostgreSQL": "PostgreSQL License", "NCSA": "University of Illinois NCSA Open Source License", "BSL-1.0": "Boost Software License 1.0",
+    "Zlib": "zlib License", "ISC": "ISC License", "Unlicense": "Unlicense", "WTFPL": "WTFPL", "0BSD": "Zero-Clause BSD License", "CC0-1.0": "CC0 1.0 Universal",
+}
+_WORDINGS = ("Licensed under the {}.", "This project is licensed under the terms of the {}.")
+
 #: (SPDX id, kind, text). A statement names a licence, a header stands in source files, a text is (the opening of) a licence file.
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("Apache-2.0", "statement", "Licensed under the Apache License, Version 2.0."),
@@ -98,4 +110,4 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("AGPL-3.0", "text", _GPL_TEXT.format(version="3, 19 November 2007").replace("GENERAL", "AFFERO GENERAL")),
     ("MPL-2.0", "text", "Mozilla Public License Version 2.0"),
     ("CC0-1.0", "text", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES."),
-)
+) + tuple((spdx, "statement", wording.format(name)) for spdx, name in _NAMES.items() for wording in _WORDINGS)
