@@ -125,14 +125,14 @@ def queue(rows: DataFrame) -> DataFrame:
     rank = F.expr("case priority when 'HIGH' then 3 when 'NORMAL' then 2 else 1 end")
     deep = F.expr("case level when 'FULL_AUDIT' then 2 when 'LIGHT_CHECK' then 1 else 0 end")
     return rows.groupBy("handle").agg(
-        F.max_by("level", deep).alias("level"), F.max_by("priority", rank).alias("priority"), F.min_by("kind", "seq").alias("source_kind"), F.min("ts").alias("first_seen"), F.count("*").alias("n_interactions")
+        F.max_by("level", deep).alias("level"), F.max_by("priority", rank).alias("priority"), F.min_by("kind", "seq").alias("source_kind"), F.min("ts").alias("first_seen"), F.count("*").alias("n_interactions"), F.min("seq").alias("opened")
     )
 
 
 def ordered_queue(entries: DataFrame) -> DataFrame:
-    """Entries in the order of work: priority, then the first to come."""
+    """Entries in the order of work: priority, then the first to be opened."""
     rank = F.expr("case priority when 'HIGH' then 3 when 'NORMAL' then 2 else 1 end")
-    return entries.orderBy(rank.desc(), "first_seen", "handle")
+    return entries.orderBy(rank.desc(), "opened", "handle")
 
 
 def light_check(rows: DataFrame) -> DataFrame:

@@ -73,6 +73,17 @@ def audit_queue(spark, sf_dir):
     return it.queue(rows).select("handle", "level", "priority", "source_kind", "n_interactions")
 
 
+@query(_PRIORITY + """, q as (select handle, max(case priority when 'HIGH' then 3 when 'NORMAL' then 2 else 1 end) as r, min(seq) as opened, count(*) as n_interactions from p group by 1)
+select row_number() over (order by r desc, opened, handle) as place, handle, opened, n_interactions from q order by r desc, opened, handle limit 50""")
+def audit_queue_next(spark, sf_dir):
+    """The 50 entries to work on next."""
+    rows = it.priority(it.running(interactions(spark, sf_dir))).withColumn("level", it.level(F.col("kind"), F.col("solicits"), F.lit(False)))
+    first = it.ordered_queue(it.queue(rows)).limit(50)
+    rank = F.expr("case priority when 'HIGH' then 3 when 'NORMAL' then 2 else 1 end")
+    place = F.row_number().over(Window.orderBy(rank.desc(), "opened", "handle")).cast("long")
+    return first.select(place.alias("place"), "handle", "opened", "n_interactions")
+
+
 @query(_I + """select seq, array_to_string(list_filter([case when abs(epoch_us(ts) - epoch_us(timestamp '2023-12-10')) / 86400e6 > 30 and seq % 2 = 0 then 'audit stale' end, case when seq % 11 = 0 then 'profile change (bio)' end,
     case when solicits then 'suspicious solicitation begins' end, case when seq % 13 = 0 then 'joined a newly detected network' end, case when seq % 101 = 0 then 'owner asked' end], lambda x: x is not null), '|') as triggers from i""")
 def recheck_triggers(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish import config
+from lanternfish.sources import tables
 from lanternfish.sources.tables import table
 
 #: Every id an instance may have: all features, the forbidden ones and one that nobody knows.
@@ -87,10 +88,10 @@ RECORDS_SQL = (
 )
 
 
-def interactions(spark, sf_dir) -> DataFrame:
-    """Interactions from events, in the order of event_id."""
+def interactions(spark, sf_dir, stream: bool = False) -> DataFrame:
+    """Interactions from events, in the order of event_id; as a stream, the table's files are its source."""
     kind = F.create_map(*[F.lit(x) for x in ("signup", "NEW_FOLLOW", "click", "REPLY", "view", "LIKE", "purchase", "QUOTE_POST")])
-    e = table(spark, sf_dir, "events")
+    e = (tables.stream if stream else table)(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("u"), F.col("user_id")).alias("handle"),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lanternfish.operators import interactions as it
 from lanternfish.operators import scouting
+from lanternfish.plans import flow
 from lanternfish.plans.common import plain, registry, relation
 from lanternfish.plans.projections import INTERACTIONS_SQL, interactions
 from lanternfish.plans.reports import ADJUDICATIONS, STATES
+from lanternfish.streaming import queue
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -32,6 +34,24 @@ def scout_arrivals(spark, sf_dir):
     return scouting.arrivals(rows, relation(spark, sf_dir, _CACHE), relation(spark, sf_dir, _QUEUE), SETTINGS)
 
 
+@query(ORACLE_SQL["scout_arrivals"])
+def stream_arrivals(spark, sf_dir):
+    """The same as a stream over the table's files, whose state starts with the cache and the open entries."""
+    triggers = F.when(F.col("solicits"), F.array(F.lit("suspicious solicitation begins"))).otherwise(F.array().cast("array<string>"))
+    stream = interactions(spark, sf_dir, stream=True).withColumn("triggers", triggers)
+    cache, opened = relation(spark, sf_dir, _CACHE), relation(spark, sf_dir, _QUEUE)
+    rows, _ = queue.run_once(stream, lambda s: queue.arrivals(s, cache, opened, SETTINGS))
+    return rows.select("seq", "handle", "result", "level")
+
+
+@query(flow.ORACLE_SQL["audit_queue"])
+def stream_queue(spark, sf_dir):
+    """The queue that a stream over the table's files leaves in its state."""
+    stream = interactions(spark, sf_dir, stream=True).withColumn("triggers", F.array().cast("array<string>"))
+    _, checkpoint = queue.run_once(stream, queue.arrivals)
+    return queue.open_entries(spark, checkpoint).select(F.col("key").alias("handle"), "level", "priority", "source_kind", "n_interactions")
+
+
 _LATEST = f"a as (select *, lower(ltrim(handle, '@')) as key from ({plain(ADJUDICATIONS)})), l as (select * exclude (handle, id) from a qualify row_number() over (partition by key order by id desc) = 1)"
 _OLD = "select concat('ACCT', p_partkey) as handle, case p_partkey % 3 when 0 then 'KEEP' when 1 then 'REVIEW' end as current_action, p_size % 4 as c, cast('2024-01-01 00:00:00' as timestamp) as last_full_audit from {part}"
 

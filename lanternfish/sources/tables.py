@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named table as a stream of its files; the path is a pattern, as a stream reads a single file only by one."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")

@@ -2,15 +2,11 @@
 
 Each micro-batch drops rows not after their source's mark as of its start, which all rows taken before are, appends the others
 and moves the marks. A batch that is replayed, after a failure or by hand, changes nothing. History is
-kept as appended rows and read as an aggregate, or as keyed state with StatefulHistory.
+kept as appended rows and read as an aggregate, or as keyed state by streaming.queue.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,42 +64,3 @@ def windowed(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour")
     rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(list(it.KEY))
     return rows.groupBy(F.window("ts", width), "kind").agg(F.count("*").alias("n"))
 
-
-#: Times that an account's burst is counted on.
-TIMES_KEPT = 200
-
-
-def _updated(state: dict, rows: pd.DataFrame) -> dict:
-    """An account's history with more rows: counts by kind, posts, and its latest distinct times in microseconds."""
-    kinds = dict(state["kinds"])
-    for kind, n in rows["kind"].value_counts().items():
-        kinds[kind] = kinds.get(kind, 0) + int(n)
-    posts = sorted(set(state["posts"]) | set(rows["post"].dropna()))
-    times = sorted(set(state["times"]) | {int(t.timestamp() * 1_000_000) for t in rows["ts"]})[-TIMES_KEPT:]
-    return {"kinds": kinds, "posts": posts, "times": times, "newest": max(times[-1:] + [state["newest"]])}
-
-
-def _burst(times: list[int]) -> int:
-    """The most of the ascending times within any 24 hours."""
-    most, first = 0, 0
-    for last, t in enumerate(times):
-        while t - times[first] > 86_400_000_000:
-            first += 1
-        most = max(most, last - first + 1)
-    return most
-
-
-def stateful_history(stream: DataFrame) -> DataFrame:
-    """Per account, after each micro-batch that touches it: interactions, counts by kind, diversity, posts, burst and latest time so far, as keyed state."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"kinds": {}, "posts": [], "times": [], "newest": 0}
-        for rows in batches:
-            kept = _updated(kept, rows)
-        state.update((json.dumps(kept),))
-        n = sum(kept["kinds"].values())
-        counts = json.dumps(kept["kinds"], sort_keys=True)
-        yield pd.DataFrame({"handle": [key[0]], "n": [n], "by_kind": [counts], "diversity": [len(kept["kinds"])], "n_posts": [len(kept["posts"])], "burst": [_burst(kept["times"])], "last_us": [kept["newest"]]})
-
-    out = "handle string, n long, by_kind string, diversity long, n_posts long, burst long, last_us long"
-    return stream.groupBy("handle").applyInPandasWithState(update, out, "history string", "update", "NoTimeout")

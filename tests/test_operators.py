@@ -249,12 +249,13 @@ def test_scout_batches(spark, tmp_path):
 def test_stateful_history(spark, tmp_path):
     """Keyed state over two micro-batches equals the batch operators."""
     from lanternfish.operators import interactions as it
+    from lanternfish.streaming import queue
 
     at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
     rows = [(i, f"h{i % 3}", ("LIKE", "REPLY", "TAG")[i % 4 % 3], f"p{i % 5}" if i % 6 else None, at(i * 7), False) for i in range(40)]
     spark.createDataFrame(rows[:25], scouting.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(scouting.SCHEMA).parquet(str(tmp_path / "in"))
-    query = lambda: scouting.stateful_history(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out" / str(n)))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query = lambda: queue.histories(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out" / str(n)))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     assert query().awaitTermination(90)
     spark.createDataFrame(rows[25:], scouting.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert query().awaitTermination(90)
