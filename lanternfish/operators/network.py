@@ -1,7 +1,9 @@
 """Shared facts between accounts, pairs, edges, clusters and the cluster score.
 
 Items are rows (handle, kind, text or value, date, target). Accounts meet only where they share a fact; weak facts can't
-make an edge, so they are left out before accounts are paired unless the watch list is wanted.
+make an edge, so accounts aren't paired by them unless the watch list is wanted. Each account carries its facts, rarest first,
+as numbers; two accounts that meet at a fact are a pair only if it is the first that they have in common, and all that a pair
+shares is told in that one place. The accounts of a heavy fact are dealt to slots, and each two slots meet in a cell.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from lanternfish.operators.components import connected_components
 from lanternfish.sources.shared import numbered
 
 RANK = "case strength when 'STRONG' then 3 when 'MODERATE' then 2 else 1 end"
+#: Accounts of a slot of a heavy fact.
+SLOT = 1_000
 
 
 def members(items: DataFrame) -> DataFrame:
@@ -69,16 +73,86 @@ def facts(member: DataFrame) -> DataFrame:
     return rows.withColumn("strength", F.when(F.col("topic") & (F.col("strength") != "STRONG"), "WEAK").otherwise(F.col("strength"))).drop("n_dated", "days", "bio")
 
 
+def profiles(member: DataFrame, shared: DataFrame) -> DataFrame:
+    """handle and facts: its shared facts as structs (n, id, group, rank, text, template), those of fewest accounts first.
+
+    id and group are numbers in place of names; rank is 3 for a strong, 2 for a moderate and 1 for a weak fact.
+    """
+    kind = F.col("fact_type")
+    fact = F.struct(
+        F.col("n_members").alias("n"), F.xxhash64("fact_type", "fact_key", "fact_group").alias("id"), F.xxhash64("fact_group").alias("group"), F.expr(RANK).alias("rank"),
+        (kind == "TEXT").alias("text"), (kind == "TEMPLATE").alias("template"),
+    )
+    names = ["fact_type", "fact_key", "fact_group"]
+    rows = member.join(shared.select(*names, "n_members", "strength"), names).select("handle", fact.alias("fact"))
+    return rows.groupBy("handle").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
+
+
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """Each two rows (key, handle, facts) of one key as a, a_facts, b, b_facts and key, where a < b.
+
+    A key of many rows is cut into cells, so that no task gets all of its pairs.
+    """
+    slots = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / SLOT).cast("int").alias("_slots"))
+    rows = rows.join(slots, key).withColumn("_slot", F.pmod(F.xxhash64("handle"), F.col("_slots")).cast("int"))
+    left = rows.withColumn("_other", F.explode(F.expr("sequence(_slot, _slots - 1)"))).select(key, F.col("_slot").alias("_i"), F.col("_other").alias("_j"), F.col("handle").alias("_a"), F.col("facts").alias("_a_facts"))
+    right = rows.withColumn("_other", F.explode(F.expr("sequence(0, _slot)"))).select(key, F.col("_other").alias("_i"), F.col("_slot").alias("_j"), F.col("handle").alias("_b"), F.col("facts").alias("_b_facts"))
+    pairs = left.join(right, [key, "_i", "_j"]).where("_i < _j or _a < _b")
+    swap = F.col("_a") > F.col("_b")
+    return pairs.select(
+        key, F.least("_a", "_b").alias("a"), F.when(swap, F.col("_b_facts")).otherwise(F.col("_a_facts")).alias("a_facts"),
+        F.greatest("_a", "_b").alias("b"), F.when(swap, F.col("_a_facts")).otherwise(F.col("_b_facts")).alias("b_facts"),
+    )
+
+
+#: Of facts that a pair has in common, those that count: no template where it shares a text.
+_COUNTED = "filter(common, x -> not (x.template and exists(common, y -> y.text)))"
+
+
+def overlaps(profile: DataFrame, indexed: str) -> DataFrame:
+    """Pairs (a < b) of accounts with the facts that count between them, each pair once; indexed: the facts (an expression of x) they meet at."""
+    keep = f"filter(facts, x -> {indexed})"
+    rows = profile.withColumn("fact", F.explode(F.expr(keep))).select("handle", "facts", F.col("fact.id").alias("id"))
+    pairs = _met(rows, "id").withColumn("common", F.array_intersect("a_facts", "b_facts"))
+    first = F.expr(f"filter(common, x -> {indexed})")[0]["id"]
+    return pairs.where(first == F.col("id")).select("a", "b", F.expr(_COUNTED).alias("facts"))
+
+
 def pair_facts(member: DataFrame, shared: DataFrame, weak: bool = False) -> DataFrame:
     """One row per pair (a < b) and fact group: the strongest fact. A template doesn't count where the pair shares a text."""
-    kept = shared if weak else shared.where("strength <> 'WEAK'")
-    rows = member.join(kept.select("fact_type", "fact_key", "fact_group", "strength"), ["fact_type", "fact_key", "fact_group"]).select("fact_type", "fact_key", "fact_group", "strength", "handle")
-    other = rows.select("fact_type", "fact_key", F.col("handle").alias("b"))
-    pairs = rows.withColumnRenamed("handle", "a").join(other, ["fact_type", "fact_key"]).where("a < b")
-    text = F.max(F.col("fact_type") == "TEXT").over(Window.partitionBy("a", "b"))
-    pairs = pairs.withColumn("text", text).where("not (text and fact_type = 'TEMPLATE')")
-    best = F.max_by(F.struct("strength", "fact_type"), F.expr(RANK))
-    return pairs.groupBy("a", "b", "fact_group").agg(best.alias("x")).select("a", "b", "fact_group", "x.strength", "x.fact_type")
+    pairs = overlaps(profiles(member, shared), "true" if weak else "x.rank > 1")
+    rows = pairs.select("a", "b", F.explode("facts").alias("fact")).where(F.lit(weak) | (F.col("fact.rank") > 1))
+    names = shared.select(F.xxhash64("fact_type", "fact_key", "fact_group").alias("id"), "fact_type", "fact_group", "strength")
+    best = F.max_by(F.struct("strength", "fact_type"), F.struct(F.expr(RANK), "fact_type"))
+    return rows.select("a", "b", F.col("fact.id").alias("id")).join(names, "id").groupBy("a", "b", "fact_group").agg(best.alias("x")).select("a", "b", "fact_group", "x.strength", "x.fact_type")
+
+
+def fact_classes(profile: DataFrame) -> DataFrame:
+    """handle, class (the least account with the same facts) and n (of its accounts)."""
+    marked = profile.select("handle", F.xxhash64("facts").alias("mark"), F.md5(F.to_json("facts")).alias("digest"))
+    every = marked.groupBy("mark", "digest").agg(F.min("handle").alias("class"), F.count("*").alias("n"))
+    return marked.join(every, ["mark", "digest"]).select("handle", "class", "n")
+
+
+def watch(member: DataFrame, shared: DataFrame, written) -> DataFrame:
+    """Pairs of accounts with facts in common that make no edge, as classes: a, b, n_pairs, n_moderate and n_weak (fact groups).
+
+    Accounts with the same facts are one class, named by the least of them, and share the same with any other account; so one
+    row stands for all pairs between two classes, or within one, where a is b. fact_classes() has their members.
+    """
+    profile = written(profiles(member, shared))
+    classes = written(fact_classes(profile))
+    first = profile.join(classes.where("handle = class"), "handle").select("handle", "facts", "n")
+    pairs = overlaps(first.select("handle", "facts"), "true")
+    own = first.where("n > 1").select(F.col("handle").alias("a"), F.col("handle").alias("b"), F.col("facts").alias("common")).select("a", "b", F.expr(_COUNTED).alias("facts"))
+    size = classes.where("handle = class")
+    rows = pairs.unionByName(own).join(size.select(F.col("handle").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("handle").alias("b"), F.col("n").alias("n_b")), "b")
+    groups = lambda rank: f"array_distinct(transform(filter(facts, x -> x.rank = {rank}), x -> x.group))"
+    weak = F.size(F.array_except(F.expr(groups(1)), F.expr(groups(2)))).cast("long")
+    rows = rows.withColumns({"n_strong": F.expr(f"size({groups(3)})"), "n_moderate": F.expr(f"size(array_except({groups(2)}, {groups(3)}))").cast("long"), "n_weak": weak})
+    edge = (F.col("n_strong") > 0) | (F.col("n_moderate") >= config.CLUSTER_MIN_MODERATE)
+    number = F.when(F.col("a") == F.col("b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    return rows.where(~edge & (F.size("facts") > 0)).select("a", "b", number.alias("n_pairs"), "n_moderate", "n_weak")
 
 
 def edges(pairs: DataFrame) -> DataFrame:
@@ -97,31 +171,38 @@ def clusters(linked: DataFrame, pairs: DataFrame, written) -> DataFrame:
 
 
 def clusters_of(member: DataFrame, shared: DataFrame, written) -> DataFrame:
-    """What clusters() gives of members() and facts(), without pairing the members of strong facts.
+    """What clusters() gives of members() and facts(), without pairing the accounts of strong or of very common facts.
 
-    A strong fact links all of its members, so each is linked to the least of them: k - 1 links in place of k (k - 1) / 2 pairs, and a fact
-    that very many share is an aggregate and a join. Only moderate facts are paired; whether such a pair shares a strong fact,
-    too, is told by its accounts' own lists of these.
+    A strong fact links all of its accounts, so each is linked to the least of them: k - 1 links in place of k (k - 1) / 2 pairs. Two
+    accounts with three moderate facts in common have one of these among all but the last two of each, rarest first; so accounts
+    meet at those facts only, and a fact that very many have is met at by accounts alone that have two still more common
+    ones. What else two accounts of a strong fact share adds to their evidence: any moderate fact that another account has
+    together with the same strong one. Only templates, which don't count beside a common text, need the pairs of such accounts.
     """
-    rows = member.join(shared.where("strength <> 'WEAK'").select("fact_type", "fact_key", "fact_group", "strength"), ["fact_type", "fact_key", "fact_group"])
-    rows = written(rows.select("handle", "fact_type", "fact_key", "fact_group", "strength"))
-    strong, moderate = rows.where("strength = 'STRONG'"), rows.where("strength = 'MODERATE'")
-    star = strong.groupBy("fact_type", "fact_key").agg(F.min("handle").alias("b"))
-    links = strong.join(star, ["fact_type", "fact_key"]).where("handle <> b").select(F.col("handle").alias("a"), "b")
-    fact = F.struct("fact_type", "fact_key")
-    own = strong.groupBy("handle").agg(F.collect_set(fact).alias("facts"), F.collect_set(F.when(F.col("fact_type") == "TEXT", F.col("fact_key"))).alias("texts"))
-    side = lambda name: own.select(F.col("handle").alias(name), F.col("facts").alias(f"{name}_facts"), F.col("texts").alias(f"{name}_texts"))
-    pairs = moderate.withColumnRenamed("handle", "a").join(moderate.select("fact_type", "fact_key", F.col("handle").alias("b")), ["fact_type", "fact_key"]).where("a < b")
-    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    meets = lambda name: F.coalesce(F.arrays_overlap(f"a_{name}", f"b_{name}"), F.lit(False))
-    text = F.max(F.col("fact_type") == "TEXT").over(Window.partitionBy("a", "b")) | meets("texts")
-    pairs = pairs.select("a", "b", "fact_type", "fact_group", meets("facts").alias("tied"), text.alias("text")).where("not (text and fact_type = 'TEMPLATE')")
-    found = pairs.groupBy("a", "b").agg(F.collect_set("fact_group").alias("groups"), F.max("tied").alias("tied")).where(F.col("tied") | (F.size("groups") >= config.CLUSTER_MIN_MODERATE))
-    found = written(found)
-    components = connected_components(links.unionByName(found.where("not tied").select("a", "b")), written)
+    profile = written(profiles(member, shared.where("strength <> 'WEAK' or fact_type = 'TEXT'")))
+    each = profile.select("handle", "facts", F.explode("facts").alias("fact"))
+    strong = each.where("fact.rank = 3").select("handle", F.col("fact.id").alias("id"), F.col("fact.group").alias("group"))
+    star = strong.groupBy("id").agg(F.min("handle").alias("b"))
+    links = strong.join(star, "id").where("handle <> b").select(F.col("handle").alias("a"), "b")
+    moderate = "filter(facts, y -> y.rank = 2)"
+    early = f"x.rank = 2 and exists(slice({moderate}, 1, greatest(size({moderate}) - 2, 0)), y -> y.id = x.id)"
+    rows = profile.withColumn("fact", F.explode(F.expr(f"filter(facts, x -> {early})"))).select("handle", "facts", F.col("fact.id").alias("id"))
+    common = _met(rows, "id").withColumn("common", F.array_intersect("a_facts", "b_facts"))
+    # rarest first, so the first moderate fact in common is early for both
+    pairs = common.where(F.expr("filter(common, x -> x.rank = 2)[0].id") == F.col("id")).select("a", "b", F.expr(_COUNTED).alias("facts"))
+    groups = F.expr("array_distinct(transform(filter(facts, x -> x.rank = 2), x -> x.group))")
+    found = written(pairs.select("a", "b", groups.alias("groups")).where(F.size("groups") >= config.CLUSTER_MIN_MODERATE))
+    tied = each.where("fact.rank = 2").select("handle", "facts", "fact", F.explode(F.expr("filter(facts, x -> x.rank = 3)")).alias("tie"))
+    tied = tied.select("handle", "facts", F.col("fact.group").alias("group"), "fact.template", "tie.text", F.xxhash64("fact.id", "tie.id").alias("id"))
+    both = tied.where("not template").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    seen = strong.select(F.col("handle").alias("node"), "group").unionByName(tied.where("not template").join(both, "id", "left_semi").select(F.col("handle").alias("node"), "group"))
+    templates = tied.where("template and not text").withColumn("facts", F.expr("filter(facts, x -> x.text)"))
+    named = _met(templates.select("id", "handle", "facts"), "id").where(F.size(F.array_intersect("a_facts", "b_facts")) == 0).select("id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = named.join(templates.select("id", F.col("handle").alias("node"), "group"), ["id", "node"]).select("node", "group")
+    seen = seen.unionByName(named).unionByName(found.select(F.explode(F.array("a", "b")).alias("node"), "groups").select("node", F.explode("groups").alias("group")))
+    evidence = seen.groupBy("node").agg(F.count_distinct("group").alias("n_evidence"))
+    components = connected_components(links.unionByName(found.select("a", "b")), written)
     names = numbered(components.select("component").distinct(), "component", "nth").select("component", F.format_string("N6-%03d", "nth").alias("cluster_id"))
-    seen = strong.select(F.col("handle").alias("node"), "fact_group").unionByName(found.select(F.explode(F.array("a", "b")).alias("node"), "groups").select("node", F.explode("groups").alias("fact_group")))
-    evidence = seen.groupBy("node").agg(F.count_distinct("fact_group").alias("n_evidence"))
     return components.join(names, "component").join(evidence, "node", "left").select(F.col("node").alias("handle"), "cluster_id", "component", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
