@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish import config
+from lanternfish.functions.text import let
 from lanternfish.sources.shared import few
 
 c = F.col
@@ -101,17 +102,90 @@ def regraded(instances: DataFrame, enabled: DataFrame) -> DataFrame:
     return rows.withColumns({"feature_id": F.when(moved, "I002").otherwise(c("feature_id")), "pos": F.when(moved, c("pos") + 1_000_000_000).otherwise(c("pos"))}).drop("on")
 
 
+def _folded(text: Column) -> Column:
+    """Text of which equal letters, whatever their case, are the same."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(_folded(text), r"(?U)\W+"), "")
+
+
+def _phrases(every: Column, lengths: list[int]) -> Column:
+    """The distinct runs of so many words, joined by blanks."""
+    run = lambda words, n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    return let(every, lambda words: F.array_distinct(F.flatten(F.array(*[run(words, n) for n in lengths]))))
+
+
+def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """id and name of each name that stands in a text (id, text) as words of its own, whatever its case; any number of names.
+
+    A name is looked up by its words among the runs of as many words of the texts, an equality join; what is between the words
+    is compared where that finds it. Names without a word, which no text of words leads to, may be few.
+    """
+    rows = names.select("name").distinct().withColumn("words", _words(c("name")))
+    worded = rows.where(F.size("words") > 0).select("name", F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"))
+    lengths = sorted(r["n"] for r in few(worded.select("n").distinct()).collect())
+    met = texts.select("id", "text")
+    literal = F.concat(F.lit(r"\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    stands = F.regexp_like("text", F.concat(F.lit(r"(?iU)(?<!\w)"), literal, F.lit(r"(?!\w)")))
+    out = met.join(few(rows.where(F.size("words") == 0).select("name")), stands).select("id", "name") if rows.where(F.size("words") == 0).limit(1).count() else None
+    if lengths:
+        found = met.select("id", F.explode(_phrases(_words(c("text")), lengths)).alias("phrase")).join(worded, "phrase").select("id", "name")
+        found = found.join(met, "id").where(stands).select("id", "name")
+        out = found if out is None else found.unionByName(out)
+    return out if out is not None else met.join(names.select("name").limit(0), F.lit(True)).select("id", "name")
+
+
+#: Characters of a pattern that stand for themselves, once all else is cut away.
+_GROUP, _STOP = r"\([^()]*\)[*?+]?(?:\{[^}]*\})?", "\u0001"
+#: Most rules that have no three letters in a row which each match needs.
+UNGATED = 1_000
+
+
+def gate(pattern: Column) -> Column:
+    """Three characters, folded, that stand in a row in every text which a pattern matches; null where none are known."""
+    cut = F.regexp_replace(pattern, r"\\.(?:\{[^}]*\})?", _STOP)
+    cut = F.regexp_replace(cut, r"\[[^\]]*\](?:\{[^}]*\})?", _STOP)
+    for _ in range(3):
+        cut = F.regexp_replace(cut, _GROUP, _STOP)
+    open_ = cut.rlike(r"[()|\[\]]")
+    cut = F.regexp_replace(F.regexp_replace(cut, r".(?:[*?]|\{[^}]*\})", _STOP), r"[.^$+]", _STOP)
+    runs = F.filter(F.split(_folded(cut), _STOP), lambda x: F.length(x) >= 3)
+    return F.when(~open_ & (F.size(runs) > 0), F.substring(F.sort_array(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False)[0]["x"], 1, 3))
+
+
+def rule_hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """id and name of each rule (name, pattern, required) that a text (id, text, features) meets.
+
+    A rule goes only to texts that hold its gate, an equality join on the gates among the texts' runs of three characters. An
+    owner's rules are few by nature; those without a gate may be UNGATED at most.
+    """
+    gated = rules.withColumn("gate", gate(c("pattern")))
+    rest = gated.where("gate is null").select("name", "pattern", "required").limit(UNGATED + 1).collect()
+    if len(rest) > UNGATED:
+        raise ValueError(f"more than {UNGATED} rules that any text may meet")
+    met = F.expr("text rlike concat('(?iU)', pattern) and (size(required) = 0 or arrays_overlap(required, features))")
+    asked = [r["gate"] for r in few(gated.where("gate is not null").select("gate").distinct()).collect()]
+    threes = F.array_intersect(F.regexp_extract_all(_folded(c("text")), F.lit("(?s)(?=(...))"), F.lit(1)), F.array(*map(F.lit, asked)).cast("array<string>"))
+    pairs = texts.select("id", F.explode(threes).alias("gate")).join(gated.where("gate is not null"), "gate").select("id", "name", "pattern", "required")
+    out = pairs.join(texts.select("id", "text", "features"), "id").where(met).select("id", "name")
+    if rest:
+        every = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["pattern"]).alias("pattern"), F.array(*map(F.lit, r["required"])).cast("array<string>").alias("required")) for r in rest])
+        out = out.unionByName(texts.withColumn("rule", F.explode(every)).select("id", "text", "features", "rule.*").where(met).select("id", "name"))
+    return out
+
+
 def policy_matches(texts: DataFrame, identities: DataFrame, answers: DataFrame) -> DataFrame:
     """handle, kind (IDENTITY or RULE), name of each policy row that an account's text meets.
 
-    texts: handle, text, features; identities: name; answers: name, pattern, required (features, of which one is needed; empty: none). A
-    policy is an owner's few rows by nature; it is sent to each account's row.
+    texts: handle, text, features; identities: name; answers: name, pattern, required (features, of which one is needed; empty: none).
     """
-    mention = F.expr(r"text rlike concat('(?iU)(?<!\\w)', '\\Q', name, '\\E', '(?!\\w)')")
-    who = texts.join(few(identities), mention).select("handle", F.lit("IDENTITY").alias("kind"), "name")
-    met = F.expr("text rlike concat('(?iU)', pattern) and (size(required) = 0 or arrays_overlap(required, features))")
-    rule = texts.join(few(answers), met).select("handle", F.lit("RULE").alias("kind"), "name")
-    return who.unionByName(rule)
+    rows = texts.withColumn("id", F.xxhash64("handle", "text", F.array_join(F.array_sort("features"), "|")))
+    ids = rows.select("id", "handle")
+    distinct = rows.select("id", "text", "features").dropDuplicates(["id"])
+    who = mentions(distinct, identities).join(ids, "id").select("handle", F.lit("IDENTITY").alias("kind"), "name")
+    return who.unionByName(rule_hits(distinct, answers).join(ids, "id").select("handle", F.lit("RULE").alias("kind"), "name"))
 
 
 def policy_outcome(matches: DataFrame, answers: DataFrame, impersonating: DataFrame) -> DataFrame:
