@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, written: Callable[[DataFrame], DataFr
     In a large-star step each node points its greater neighbours at the least of its neighbourhood, in a small-star step its
     lesser ones; the edges shrink to one star per component in O(log^2 n) rounds. Each step is an aggregate and a join on
     the node, both of which bear a node with a great many edges. written() cuts the lineage after each round. Edges with a
-    null end and loops are dropped; an empty table gives no rows.
+    null end and loops are dropped; an empty table gives no rows. Components that need more than `rounds` rounds raise.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame, written: Callable[[DataFrame], DataFr
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == state:
             break
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     stars = edges.groupBy("a").agg(F.min("b").alias("b"))
     roots = stars.select(F.col("b").alias("node")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

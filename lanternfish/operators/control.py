@@ -53,24 +53,30 @@ class Control:
 
     def marked(self, handle: str, needs_owner: bool = False) -> Control:
         """The handle is done; it waits for the owner or no longer does."""
-        waiting = tuple(h for h in self.waiting if h != handle) + ((handle,) if needs_owner else ())
-        return replace(self, done=tuple(dict.fromkeys((*self.done, handle))), waiting=waiting)
+        return self.all_marked([handle], [handle] if needs_owner else [])
+
+    def all_marked(self, handles: list[str], needs_owner: list[str] = ()) -> Control:
+        """A batch of handles is done at once; of these, some wait for the owner."""
+        mine = set(handles)
+        waiting = (*(h for h in self.waiting if h not in mine), *dict.fromkeys(needs_owner))
+        return replace(self, done=tuple(dict.fromkeys((*self.done, *handles))), waiting=waiting)
 
     def stopped(self, reason: str | None) -> Control:
         """Paused for a reason, or running again."""
         return replace(self, paused=reason)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Replace the document: it is written beside and then renamed, so that a reader never meets half of it."""
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        """Replace the document: it is written beside and then renamed over the old one in one step, so that a reader, or a run after a crash, meets one or the other."""
+        hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+        place = hadoop.fs.Path(path)
         beside = place.suffix(".new")
-        out = store.create(beside, True)
+        out = place.getFileSystem(conf).create(beside, True)
         out.write(bytearray(json.dumps(asdict(self), ensure_ascii=False).encode()))
         out.close()
-        if not store.rename(beside, place):
-            store.delete(place, False)
-            store.rename(beside, place)
+        over = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+        over[0] = getattr(hadoop.fs.Options, "Rename").OVERWRITE
+        qualified = lambda p: p.getFileSystem(conf).makeQualified(p)
+        hadoop.fs.FileContext.getFileContext(qualified(place).toUri(), conf).rename(qualified(beside), qualified(place), over)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, instance: str) -> Control | None:

@@ -81,7 +81,7 @@ def report_history(reports: DataFrame) -> DataFrame:
 
 def payload_keys(payload: Column) -> Column:
     """All keys of a JSON text, at any depth, in lower case: its strings that a colon follows. Strings are read whole, one after another, so that none is sought within another."""
-    strings = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    strings = F.regexp_extract_all(payload, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?'), F.lit(0))
     return F.transform(F.filter(strings, lambda s: F.endswith(s, F.lit(":"))), lambda s: F.lower(F.regexp_extract(s, r'(?s)^"(.*)"', 1)))
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text as tx
+from lanternfish.sources.shared import met
 
 THRESHOLD = 0.8
+#: Sets of a slot of a run that very many have among their rarest.
+SLOT = 1_000
 
 
 def near_duplicates(docs: DataFrame, written: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
@@ -30,17 +33,17 @@ def near_duplicates(docs: DataFrame, written: Callable[[DataFrame], DataFrame],
     copies = rows.select("doc_id", "set").join(firsts, "set").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     copies = copies.select(F.col("first").alias("doc_id"), F.col("doc_id").alias("near_doc"), F.lit(1.0).alias("similarity")).distinct()
 
-    postings = rows.select("set", F.size("runs").alias("size"), F.explode("runs").alias("run"))
-    postings = postings.repartition("run").dropDuplicates(["set", "size", "run"])
-    shared = postings.withColumn("n", F.count("*").over(Window.partitionBy("run"))).where("n > 1")
+    postings = rows.dropDuplicates(["set"]).select("set", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    # how often a run is there is a map-side sum; the postings of a common one are joined with it where they are, or split by Spark
+    often = written(postings.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = postings.join(often, "run")
     shared = shared.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("n", "run"))).alias("shared"))
     length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
     prefix = F.slice("shared", 1, F.greatest(length - (F.col("size") - F.size("shared")), F.lit(0)))
     prefixes = written(shared.select("set", "size", F.explode(prefix).alias("x")).select("set", "size", "x.run"))
 
-    side = lambda name: prefixes.select(F.col("set").alias(name), F.col("size").alias(f"{name}_size"), "run")
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9
-    pairs = written(side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct())
+    pairs = written(met(prefixes, "run", "set", SLOT).where(alike).select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     sets = written(rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("runs").alias("runs")))
     of = lambda name: sets.select(F.col("set").alias(name), F.col("runs").alias(f"{name}_runs"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lanternfish import config
 from lanternfish.functions import text as tx
 from lanternfish.operators.components import connected_components
-from lanternfish.sources.shared import numbered
+from lanternfish.sources.shared import met, numbered
 
 RANK = "case strength when 'STRONG' then 3 when 'MODERATE' then 2 else 1 end"
 #: Accounts of a slot of a heavy fact.
@@ -89,20 +89,8 @@ def profiles(member: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _met(rows: DataFrame, key: str) -> DataFrame:
-    """Each two rows (key, handle, facts) of one key as a, a_facts, b, b_facts and key, where a < b.
-
-    A key of many rows is cut into cells, so that no task gets all of its pairs.
-    """
-    slots = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / SLOT).cast("int").alias("_slots"))
-    rows = rows.join(slots, key).withColumn("_slot", F.pmod(F.xxhash64("handle"), F.col("_slots")).cast("int"))
-    left = rows.withColumn("_other", F.explode(F.expr("sequence(_slot, _slots - 1)"))).select(key, F.col("_slot").alias("_i"), F.col("_other").alias("_j"), F.col("handle").alias("_a"), F.col("facts").alias("_a_facts"))
-    right = rows.withColumn("_other", F.explode(F.expr("sequence(0, _slot)"))).select(key, F.col("_other").alias("_i"), F.col("_slot").alias("_j"), F.col("handle").alias("_b"), F.col("facts").alias("_b_facts"))
-    pairs = left.join(right, [key, "_i", "_j"]).where("_i < _j or _a < _b")
-    swap = F.col("_a") > F.col("_b")
-    return pairs.select(
-        key, F.least("_a", "_b").alias("a"), F.when(swap, F.col("_b_facts")).otherwise(F.col("_a_facts")).alias("a_facts"),
-        F.greatest("_a", "_b").alias("b"), F.when(swap, F.col("_a_facts")).otherwise(F.col("_b_facts")).alias("b_facts"),
-    )
+    """Each two rows (key, handle, facts) of one key as a, a_facts, b, b_facts and key, where a < b."""
+    return met(rows, key, "handle", SLOT)
 
 
 #: Of facts that a pair has in common, those that count: no template where it shares a text.

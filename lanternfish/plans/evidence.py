@@ -9,6 +9,7 @@ from lanternfish.functions import names
 from lanternfish.operators import known
 from lanternfish.plans.common import plain, registry, relation
 from lanternfish.sources import lists, records
+from lanternfish.sources.shared import numbered
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -95,10 +96,8 @@ def record_links(spark, sf_dir):
 select handle, array_to_string(list_filter([display_name, bio, handle, post], lambda t: t is not null and t <> '' and t <> 'UNKNOWN'), chr(10)) as text, row_number() over (order by k % 7, lower(handle)) as place from a""")
 def record_policy_text(spark, sf_dir):
     """The text that policies are matched against, with each record's place in the order of work (a report: it numbers all records)."""
-    from pyspark.sql import Window
-
     rows = records.ordered(_records(spark, sf_dir))
-    placed = rows.select("handle", F.row_number().over(Window.orderBy("place")).alias("place"))
+    placed = numbered(rows.select("handle", F.col("place").alias("order")), "order", "place").select("handle", "place")
     return records.policy_text(rows).join(placed, "handle").select("handle", "text", F.col("place").cast("long").alias("place"))
 
 

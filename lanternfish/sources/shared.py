@@ -50,3 +50,22 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
     return parts.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+
+
+def met(rows: DataFrame, key: str, name: str, slot: int = 1_000) -> DataFrame:
+    """Each two rows of one key, once: key, a and b (their names, a < b) and a_x, b_x of each other column x.
+
+    The rows of a key are dealt to slots of about `slot` rows by a hash of the name, and each two slots meet in a cell of their
+    own, so that no task gets all pairs of a key.
+    """
+    rest = [c for c in rows.columns if c not in (key, name)]
+    slots = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / slot).cast("int").alias("_slots"))
+    rows = rows.join(slots, key).withColumn("_slot", F.pmod(F.xxhash64(name), F.col("_slots")).cast("int"))
+    whole = F.struct(name, *rest)
+    left = rows.withColumn("_other", F.explode(F.expr("sequence(_slot, _slots - 1)"))).select(key, F.col("_slot").alias("_i"), F.col("_other").alias("_j"), whole.alias("_a"))
+    right = rows.withColumn("_other", F.explode(F.expr("sequence(0, _slot)"))).select(key, F.col("_other").alias("_i"), F.col("_slot").alias("_j"), whole.alias("_b"))
+    swap = F.col(f"_a.{name}") > F.col(f"_b.{name}")
+    pairs = left.join(right, [key, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"_a.{name}") < F.col(f"_b.{name}")))
+    side = lambda one, other: F.when(swap, F.col(other)).otherwise(F.col(one))
+    pairs = pairs.select(key, side("_a", "_b").alias("_a"), side("_b", "_a").alias("_b"))
+    return pairs.select(key, F.col(f"_a.{name}").alias("a"), F.col(f"_b.{name}").alias("b"), *[F.col(f"_{s}.{c}").alias(f"{s}_{c}") for c in rest for s in "ab"])

@@ -96,3 +96,27 @@ def test_a_very_common_fact_is_no_meeting_place(spark, monkeypatch):
     met, real = [], network._met
     monkeypatch.setattr(network, "_met", lambda rows, key: met.append(rows.count()) or real(rows, key))
     assert network.clusters_of(member, shared, written).count() == 0 and not any(met)
+
+
+def test_near_texts_with_a_run_in_every_document(spark, monkeypatch):
+    """A run that all documents share, some with nothing but common runs, against all pairs."""
+    from lanternfish.functions import text as tx
+    from lanternfish.operators import neartexts
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neartexts, "SLOT", 3)
+    rng = random.Random(7)
+    texts = []
+    for n in range(60):
+        own = [rng.choice(["red", "green", "blue", "gray", "pink"]) for _ in range(rng.randint(0, 9))]
+        texts.append("all of us share this line " + " ".join(own) + (" and this one too" if n % 3 == 0 else ""))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", F.array_distinct(tx.shingles(tx.normalized(F.col("text")))).alias("runs")).collect()
+    sets = {r["doc_id"]: frozenset(r["runs"]) for r in rows}
+    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    want = {(first[s], i) for i, s in sets.items() if first[s] != i}
+    for a, b in itertools.combinations(sorted(first.values()), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            want.add((a, b))
+    got = {(r["doc_id"], r["near_doc"]) for r in neartexts.near_duplicates(docs, written).collect()}
+    assert got == want and len(want) > 5
