@@ -174,6 +174,13 @@ def backtest(predictions: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("recall", F.when(F.col("n_blocks") > 0, F.bround(F.col("n_caught") / F.col("n_blocks"), 4)))
 
 
+def backtest_lists(predictions: DataFrame, by: str) -> DataFrame:
+    """tier, handle and what is wrong with each prediction: a block that was missed, or a keep or an unrated human that was flagged."""
+    label, flagged = F.col("label"), F.col("flagged")
+    what = F.when((label == 1) & ~flagged, "MISSED_BLOCK").when((label == 0) & flagged, "FLAGGED_KEEP").when(label.isNull() & flagged & F.col("human"), "FLAGGED_HUMAN")
+    return predictions.withColumn("what", what).where("what is not null").select(by, "handle", "what")
+
+
 def never_rated(states: DataFrame, model: dict) -> DataFrame:
     """handle, score of the unrated states (handle, features) that the model would flag at its threshold; none if it is inactive."""
     if not model["active"]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "scoring", "decisions", "flow", "lists", "review", "evidence", "ledger", "reports", "scout", "stored")
+MODULES = ("text", "scoring", "decisions", "flow", "lists", "review", "evidence", "ledger", "reports", "scout", "stored", "checks")
 
 
 def _gathered(name: str) -> dict:
