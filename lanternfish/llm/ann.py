@@ -29,6 +29,8 @@ from lanternfish.llm.common import small, written
 TREES, BITS, SEED = 16, 64, 20240607
 #: Vectors that a part has on average, and those beyond which the part of one hash string is cut by another hash.
 PART, LARGEST = 16_384, 262_144
+#: Bytes of a part's vectors, as one task holds them, beyond which it is cut as well.
+PART_BYTES = 256_000_000
 #: Queries of a part that one task takes; the part's vectors go to as many tasks as it has such lots.
 QUERIES = 4_096
 #: Vectors of each length, about, that bounds and counts of prefixes are taken from.
@@ -130,7 +132,7 @@ class Forest:
         sample = self._sample({r["size"]: r["n"] for r in stats}, {r["size"]: r["norm"] for r in stats})
         self.trees, self.parts = {}, 0
         for r in sorted(stats, key=lambda r: r["size"]):
-            self.trees[r["size"]] = self._cut(r["norm"], r["n"], sample.get(r["size"], np.zeros((TREES, 0), np.uint64)))
+            self.trees[r["size"]] = self._cut(r["size"], r["norm"], r["n"], sample.get(r["size"], np.zeros((TREES, 0), np.uint64)))
 
     def _sample(self, counts: dict[int, int], norms: dict[int, float]) -> dict[int, np.ndarray]:
         """Sorted hash strings [trees, rows] of about SAMPLE vectors of each length, taken by a hash of the vector."""
@@ -149,14 +151,14 @@ class Forest:
             found.setdefault(r["size"], []).append(np.frombuffer(r["codes"], "<u8").reshape(-1, TREES))
         return {size: np.sort(np.concatenate(blobs).T.astype(np.uint64), axis=1) for size, blobs in found.items()}
 
-    def _cut(self, norm: float, count: int, sample: np.ndarray) -> Tree:
-        """A length's parts: bounds at even steps of the sample; a part of more than LARGEST vectors, about, is cut by a hash of the vector."""
+    def _cut(self, size: int, norm: float, count: int, sample: np.ndarray) -> Tree:
+        """A length's parts: bounds at even steps of the sample; a part of more than LARGEST vectors, or PART_BYTES of them, about, is cut by a hash of the vector."""
         parts, seen = max(1, min(-(-count // PART), sample.shape[1] // 8)), sample.shape[1]
         bounds, first, cuts = [], [], []
         for codes in sample:
             at = np.unique(codes[(np.arange(1, parts) * seen) // parts]) if parts > 1 else np.zeros(0, np.uint64)
             held = np.diff(np.concatenate([[0], np.searchsorted(codes, at), [seen]])) * (count / max(1, seen))
-            cut = np.maximum(1, np.ceil(held / LARGEST)).astype(np.int64)
+            cut = np.maximum(1, np.ceil(held / min(LARGEST, max(1, PART_BYTES // (8 * size))))).astype(np.int64)
             bounds.append(at)
             cuts.append(cut)
             first.append(self.parts + np.cumsum(cut) - cut)

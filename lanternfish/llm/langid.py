@@ -138,17 +138,18 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of docs (doc_id, text, lang; other columns are ignored) that aren't held out, at most `per_language` of each language.
 
-    They are the first by a hash of doc_id among a share of the language's documents in which twice as many are to be
+    They are the first by a hash of doc_id and text among a share of the language's documents in which twice as many are to be
     expected, so that no task gets all documents of a large language. Rows with a null id, lang or text, or a text without words, teach nothing. With one language it is always predicted, with
-    none every text is undetermined. Rows of a repeated doc_id are learned from once for each row, and count once in the bound.
+    none every text is undetermined. Rows of a repeated doc_id are documents of their own, equal rows one document.
     The driver holds the sparse features of the chosen documents; a duel's matrix has at most 2 x PER_SIDE rows.
     """
     bounded_batches(docs.sparkSession)
-    usable = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    usable = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = usable.withColumn("key", F.xxhash64("doc_id", "text"))
     share = usable.groupBy("lang").agg((2.0 * per_language / F.count("*")).alias("share"))
-    few = usable.select("doc_id", "lang").join(small(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = few.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang")
+    few = usable.select("key", "lang").join(small(share), "lang").where(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
+    chosen = few.select("key", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("key", "lang")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 columns = [pa.array([x.tobytes() for x in at], pa.binary()), pa.array([row[x].tobytes() for row, x in zip(rows, at, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], names=["lang", "at", "share"])
 
-    rows = usable.where("text is not null").join(small(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = usable.join(small(chosen), ["key", "lang"], "left_semi").dropDuplicates(["key", "lang"]).select("lang", "text")
     found = sorted((r for r in rows.mapInArrow(learn, "lang string, at binary, share binary").toLocalIterator() if r["at"]), key=lambda r: (r["lang"], r["at"], r["share"]))
     languages = sorted({r["lang"] for r in found})
     of = {name: [r for r in found if r["lang"] == name] for name in languages}
