@@ -43,6 +43,48 @@ def verified_export(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.join(now, "file", "left").withColumn("same", F.coalesce(F.col("_now") == F.col("sha256"), F.lit(False))).drop("_now")
 
 
+#: The datasets of an export, and what they are written as.
+DATASETS = {
+    "full_account_audit": "csv", "full_account_state": "json", "owner_adjudications": "csv", "score_changes": "csv", "block_verification_log": "csv", "network_clusters": "json",
+    "unresolved_cases": "csv", "evidence_coverage_stats": "json", "disagreement_cases": "csv", "calibration_updates": "json", "metrics": "json", "summary_report": "text",
+}
+#: Rows of a file of an export, which bounds what one task reads to hash it.
+ROWS_A_FILE = 1_000_000
+
+
+def _file_hashes(spark, folder: str, names: list[str]) -> DataFrame:
+    """dataset, file, bytes and sha256 of each data file below the folder's datasets."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([f"{folder}/{n}" for n in names])
+    place = F.regexp_extract("path", "([^/]*)/([^/]*)$", 1)
+    return files.select(place.alias("dataset"), F.regexp_extract("path", "[^/]*$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def bundle(datasets: dict[str, DataFrame], folder: str, versions: dict[str, str]) -> DataFrame:
+    """Write all DATASETS of an export, and last a manifest beside them: dataset, file, bytes, sha256 and versions.
+
+    A dataset that is missing or unknown, and a folder that has an export, raise. summary_report is one text column. Files
+    without a byte, which tasks without rows may leave, aren't in the manifest.
+    """
+    wrong = sorted(set(DATASETS) ^ set(datasets))
+    if wrong:
+        raise ValueError(f"missing or unknown datasets: {', '.join(wrong)}")
+    for name, kind in DATASETS.items():
+        rows = flattened(datasets[name]) if kind == "csv" else datasets[name]
+        writer = rows.write.mode("errorifexists").option("maxRecordsPerFile", ROWS_A_FILE)
+        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(f"{folder}/{name}")
+    spark = datasets["metrics"].sparkSession
+    manifest = _file_hashes(spark, folder, list(DATASETS)).withColumns({k: F.lit(v) for k, v in versions.items()})
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{folder}/manifest")
+
+
+def changed_files(spark, folder: str) -> DataFrame:
+    """dataset and file of a bundle that aren't as the manifest has them: changed, gone, or added since."""
+    then = spark.read.schema("dataset string, file string, sha256 string").json(f"{folder}/manifest")
+    now = _file_hashes(spark, folder, list(DATASETS)).select("dataset", "file", F.col("sha256").alias("now"))
+    return then.join(now, ["dataset", "file"], "full").where(~F.col("sha256").eqNullSafe(F.col("now"))).select("dataset", "file")
+
+
 def audit_log(states: DataFrame, folder: str, header: dict[str, str]) -> None:
     """Write states as JSON lines of type account, and one of type run with the header's fields."""
     spark = states.sparkSession

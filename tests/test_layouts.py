@@ -84,3 +84,27 @@ def test_instants(spark):
     got = {r["t"]: r["us"] for r in rows.select("t", F.unix_micros(instant(F.col("t"))).alias("us")).collect()}
     micros = lambda v: None if v is None else (datetime.datetime(*v, tzinfo=utc) - datetime.datetime(1970, 1, 1, tzinfo=utc)) // datetime.timedelta(microseconds=1)
     assert got == {t: micros(v) for t, v in texts.items()}
+
+
+def test_export_bundle(spark, tmp_path):
+    from lanternfish.sources import sinks
+
+    out = str(tmp_path / "export")
+    rows = spark.createDataFrame([("a", ["x", "y"]), ("b", [])], "handle string, classes array<string>")
+    sets = {name: rows.select("handle") if kind == "text" else rows for name, kind in sinks.DATASETS.items()}
+    with pytest.raises(ValueError, match="metrics"):
+        sinks.bundle({k: v for k, v in sets.items() if k != "metrics"}, out, {})
+    manifest = sinks.bundle(sets, out, {"ENGINE": "1"}).collect()
+    assert {r["dataset"] for r in manifest} == set(sinks.DATASETS) and {r["ENGINE"] for r in manifest} == {"1"}
+    assert all(len(r["sha256"]) == 64 and r["bytes"] > 0 for r in manifest if r["dataset"] != "summary_report")
+    assert sinks.changed_files(spark, out).count() == 0
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        sinks.bundle(sets, out, {})
+    victim = next(f for f in Path(out, "metrics").glob("part-*") if f.stat().st_size)
+    for crc in Path(out, "metrics").glob(".part-*.crc"):
+        crc.unlink()
+    victim.write_text('{"handle": "other"}\n')
+    assert [r["dataset"] for r in sinks.changed_files(spark, out).collect()] == ["metrics"]
+    victim.unlink()
+    Path(out, "metrics", "part-new.json").write_text("{}\n")
+    assert sorted(r["file"] for r in sinks.changed_files(spark, out).collect()) == sorted([victim.name, "part-new.json"])
