@@ -29,6 +29,19 @@ def labels_needed(target: float, errors: int = 0, z: float = config.WILSON_Z) ->
         n += 1
 
 
+def cases_needed(rows: DataFrame, target: str = "target", errors: str = "errors") -> DataFrame:
+    """Rows with n_needed: labels_needed() of each row's target (below 1) and errors, found among the sizes that the bound can reach it at."""
+    z = config.WILSON_Z
+    t, e = F.col(target).cast("double"), F.col(errors).cast("double")
+    most = F.ceil((e + z * z + 2 * z * F.sqrt(e + z * z)) / (1 - t)) + 10
+
+    def reached(n: Column) -> Column:
+        low, _ = wilson(n - e, n.cast("double"))
+        return low >= t
+
+    return rows.withColumn("n_needed", F.get(F.filter(F.sequence(F.col(errors).cast("long") + 1, most), reached), F.lit(0)))
+
+
 def family(rows: DataFrame, by: str) -> DataFrame:
     """rows (flagged, bad) per group: counts, precision, recall, false positive and false negative rate and the precision's interval."""
     out = rows.groupBy(by).agg(

@@ -210,3 +210,28 @@ def rule_change_problems(n_examples: int, n_rounds: int, bumped: bool, tests_pas
     """What stands against a change of rules; nothing if it may go in."""
     tests = [("fewer than 3 examples", n_examples >= MIN_SUPPORT), ("one round only", n_rounds >= 2), ("no version bump", bumped), ("tests fail", tests_pass), ("reruns missing", reruns_done), ("a job is live", not live_job)]
     return [name for name, good in tests if not good]
+
+
+def rule_changes(proposals: DataFrame, examples: DataFrame, frozen: DataFrame, reruns: DataFrame, live_job: bool = False) -> DataFrame:
+    """proposal, n_examples, n_rounds, missing (frozen sets without a rerun), problems and accepted of each proposed change of rules.
+
+    proposals: proposal, changes_weights, current_version, new_version, n_tests; examples: proposal, handle, round, diagnosis; frozen:
+    set_id (few by nature); reruns: proposal, set_id. Examples count once for each handle, whatever its case. Weights don't
+    change for evidence that wasn't collected.
+    """
+    support = examples.groupBy("proposal").agg(
+        F.count_distinct(F.lower(F.coalesce("handle", F.lit("")))).alias("n_examples"), (F.count_distinct("round") + F.max(c("round").isNull()).cast("long")).alias("n_rounds"),
+        F.max(F.coalesce(c("diagnosis") == "COLLECTION_FAILURE", F.lit(False))).alias("uncollected"),
+    )
+    sets = F.array(*[F.lit(r["set_id"]) for r in few(frozen.select("set_id").distinct()).orderBy("set_id").collect()]).cast("array<string>")
+    run = reruns.groupBy("proposal").agg(F.collect_set("set_id").alias("run"))
+    rows = proposals.join(support, "proposal", "left").join(run, "proposal", "left")
+    rows = rows.withColumns({"n_examples": F.coalesce("n_examples", F.lit(0)), "n_rounds": F.coalesce("n_rounds", F.lit(0)), "missing": F.array_except(sets, F.coalesce("run", F.array().cast("array<string>")))})
+    tests = [
+        (f"fewer than {MIN_SUPPORT} examples", c("n_examples") >= MIN_SUPPORT), ("one round only", c("n_rounds") >= 2),
+        ("weights may not change for a collection failure", ~(F.coalesce("changes_weights", F.lit(False)) & F.coalesce("uncollected", F.lit(False)))),
+        ("no version bump", F.coalesce((c("new_version") != "") & ~c("new_version").eqNullSafe(c("current_version")), F.lit(False))), ("no regression tests", F.coalesce(c("n_tests") > 0, F.lit(False))),
+        ("reruns missing", F.size("missing") == 0), ("a job is live", F.lit(not live_job)),
+    ]
+    rows = rows.withColumn("problems", F.array_compact(F.array(*[F.when(~good, F.lit(name)) for name, good in tests])))
+    return rows.select("proposal", "n_examples", "n_rounds", "missing", "problems", (F.size("problems") == 0).alias("accepted"))

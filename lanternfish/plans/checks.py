@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lanternfish.operators import decisions, jobs, model, reports
+from lanternfish import config
+from lanternfish.operators import decisions, jobs, metrics, model, reports, review
 from lanternfish.operators import interactions as it
 from lanternfish.plans.common import registry, relation
 from lanternfish.sources.tables import table
@@ -76,3 +77,32 @@ def interaction_problems(spark, sf_dir):
 def payload_keys(spark, sf_dir):
     payload = F.concat(F.lit('{"Auth" : '), "props", F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(jobs.payload_keys(payload), "|").alias("keys"))
+
+
+_PROPOSED = "select s_suppkey as proposal, s_suppkey % 2 = 0 as changes_weights, '1.0' as current_version, case s_suppkey % 5 when 0 then '1.0' when 1 then '' when 2 then cast(null as string) else '1.1' end as new_version, s_suppkey % 6 as n_tests from {supplier}"
+_EXAMPLES = "select l_suppkey as proposal, concat(case l_orderkey % 2 when 0 then 'u' else 'U' end, l_partkey % 4) as handle, l_linenumber % 2 as round, case when l_partkey % 3 = 0 then 'COLLECTION_FAILURE' else 'SCORING_FAILURE' end as diagnosis from {lineitem} where l_quantity = 7 and l_linenumber < 3"
+_RERUNS = "select l_suppkey as proposal, concat('set', l_linenumber) as set_id from {lineitem} where l_quantity = 9"
+_FROZEN = "select concat('set', r_regionkey + 1) as set_id from {region} where r_regionkey < 3"
+_SQL = lambda text: text.replace("as string", "as varchar").replace("{", "").replace("}", "")
+
+
+@query(f"""with p as ({_SQL(_PROPOSED)}), x as ({_SQL(_EXAMPLES)}), f as ({_SQL(_FROZEN)}), r as (select distinct proposal, set_id from ({_SQL(_RERUNS)})),
+s as (select proposal, count(distinct lower(handle)) as n_examples, count(distinct round) as n_rounds, bool_or(diagnosis = 'COLLECTION_FAILURE') as uncollected from x group by 1),
+m as (select p.proposal, coalesce(string_agg(f.set_id, ',' order by f.set_id) filter (r.set_id is null), '') as missing from p cross join f left join r on r.proposal = p.proposal and r.set_id = f.set_id group by 1)
+select proposal, coalesce(n_examples, 0) as n_examples, coalesce(n_rounds, 0) as n_rounds, missing, array_to_string(list_filter([case when coalesce(n_examples, 0) < 3 then 'fewer than 3 examples' end, case when coalesce(n_rounds, 0) < 2 then 'one round only' end,
+    case when changes_weights and coalesce(uncollected, false) then 'weights may not change for a collection failure' end, case when coalesce(new_version, '') in ('', '1.0') then 'no version bump' end,
+    case when n_tests = 0 then 'no regression tests' end, case when missing <> '' then 'reruns missing' end], lambda v: v is not null), '|') as problems from p left join s using (proposal) join m using (proposal)""")
+def rule_changes(spark, sf_dir):
+    rows = review.rule_changes(*(relation(spark, sf_dir, text) for text in (_PROPOSED, _EXAMPLES, _FROZEN, _RERUNS)))
+    return rows.select("proposal", "n_examples", "n_rounds", F.array_join("missing", ",").alias("missing"), F.array_join("problems", "|").alias("problems"))
+
+
+@query(f"""with e as (select source, count(*) filter (toxic = 1) as errors from documents join labels using (doc_id) group by 1),
+n as (select source, errors, unnest(range(errors + 1, 20000)) as n from e),
+w as (select *, (n - errors)::double / n as p, {config.WILSON_Z} as z from n)
+select source, errors, min(n) as n_needed from w where round_even(greatest(0.0, (p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)), 4) >= 0.9 group by 1, 2""")
+def cases_needed(spark, sf_dir):
+    """How many labels a source would need for a precision of 0.9, with as many errors as it has toxic documents."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = d.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("errors")).withColumn("target", F.lit(0.9))
+    return metrics.cases_needed(rows).select("source", "errors", "n_needed")
