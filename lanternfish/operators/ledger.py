@@ -251,3 +251,21 @@ def patched(adjudications: DataFrame, patches: DataFrame) -> DataFrame:
     hit = F.coalesce("newest", F.lit(False)) & F.col("patch").isNotNull()
     merged = F.map_concat(F.map_filter("record", lambda k, _: ~F.map_contains_key("patch", k)), F.col("patch"))
     return rows.select("id", "handle", F.when(hit, merged).otherwise(F.col("record")).alias("record"))
+
+
+def offers(instances: DataFrame, answers: DataFrame) -> DataFrame:
+    """instance, ask_now, answer, answered_at, words and opted_in of each instance: its last answer (instance, id, yes, answered_at, words) to the one-time offer of the list's job.
+
+    An owner is asked until there is an answer; a later yes or no, in whatever words, takes its place.
+    """
+    last = answers.where(F.col("yes").isNotNull()).groupBy("instance").agg(F.max_by(F.struct("yes", "answered_at", "words"), F.struct("answered_at", "id")).alias("x"))
+    rows = instances.select("instance").distinct().join(last, "instance", "left")
+    answer = F.when(F.col("x.yes"), "YES").when(~F.col("x.yes"), "NO")
+    return rows.select("instance", F.col("x").isNull().alias("ask_now"), answer.alias("answer"), F.col("x.answered_at").alias("answered_at"), F.col("x.words").alias("words"), F.coalesce("x.yes", F.lit(False)).alias("opted_in"))
+
+
+def resumed(pauses: DataFrame, offered: DataFrame) -> DataFrame:
+    """Back-offs (instance, began, backoff_until) without those that the owner's later yes ended."""
+    yes = offered.where("opted_in").select("instance", "answered_at")
+    rows = pauses.join(yes, "instance", "left")
+    return rows.select("instance", "began", F.when(F.coalesce(F.col("answered_at") > F.col("began"), F.lit(False)), None).otherwise(F.col("backoff_until")).alias("backoff_until"))

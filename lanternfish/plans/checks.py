@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanternfish import config
-from lanternfish.operators import decisions, jobs, metrics, model, reports, review
+from lanternfish.operators import decisions, jobs, ledger, metrics, model, reports, review
 from lanternfish.operators import interactions as it
 from lanternfish.plans.common import registry, relation
 from lanternfish.sources.tables import table
@@ -106,3 +106,21 @@ def cases_needed(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = d.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("errors")).withColumn("target", F.lit(0.9))
     return metrics.cases_needed(rows).select("source", "errors", "n_needed")
+
+
+_ASKED = "select c_custkey as instance from {customer}"
+_ANSWERS = "select o_custkey as instance, o_orderkey as id, case o_orderkey % 5 when 0 then null when 1 then false else true end as yes, o_orderdate as answered_at, o_orderpriority as words from {orders} where o_orderkey % 3 = 0"
+_PAUSES = "select c_custkey as instance, date '1997-01-01' as began, date '1997-01-02' as backoff_until from {customer} where c_custkey % 2 = 0"
+
+
+@query(f"""with a as (select *, row_number() over (partition by instance order by answered_at desc, id desc) as place from ({_SQL(_ANSWERS)}) where yes is not null)
+select i.instance, a.instance is null as ask_now, case when yes then 'YES' when not yes then 'NO' end as answer, words, coalesce(yes, false) as opted_in from ({_SQL(_ASKED)}) i left join a on a.instance = i.instance and place = 1""")
+def list_offers(spark, sf_dir):
+    return ledger.offers(relation(spark, sf_dir, _ASKED), relation(spark, sf_dir, _ANSWERS)).select("instance", "ask_now", "answer", "words", "opted_in")
+
+
+@query(f"""with a as (select *, row_number() over (partition by instance order by answered_at desc, id desc) as place from ({_SQL(_ANSWERS)}) where yes is not null)
+select p.instance, case when coalesce(a.yes and a.answered_at > began, false) then null else backoff_until end as backoff_until from ({_SQL(_PAUSES)}) p left join a on a.instance = p.instance and place = 1""")
+def list_backoffs(spark, sf_dir):
+    offered = ledger.offers(relation(spark, sf_dir, _ASKED), relation(spark, sf_dir, _ANSWERS))
+    return ledger.resumed(relation(spark, sf_dir, _PAUSES), offered).select("instance", "backoff_until")
