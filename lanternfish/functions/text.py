@@ -25,6 +25,8 @@ LINK = (
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}\x{20E3}]"
 QUOTES_FROM, QUOTES_TO = "‘’“”–—", "''\"\"--"
 _LINK = re.compile(LINK, re.I)
+#: The same for Spark, where each repetition of a group takes a frame of the stack; a name has 127 labels at most.
+_BOUNDED = LINK.replace(")*", "){0,126}", 1)
 _TRACKING = re.compile(config.TEXT_TRACKING, re.I)
 
 
@@ -89,7 +91,7 @@ def skeleton(norm: Column) -> Column:
     """
     s = F.when(F.contains(norm, F.lit("0x")), F.regexp_replace(norm, r"(?U)\b0x[a-f0-9]{16,}\b", " <wallet> ")).otherwise(norm)
     s = F.when(F.contains(norm, F.lit(".me/")), F.regexp_replace(s, r"(?U)\b(?:t\.me|wa\.me|telegram\.me)/\S+", " <contact> ")).otherwise(s)
-    s = F.when(norm.rlike(r"\.[a-z]|://|www\.|[^\x00-\x7F]"), F.regexp_replace(s, "(?iU)" + LINK, " <url> ")).otherwise(s)
+    s = F.when(norm.rlike(r"\.[a-z]|://|www\.|[^\x00-\x7F]"), F.regexp_replace(s, "(?iU)" + _BOUNDED, " <url> ")).otherwise(s)
     s = F.when(F.contains(norm, F.lit("@")), F.regexp_replace(s, r"@[\p{L}\p{N}_]+", " <user> ")).otherwise(s)
     s = F.regexp_replace(s, r"[$€£]?\p{Nd}[\p{Nd},.]*(?U:\s*)(?:k|m|million|billion)?", " <num> ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_<> ]+", " ")

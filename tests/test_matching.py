@@ -58,3 +58,15 @@ def test_prefixes_by_their_lengths(spark):
     rows = spark.createDataFrame([(1, long, "t.me", "telegram", False), (2, "t.me/abcdefgh", "t.me", "telegram", False), (3, "t.me/abcdefghij", "t.me", "telegram", True), (4, "y.com/q", "y.com", "web", False), (5, "bare.com/x", "bare.com", "web", True)], "id int, url string, domain string, kind string, truncated boolean")
     got = {r["id"]: (r["pos"], r["how"]) for r in links.watch_matches(rows, watch).collect()}
     assert got == {1: (4, "prefix"), 2: (1, "prefix"), 3: (2, "prefix"), 5: (5, "domain")}
+
+
+def test_names_of_very_many_labels_and_lines(spark):
+    """Chains of labels, and of lines, that would take a frame of the stack each."""
+    from lanternfish.functions import text as tx
+
+    texts = ["a." * 4_000 + "zz", "see example.com.\nshop.example.org/deal", "x.com/begin\n" + "word\n" * 4_000 + "end…", "x.com/begin\n" + "word\n" * 4_000 + "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r for r in rows.select("id", links.in_text(F.col("t")).alias("l"), tx.skeleton(F.lower("t")).alias("s")).collect()}
+    assert got[1]["l"] == ["shop.example.org/deal", "example.com"]
+    assert got[2]["l"] == ["x.com/begin" + "word" * 4_000 + "end…"] and got[3]["l"] == ["x.com/begin"]
+    assert got[0]["s"]
