@@ -120,3 +120,25 @@ def test_near_texts_with_a_run_in_every_document(spark, monkeypatch):
             want.add((a, b))
     got = {(r["doc_id"], r["near_doc"]) for r in neartexts.near_duplicates(docs, written).collect()}
     assert got == want and len(want) > 5
+
+
+def test_accounts_of_many_facts_are_rows(spark):
+    """Four accounts with 5,000 facts each: no row holds the facts of an account, and the counts are right."""
+    rows = [("SHARED_DOMAIN", str(n), f"SHARED_DOMAIN:{n}", f"h{(n + side) % 4}") for n in range(10_000) for side in (0, 1)]
+    member = spark.createDataFrame(rows, "fact_type string, fact_key string, fact_group string, handle string")
+    shared = spark.createDataFrame([(*r[:3], 2, "MODERATE") for r in rows[::2]], "fact_type string, fact_key string, fact_group string, n_members int, strength string")
+    assert not any(kind.startswith("array") for _, kind in network.profiles(member, shared).dtypes)
+    assert network.pair_facts(member, shared).count() == 10_000
+    assert {(r["handle"], r["component"], r["n_evidence"]) for r in network.clusters_of(member, shared, written).collect()} == {(f"h{n}", "h0", 5_000) for n in range(4)}
+    assert network.watch(member, shared, written).count() == 0
+
+
+@pytest.mark.parametrize("seed,wide", [(3, 2), (5, 1), (6, 4)])
+def test_clusters_of_widespread_strong_facts(spark, monkeypatch, seed, wide):
+    monkeypatch.setattr(network, "WIDE", wide)
+    rows, facts = random_facts(seed)
+    member = spark.createDataFrame(rows, "fact_type string, fact_key string, fact_group string, handle string")
+    shared = spark.createDataFrame(facts, "fact_type string, fact_key string, fact_group string, n_members int, strength string")
+    pairs = written(network.pair_facts(member, shared))
+    want = network.clusters(network.edges(pairs), pairs, written).collect()
+    assert sorted(map(tuple, network.clusters_of(member, shared, written).collect())) == sorted(map(tuple, want))
