@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The order of tiers in a plan, and rates of the paced job.
 TIER_ORDER = ("OWNER_BLOCK", "BLOCK_CONFIRMED", "KNOWN_SCAM_LIST", "AUTO_BLOCK_PATTERN", "OWNER_TRAINED")
+#: A day in microseconds.
+DAY = 86_400_000_000
 BATCH_SIZE, BATCH_MOST, BATCHES_A_DAY, PAUSE_MINUTES, ATTEMPTS = 20, 25, 5, 10, 3
 # Keys that no stored payload may have at any depth, in any case.
 SECRET_KEYS = ("password", "cookie", "cookies", "token", "auth_token", "ct0", "2fa", "otp", "session", "passkey")
@@ -69,7 +71,7 @@ def classified(listed: DataFrame) -> DataFrame:
 
 def pacing(batches: DataFrame) -> DataFrame:
     """Batches (job, ts) with the number in the 24 hours up to each and whether one more may start PAUSE_MINUTES later."""
-    day = Window.partitionBy("job").orderBy(F.unix_seconds("ts")).rangeBetween(-86_400, 0)
+    day = Window.partitionBy("job").orderBy(F.unix_micros("ts")).rangeBetween(-DAY, 0)
     return batches.withColumn("in_day", F.count("*").over(day)).withColumn("may_continue", F.col("in_day") < BATCHES_A_DAY)
 
 
