@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lanternfish import config
 from lanternfish.sources.shared import few
 
+#: A day in microseconds.
+DAY = 86_400_000_000
 KINDS = ("NEW_FOLLOW", "LIKE", "REPOST", "REPLY", "QUOTE_POST", "MENTION", "TAG", "OTHER")
 KEY = ("handle", "kind", "post", "ts")
 
@@ -61,7 +63,7 @@ def bursts(rows: DataFrame, last: int = 200) -> DataFrame:
     """The most interactions of an account within any 24 hours, among its latest `last` distinct times."""
     times = rows.where("ts is not null").select("handle", "ts").distinct()
     newest = times.withColumn("place", F.row_number().over(Window.partitionBy("handle").orderBy(F.desc("ts")))).where(F.col("place") <= last)
-    day = Window.partitionBy("handle").orderBy(F.unix_seconds("ts")).rangeBetween(0, 86_400)
+    day = Window.partitionBy("handle").orderBy(F.unix_micros("ts")).rangeBetween(0, DAY)
     return newest.withColumn("n", F.count("*").over(day)).groupBy("handle").agg(F.max("n").alias("burst"))
 
 
