@@ -50,9 +50,10 @@ def verified(row: Column | None = None) -> Column:
 
 
 def until_stop(report: DataFrame, order: str, job: str) -> DataFrame:
-    """The rows of each job up to its first row with a stop_reason; that row is the last."""
-    before = Window.partitionBy(job).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return report.withColumn("stopped", F.coalesce(F.max(F.col("stop_reason").isNotNull()).over(before), F.lit(False))).where("not stopped").drop("stopped")
+    """The rows of each job up to its first row with a stop_reason; that row is the last. Rows of the same order follow their arrival, where they have that column."""
+    arrival = [c for c in ("arrival",) if c in report.columns]
+    before = Window.partitionBy(job).orderBy(order, *arrival).rowsBetween(Window.unboundedPreceding, -1)
+    return report.withColumn("stopped", F.coalesce(F.max(F.col("stop_reason").isNotNull()).over(before), F.lit(False))).where("not stopped").drop("stopped", *arrival)
 
 
 def status_as_of(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:

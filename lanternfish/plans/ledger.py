@@ -23,6 +23,15 @@ select l_orderkey * 10 + l_linenumber as seq, l_suppkey as batch, concat(case wh
        case l_orderkey % 97 when 5 then 'RATE_LIMIT' when 6 then 'CAPTCHA' end as stop_reason, l_linenumber % 3 > 0 as report_submitted, l_partkey % 5 > 0 as confirmed, l_partkey % 101 = 0 as bio_link_clicked,
        case l_linenumber % 3 when 0 then 'spam' when 1 then 'Impersonation' else '' end as report_option, l_linenumber % 2 = 0 as unblock_clicked, l_partkey % 4 > 0 as shows_unblocked
 from {lineitem}"""
+
+
+def _reports(spark, sf_dir):
+    """REPORTS with arrival, a row's place in the table's files, as two lines of an order may have one number."""
+    from lanternfish.plans.common import filed
+
+    return filed(spark, sf_dir, REPORTS, "lineitem")
+
+
 PLAN = "select distinct l_suppkey as batch, concat('ACCT', l_partkey % 1500 + 1) as handle from {lineitem} where l_quantity > 5"
 _CUT = f"""
 with rows_ as ({plain(REPORTS)}), plan as (select batch, lower(handle) as key from ({plain(PLAN)})),
@@ -36,7 +45,7 @@ _ENFORCED = _CUT + """, enforced as (
 
 
 def _enforced(spark, sf_dir):
-    return ledger.enforcement_records(relation(spark, sf_dir, REPORTS), relation(spark, sf_dir, PLAN))
+    return ledger.enforcement_records(_reports(spark, sf_dir), relation(spark, sf_dir, PLAN))
 
 
 @query(_ENFORCED + """select batch, seq, key, attempted, verified, case when stop_reason = 'RATE_LIMIT' then 'RATE_LIMITED' when stop_reason is not null then 'SECURITY_PAUSE' end as pause,
@@ -78,7 +87,7 @@ _REPORTED = _CUT + """, reported as (
 
 
 def _reported(spark, sf_dir):
-    return ledger.report_records(relation(spark, sf_dir, REPORTS), relation(spark, sf_dir, PLAN))
+    return ledger.report_records(_reports(spark, sf_dir), relation(spark, sf_dir, PLAN))
 
 
 @query(_REPORTED + """select batch, seq, key, case when done then 'REPORTED' else 'REPORT_FAILED' end as status, option, account_gone and not done as no_retry,
@@ -179,7 +188,7 @@ def unblock_requests(spark, sf_dir):
 @query(_CUT.split("r as (select c.*")[0].rstrip().rstrip(",") + f""", q as ({plain(UNBLOCKED)})
 select batch, seq, key, case when stop_reason is not null then 'STOPPED' when key in (select lower(handle) from q where status in ('QUEUED', 'FAILED_RETRY')) and handle_reverified and unblock_clicked and reloaded and shows_unblocked then 'UNBLOCKED' else 'FAILED_RETRY' end as result from cut where not stopped""")
 def unblock_results(spark, sf_dir):
-    return ledger.unblock_results(relation(spark, sf_dir, REPORTS), relation(spark, sf_dir, UNBLOCKED))
+    return ledger.unblock_results(_reports(spark, sf_dir), relation(spark, sf_dir, UNBLOCKED))
 
 
 @query(f"""with b as (select lower(handle) as key, tier, status from ({plain(_BLOCKS)})), v as (select lower(handle) as key, 'OWNER_BLOCK' as tier, 'PLANNED' as status from ({plain(STATES)}))
