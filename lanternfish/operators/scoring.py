@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lanternfish import config
 from lanternfish.sources import registry
 
+#: Instances of a task, and the buckets in which accounts are counted.
+TASK_ROWS, BUCKETS = 500_000, 10_000
+
 
 def effective_count() -> Column:
     """The count, else the least count, else 1."""
@@ -102,12 +105,10 @@ def drivers(picked: DataFrame, valued: DataFrame) -> DataFrame:
     return per.select("handle", F.array_join(F.transform("x", lambda d: d["text"]), "; ").alias("drivers"))
 
 
-def evidence(picked: DataFrame, instances: DataFrame) -> DataFrame:
-    """handle, strength, n_groups, features: what raises malicious scores, per strength; instances: handle, feature_id."""
+def evidence(picked: DataFrame) -> DataFrame:
+    """handle, strength, n_groups, features: what raises malicious scores, per strength."""
     raising = picked.where(F.col("score").isin(*config.MALICIOUS_SCORES) & (F.col("weight") > 0))
-    seen = instances.select("handle", "feature_id").distinct()
-    rows = raising.join(seen, ["handle", "feature_id"])
-    return rows.groupBy("handle", "strength").agg(F.count_distinct("group").alias("n_groups"), F.array_join(F.array_sort(F.collect_set("feature_id")), "|").alias("features"))
+    return raising.groupBy("handle", "strength").agg(F.count_distinct("group").alias("n_groups"), F.array_join(F.array_sort(F.collect_set("feature_id")), "|").alias("features"))
 
 
 def actions(contributed: DataFrame, picked: DataFrame, valued: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -156,9 +157,28 @@ def actions(contributed: DataFrame, picked: DataFrame, valued: DataFrame, verdic
     return rows.select("handle", top.alias("top_score"), F.col("groups").alias("n_groups"), F.col("strong_groups").alias("n_strong_groups"), path1.alias("path1"), path2.alias("path2"), action.alias("action"))
 
 
+def dealt(instances: DataFrame) -> DataFrame:
+    """Instances dealt to tasks by account, TASK_ROWS a task; so the tasks become more with the input, not greater.
+
+    Accounts are counted in BUCKETS by a hash. A bucket of more than a task's rows, which one account fills, is aggregated
+    before it is dealt: its accounts have at most a row per feature then.
+    """
+    spark = instances.sparkSession
+    bucket = F.pmod(F.xxhash64("handle"), F.lit(BUCKETS))
+    counts = {r["bucket"]: r["n"] for r in instances.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    heavy = [b for b, n in counts.items() if n > max(TASK_ROWS, 4 * total // BUCKETS)]
+    rows = instances.select("handle", "pos", "feature_id", F.col("n").cast("long").alias("n"), F.col("n_min").cast("long").alias("n_min"), "fact_key")
+    if heavy:
+        none = F.lit(None).cast("long").alias("n_min")
+        few = best_instances(rows.where(bucket.isin(heavy))).select("handle", "pos", "feature_id", F.col("cnt").alias("n"), none, "fact_key")
+        rows = rows.where(~bucket.isin(heavy)).unionByName(few)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS)), "handle")
+
+
 def scored(instances: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Corroborated contributions, the chosen ones and the scores; accounts are brought together once, after the first aggregate."""
-    each = corroborated(contributions(best_instances(instances).repartition("handle")))
+    """Corroborated contributions, the chosen ones and the scores; accounts are brought together once, before all else."""
+    each = corroborated(contributions(best_instances(dealt(instances))))
     picked = chosen(each)
     return each, picked, scores(picked)
 

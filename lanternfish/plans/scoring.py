@@ -146,8 +146,7 @@ def score_drivers(spark, sf_dir):
 
 @query(_BASE + f"select handle, strength, count(distinct grp) as n_groups, string_agg(distinct feature_id, '|' order by feature_id) as features from chosen where score in ({_MALICIOUS}) and weight > 0 group by all")
 def score_evidence(spark, sf_dir):
-    rows = instances(spark, sf_dir)
-    return scoring.evidence(scoring.scored(rows)[1], rows)
+    return scoring.evidence(scoring.scored(instances(spark, sf_dir))[1])
 
 
 @query(f"""
