@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from lanternfish import config
 from lanternfish.functions import links, names
 from lanternfish.operators.jobs import handle_key
-from lanternfish.sources.records import known, record_links
+from lanternfish.sources.records import each_link, known, record_links
+from lanternfish.sources.shared import written
 
 BIO_KEPT, MIN_PREFIX_PATH = 400, 6
 
 
 def facts(records: DataFrame) -> DataFrame:
     """handle, display_name, bio (its beginning) and links of records: what the lists are checked against, then and later."""
-    found = record_links(records)
-    rows = records.select("handle", known(F.col("display_name")).alias("display_name"), F.substring(known(F.col("bio")), 1, BIO_KEPT).alias("bio"))
-    return rows.join(found, "handle")
+    return record_links(records, display_name=known(F.col("display_name")), bio=F.substring(known(F.col("bio")), 1, BIO_KEPT))
 
 
 def checked(fact: DataFrame, listed: DataFrame, watchlist: DataFrame, allowed: DataFrame, exclusions: tuple[str, ...] = ()) -> DataFrame:
@@ -25,12 +24,13 @@ def checked(fact: DataFrame, listed: DataFrame, watchlist: DataFrame, allowed: D
 
     listed: handle, reason; watchlist: pos, entry, entry_type; allowed: handle. An allowed handle is neither listed nor
     an impersonation nor a phrase hit, but its links still count. The lists are joined by handle and looked up by link; neither
-    is compared with every account.
+    is compared with every account. The facts are written first, as links are read for each kind of entry.
     """
+    fact = written(fact)
     key = lambda df: df.select(handle_key(F.col("handle")).alias("key"), *[c for c in df.columns if c != "handle"])
     one = key(listed).groupBy("key").agg(F.min_by("reason", "reason").alias("reason"))
     allow = key(allowed).select("key", F.lit(True).alias("allow")).distinct()
-    each = fact.select(F.col("handle").alias("id"), F.explode("links").alias("n")).select("id", "n.*")
+    each = each_link(fact.withColumnRenamed("handle", "id"), "id")
     hits = links.watch_matches(each, watchlist).groupBy("id").agg(F.count("*").alias("n_link_hits"), F.min("url").alias("first_hit"), F.max("exact_chat").alias("exact_chat"))
     rows = fact.withColumn("key", handle_key(F.col("handle"))).join(one, "key", "left").join(allow, "key", "left").join(hits, F.col("handle") == F.col("id"), "left")
     free = F.col("allow").isNull()

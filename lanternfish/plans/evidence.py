@@ -9,7 +9,7 @@ from lanternfish.functions import names
 from lanternfish.operators import known
 from lanternfish.plans.common import plain, registry, relation
 from lanternfish.sources import lists, records
-from lanternfish.sources.shared import numbered
+from lanternfish.sources.shared import numbered, spread
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -88,8 +88,7 @@ def record_year_gaps(spark, sf_dir):
 
 @query(_LINKS + "select handle, url, domain, kind from found")
 def record_links(spark, sf_dir):
-    rows = records.record_links(_records(spark, sf_dir))
-    return rows.select("handle", F.explode("links").alias("n")).select("handle", "n.url", "n.domain", "n.kind")
+    return records.each_link(records.record_links(spread(_records(spark, sf_dir))), "handle").select("handle", "url", "domain", "kind")
 
 
 @query(f"""with a as ({plain(_ACCOUNTS)})
@@ -154,7 +153,7 @@ from ruled r left join hit using (handle)""")
 def list_check(spark, sf_dir):
     """All records against the lists, as at decision time."""
     listed = relation(spark, sf_dir, _LISTED).where("not tombstone").select("handle", "reason")
-    return known.checked(known.facts(_records(spark, sf_dir)), listed, relation(spark, sf_dir, _WATCH), relation(spark, sf_dir, _ALLOWED), EXCLUSIONS)
+    return known.checked(known.facts(spread(_records(spark, sf_dir))), listed, relation(spark, sf_dir, _WATCH), relation(spark, sf_dir, _ALLOWED), EXCLUSIONS)
 
 
 _ANSWERS = "select o_orderkey as id, concat('A', o_custkey) as handle, case o_orderkey % 9 when 0 then 'KEEP' when 1 then 'BLOCK' end as action from {orders}"
@@ -170,7 +169,7 @@ def auto_block_verdicts(spark, sf_dir):
     from lanternfish.operators import decisions, ledger
 
     listed = relation(spark, sf_dir, _LISTED).where("not tombstone").select("handle", "reason")
-    check = known.checked(known.facts(_records(spark, sf_dir)), listed, relation(spark, sf_dir, _WATCH), relation(spark, sf_dir, _ALLOWED), EXCLUSIONS)
+    check = known.checked(known.facts(spread(_records(spark, sf_dir))), listed, relation(spark, sf_dir, _WATCH), relation(spark, sf_dir, _ALLOWED), EXCLUSIONS)
     none = F.array().cast("array<string>")
     states = relation(spark, sf_dir, _ACCOUNTS).select(
         "handle", F.lower("handle").alias("key"), F.when(F.col("k") % 11 == 0, "BLOCK_CONFIRMED").when(F.col("k") % 4 == 1, "REVIEW").otherwise("KEEP").alias("enforcement"), F.when(F.col("k") % 3 == 0, F.array(F.lit("S012"))).otherwise(none).alias("features"),

@@ -80,16 +80,21 @@ def year_gaps(records: DataFrame) -> DataFrame:
     return records.select("handle", years.alias("years")).select("handle", F.size("years").alias("n_years"), F.array_max(steps).alias("max_gap"))
 
 
-def record_links(records: DataFrame) -> DataFrame:
-    """handle, links: the distinct normalised links of a record's name, biography, website, link fields and sampled texts, 60 at most."""
+def record_links(records: DataFrame, **kept: Column) -> DataFrame:
+    """handle, what is kept by name, and links: the distinct normalised links of a record's name, biography, website, link fields and sampled texts, 60 at most."""
     none = F.array().cast("array<string>")
     texts = [F.array("display_name", "bio", "website", F.col("provenance.website"))]
     texts += [F.transform(F.col(f), lambda x: x["value"]) for f in ("links", "telegram_or_whatsapp_destinations", "suspicious_domains")]
     texts += [F.transform(F.col(f"{block}.items"), lambda x: x["text"]) for block in BLOCKS]
     every = F.filter(F.concat(*[F.coalesce(t, none) for t in texts]), lambda t: (t != "") & (t != "UNKNOWN"))
-    rows = records.select("handle", F.array_join(every, "\n\n").alias("text"))
-    found = F.filter(F.transform(F.concat(links.in_text(F.col("text")), links.chat_numbers(F.col("text"))), links.normalized), lambda n: n.isNotNull())
-    return rows.select("handle", links.deduplicated(found).alias("links"))
+    rows = records.select("handle", *[c.alias(name) for name, c in kept.items()], F.array_join(every, "\n\n").alias("_text"))
+    found = F.filter(F.transform(F.concat(links.in_text(F.col("_text")), links.chat_numbers(F.col("_text"))), links.normalized), lambda n: n.isNotNull())
+    return rows.select("handle", *kept, links.deduplicated(found).alias("links"))
+
+
+def each_link(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns and the parts of each link of rows. The outer form keeps Spark from looking for rows without links first, for which it would find all links two times more."""
+    return rows.select(*names, F.explode_outer("links").alias("n")).where("n is not null").select(*names, "n.*")
 
 
 def policy_text(records: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Steps whose tasks must not grow with the input."""
 
+from pyspark.sql import functions as F
+
 from lanternfish.functions import links
-from lanternfish.operators import scoring
+from lanternfish.operators import known, scoring
+from lanternfish.sources import records
+from lanternfish.sources.shared import spread
 
 
 def test_instances_are_dealt_by_their_number(spark, monkeypatch):
@@ -25,3 +29,42 @@ def test_watchlist_entries_of_one_domain_meet_a_link_once(spark):
     assert {(r["id"], r["pos"], r["how"]) for r in rows} == {(n, 5, "domain") for n in range(20)} | {(30, 2, "prefix")} and len(rows) == 21
     listed = links.first_entries(watch)
     assert listed.count() == 2
+
+
+def counted(spark):
+    """A function of strings that changes nothing, and how often it was called."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        seen.add(1)
+        return text
+
+    return F.udf(same), seen
+
+
+def test_facts_of_records_are_found_once(spark):
+    """The lists are checked with links that were found once, not once more for each kind of entry."""
+    same, seen = counted(spark)
+    none = spark.createDataFrame([], "handle string, reason string")
+    watch = spark.createDataFrame([(1, "a.com", "exact"), (2, "b.com/xx", "prefix")], "pos long, entry string, entry_type string")
+    rows = spark.createDataFrame([(f"h{n}", "x", f"see a.com/{n} and b.com/xx{n}" if n % 2 else "words") for n in range(40)], "handle string, display_name string, bio string")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], records.RECORD).schema if f.name not in rows.columns]
+    whole = rows.select("handle", "display_name", same("bio").alias("bio"), *rest)
+    got = {r["handle"]: r["n_link_hits"] for r in known.checked(known.facts(whole), none, watch, none.select("handle")).collect()}
+    assert got == {f"h{n}": 2 * (n % 2) for n in range(40)}
+    assert seen.value == 40
+
+
+def test_links_are_not_sought_to_filter_records(spark):
+    """Each link of a record is a row, and no filter before it finds the links another time."""
+    rows = spark.createDataFrame([("a", "x.com y.com"), ("b", ""), ("c", None)], "handle string, text string")
+    found = records.each_link(rows.select("handle", F.transform(links.in_text(F.col("text")), links.normalized).alias("links")), "handle")
+    assert sorted((r["handle"], r["url"]) for r in found.collect()) == [("a", "x.com"), ("a", "y.com")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("regexp_extract_all" in step for step in plan.splitlines()) == 1
+
+
+def test_spread_rows_are_tasks_by_their_number(spark):
+    rows = spread(spark.range(1_000, numPartitions=1), 100)
+    assert rows.rdd.getNumPartitions() == 10 and max(map(len, rows.rdd.glom().collect())) <= 110
+    assert spread(spark.range(0)).rdd.getNumPartitions() == 1
