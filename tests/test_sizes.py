@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from lanternfish.functions import links
+from lanternfish.functions import text as tx
 from lanternfish.operators import known, scoring
+from lanternfish.plans import text as text_plans
 from lanternfish.sources import records
 from lanternfish.sources.shared import spread
 
@@ -68,3 +70,31 @@ def test_spread_rows_are_tasks_by_their_number(spark):
     rows = spread(spark.range(1_000, numPartitions=1), 100)
     assert rows.rdd.getNumPartitions() == 10 and max(map(len, rows.rdd.glom().collect())) <= 110
     assert spread(spark.range(0)).rdd.getNumPartitions() == 1
+
+
+def test_sets_of_words_are_made_once(spark):
+    """Pairs of documents join sets that were written; no text is read or normalised for them again."""
+    plan = text_plans.text_jaccard_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan.lower() and "regexp" not in plan
+
+
+def test_runs_of_words(spark):
+    """Runs and their hashes against a plain loop; a run doesn't copy the words of its text."""
+    texts = ["", "one", "one two", "one two three", "a b c a b c a", " ".join(str(n % 50) for n in range(500))]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, text string")
+    made = rows.select("n", tx.shingles(F.col("text")).alias("runs"), F.transform(tx.shingles(F.col("text")), lambda r: F.xxhash64(r)).alias("want"))
+    for r, h in zip(sorted(made.collect()), sorted(tx.run_hashes(rows).select("n", "runs").collect()), strict=True):
+        words = texts[r["n"]].split()
+        assert r["runs"] == list(dict.fromkeys(" ".join(words[k : k + 3]) for k in range(max(len(words) - 2, 1)))) * bool(words)
+        assert h["runs"] == sorted(r["want"])
+    assert "slice" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cheap_searches_find_what_the_whole_ones_found(spark):
+    """Which characters go to Python, for all of them; and links with letters beyond ASCII that count as letters of a link."""
+    points = spark.range(1, 0x110000).where("id not between 55296 and 57343").withColumn("c", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    odd = F.col("c").rlike(r"[^\x00-\x7E\xA1-\xA7\xA9\xAB-\xAC\xAE\xB0-\xB1\xB6\xB7\xBB\xBF-\u017E]")
+    assert points.where(tx.needs_python(F.col("c")) != odd).count() == 0 and points.where(odd).count() > 1_000_000
+    texts = {"visit gift.\u0131o/a now": "visit <url> now", "más que. mañana": "más que mañana", "los años www.x": "los años <url>", "a.com": "<url>"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.skeleton(F.col("t")).alias("s"))
+    assert {r["t"]: r["s"] for r in rows.collect()} == texts
