@@ -26,14 +26,16 @@ def near_duplicates(docs: DataFrame, written: Callable[[DataFrame], DataFrame],
     Sets of a similarity t share one of their |s| - ceil(t |s|) + 1 rarest runs. Runs that one set alone has come first there and
     meet nothing. Runs are compared by 64-bit hashes.
     """
-    runs = F.array_sort(F.transform(tx.shingles(F.col("norm")), lambda s: F.xxhash64(s)))
-    rows = written(docs.withColumn("norm", tx.normalized(F.col("text"))).select(F.col("doc_id").cast("long"), runs.alias("runs")))
-    rows = rows.where(F.size("runs") > 0).withColumn("set", F.xxhash64("runs"))
-    firsts = written(rows.groupBy("set").agg(F.min("doc_id").alias("first")))
-    copies = rows.select("doc_id", "set").join(firsts, "set").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    rows = written(tx.run_hashes(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("runs").alias("hash"), "runs"))
+    rows = rows.where(F.size("runs") > 0)
+    # a set is named by one of its rows; of the others only that name is moved, not the runs, and it is written, so that few are broadcast
+    firsts = written(rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.min("row").alias("set")))
+    named = rows.select("doc_id", "row", "hash").join(firsts, "hash")
+    rows = rows.join(written(named.where("row <> set").select("row")), "row", "left_anti").select(F.col("row").alias("set"), "runs")
+    copies = named.where(~F.col("doc_id").eqNullSafe(F.col("first")))
     copies = copies.select(F.col("first").alias("doc_id"), F.col("doc_id").alias("near_doc"), F.lit(1.0).alias("similarity")).distinct()
 
-    postings = rows.dropDuplicates(["set"]).select("set", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    postings = rows.select("set", F.size("runs").alias("size"), F.explode("runs").alias("run"))
     # how often a run is there is a map-side sum; the postings of a common one are joined with it where they are, or split by Spark
     often = written(postings.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"))
     shared = postings.join(often, "run")
@@ -45,7 +47,7 @@ def near_duplicates(docs: DataFrame, written: Callable[[DataFrame], DataFrame],
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9
     pairs = written(met(prefixes, "run", "set", SLOT).where(alike).select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = written(rows.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("runs").alias("runs")))
+    sets = written(rows.join(wanted, "set", "left_semi"))
     of = lambda name: sets.select(F.col("set").alias(name), F.col("runs").alias(f"{name}_runs"))
     both = F.size(F.array_intersect("a_runs", "b_runs"))
     found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", both.alias("both"), (F.size("a_runs") + F.size("b_runs")).alias("sum"))

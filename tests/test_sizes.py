@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import links
 from lanternfish.functions import text as tx
-from lanternfish.operators import known, scoring
+from lanternfish.operators import known, neartexts, scoring
 from lanternfish.plans import text as text_plans
 from lanternfish.sources import records
-from lanternfish.sources.shared import spread
+from lanternfish.sources.shared import spread, written
 
 
 def test_instances_are_dealt_by_their_number(spark, monkeypatch):
@@ -98,3 +98,19 @@ def test_cheap_searches_find_what_the_whole_ones_found(spark):
     texts = {"visit gift.\u0131o/a now": "visit <url> now", "más que. mañana": "más que mañana", "los años www.x": "los años <url>", "a.com": "<url>"}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.skeleton(F.col("t")).alias("s"))
     assert {r["t"]: r["s"] for r in rows.collect()} == texts
+
+
+def test_runs_of_texts_are_not_moved_to_find_copies(spark):
+    """Copies are told by hashes and numbers of rows; no aggregate takes the runs of a text. Rows that repeat, and one id of two texts, count as before."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df)
+
+    long = " ".join(f"w{n}" for n in range(40))
+    rows = [(1, long), (1, long), (2, long), (2, long + " end"), (3, "other words of another text"), (4, "other words of another text"), (None, long), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, neartexts.near_duplicates(docs, kept).select("doc_id", "near_doc", "similarity").collect()))
+    assert got == sorted(f"Row(doc_id={a}, near_doc={b}, similarity={s})" for a, b, s in [(1, 2, 1.0), (1, None, 1.0), (3, 4, 1.0), (1, 2, 0.974)])
+    assert len(plans) > 3 and not any("first(runs" in p for p in plans)
