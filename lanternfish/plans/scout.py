@@ -48,7 +48,7 @@ def stream_arrivals(spark, sf_dir):
 def stream_queue(spark, sf_dir):
     """The queue that a stream over the table's files leaves in its state."""
     stream = interactions(spark, sf_dir, stream=True).withColumn("triggers", F.array().cast("array<string>"))
-    _, checkpoint = queue.run_once(stream, queue.arrivals)
+    _, checkpoint = queue.run_once(stream, queue.arrivals, kept=False)
     return queue.open_entries(spark, checkpoint).select(F.col("key").alias("handle"), "level", "priority", "source_kind", "n_interactions")
 
 

@@ -1,14 +1,15 @@
 """The interaction queue and the pace of a job as state machines of a stream, with typed state by key on RocksDB.
 
-A micro-batch reads and writes only what it touches: an account's cache, counts and open entry are values, its kinds and posts
-are maps looked up by key, and a job's batches leave its state by event-time timers. The rows of one key in one micro-batch are
-put in order in memory; a trigger's maxFilesPerTrigger bounds them.
+A micro-batch reads and writes only the keys that it touches. The queue keeps of an account its cache, open entry, kinds with
+their numbers and first posts; a history keeps all posts, as a map looked up by key; a job's batches leave its state by
+event-time timers. The rows of one key in one micro-batch are put in order in memory; a trigger's maxFilesPerTrigger bounds them.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,14 @@ PRIORITIES = ("LOW", "NORMAL", "HIGH")
 #: Instants are microseconds since 1970 inside the machines.
 CACHE = "last_full_audit long, last_light_check long, risk string"
 ENTRY = "level string, priority string, source_kind string, first_seen long, n_interactions long, opened long"
-ARRIVALS = "seq long, handle string, result string, level string, priority string"
+#: Results go by the column, at most CHUNK of a key in a row: a row by itself costs the worker much more.
+ARRIVALS = "seq array<long>, handle array<string>, result array<string>, level array<string>, priority array<string>"
+RESULTS = Row("seq", "handle", "result", "level", "priority")
+CHUNK = 1_000
+#: What an interaction tells by itself, as one number: its level, whether there is a trigger, whether its priority is HIGH anyway.
+MARKS = [(level, told, urgent) for urgent in (False, True) for told in (False, True) for level in LEVELS]
+#: Posts that a priority asks for: from the third on, more change nothing.
+POSTS_ASKED = 3
 ANSWERS = "job long, id long, moment long, wait string, earliest long"
 DAY_US, DAY_MS = 86_400_000_000, 86_400_000
 
@@ -34,16 +42,12 @@ def on_rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def _priority(kind: str, kinds: dict, posts: int, solicits: bool, network: bool) -> str:
-    """An interaction's priority, from its account's history up to it."""
-    many = len(kinds) >= 2
-    if kind in ("QUOTE_POST", "MENTION", "TAG") or (many and ("NEW_FOLLOW" in kinds or posts >= 3)) or solicits or network:
-        return "HIGH"
-    return "NORMAL" if "NEW_FOLLOW" in kinds or "REPLY" in kinds or kinds.get("LIKE", 0) + kinds.get("REPOST", 0) >= 2 else "LOW"
-
-
 class QueueMachine(StatefulProcessor):
-    """What each accepted interaction does to its account's history and open entry."""
+    """What each accepted interaction does to its account's history and open entry.
+
+    A call of the state is a round trip to the JVM, which takes as long as many rows do. So their number for a key in a
+    micro-batch is fixed: entry, kinds and posts are read and written whole, and of posts only the first POSTS_ASKED are kept.
+    """
 
     def __init__(self, settings: Settings):
         self.settings = settings
@@ -51,9 +55,8 @@ class QueueMachine(StatefulProcessor):
     def init(self, handle) -> None:
         self.cache = handle.getValueState("cache", CACHE)
         self.entry = handle.getValueState("entry", ENTRY)
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
-        self.posts = handle.getMapState("posts", "post string", "seq long")
-        self.touched = handle.getValueState("touched", "posts long")
+        self.kinds = handle.getListState("kinds", "kind string, n long")
+        self.posts = handle.getValueState("posts", "first array<string>")
 
     def handleInitialState(self, key, row, timerValues) -> None:
         self.cache.update((row.last_full_audit, row.last_light_check, row.risk))
@@ -61,52 +64,54 @@ class QueueMachine(StatefulProcessor):
             self.entry.update((row.open_level, row.open_priority, None, None, 0, None))
 
     def _recent(self, cache, at: int) -> bool:
-        within = lambda then, days: then is not None and abs(at - then) <= days * DAY_US
+        within = lambda then, days: None not in (then, at) and abs(at - then) <= days * DAY_US
         return cache is not None and (within(cache[0], self.settings.full_days) or cache[2] == "LOW" and within(cache[1], self.settings.light_days))
 
-    def _level(self, row) -> str:
-        s = self.settings
-        if row.triggers or row.kind == "REPLY" and row.solicits and s.escalate_replies:
-            return "FULL_AUDIT"
-        own = {"NEW_FOLLOW": s.follows, "REPLY": s.replies, "QUOTE_POST": s.quotes, "MENTION": s.mentions, "TAG": s.mentions}
-        return (own | {"LIKE": s.likes_reposts if s.likes else "OFF", "REPOST": s.likes_reposts if s.reposts else "OFF"}).get(row.kind, "LIGHT_CHECK")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        cache = self.cache.get() if self.cache.exists() else None
-        entry = list(self.entry.get()) if self.entry.exists() else None
-        kinds = {k[0]: v[0] for k, v in self.kinds.iterator()}
-        before, known = dict(kinds), {}
-        touched = self.touched.get()[0] if self.touched.exists() else 0
-        for row in sorted(rows, key=lambda r: r.seq):
-            kinds[row.kind] = kinds.get(row.kind, 0) + 1
-            if row.post is not None and row.post not in known:
-                known[row.post] = self.posts.containsKey((row.post,))
-                if not known[row.post]:
-                    self.posts.updateValue((row.post,), (row.seq,))
-                    touched += 1
-            level = self._level(row)
-            priority = _priority(row.kind, kinds, touched, row.solicits, row.network_match)
-            if entry is None and not row.triggers and self._recent(cache, row.ts):
+        entry = self.entry.get()
+        cache = self.cache.get() if entry is None else None
+        entry = entry and list(entry)
+        kinds, posts = dict(self.kinds.get()), list((self.posts.get() or ([],))[0])
+        met, out = len(posts), []
+        # By place: a field of a Row is sought by its name each time.
+        for _, seq, handle, kind, post, ts, mark in sorted(rows, key=itemgetter(1)):
+            level, told, urgent = MARKS[mark]
+            if kind is not None:
+                kinds[kind] = kinds.get(kind, 0) + 1
+            if len(posts) < POSTS_ASKED and post is not None and post not in posts:
+                posts.append(post)
+            if urgent or len(kinds) >= 2 and ("NEW_FOLLOW" in kinds or len(posts) >= POSTS_ASKED):
+                priority = "HIGH"
+            else:
+                priority = "NORMAL" if "NEW_FOLLOW" in kinds or "REPLY" in kinds or kinds.get("LIKE", 0) + kinds.get("REPOST", 0) >= 2 else "LOW"
+            if entry is None and not told and self._recent(cache, ts):
                 result = "HISTORY_UPDATED"
             elif entry is None and level == "OFF":
                 result = "IGNORED"
             elif entry is None:
-                result, entry = "QUEUED", [level, priority, row.kind, row.ts, 1, row.seq]
+                result, entry = "QUEUED", [level, priority, kind, ts, 1, seq]
             else:
                 result = "MERGED_INTO_OPEN_ENTRY"
-                if LEVELS.index(level) > LEVELS.index(entry[0]):
+                if level != entry[0] and LEVELS.index(level) > LEVELS.index(entry[0]):
                     result, entry[0] = "MERGED_AND_ESCALATED", level
-                if PRIORITIES.index(priority) > PRIORITIES.index(entry[1]):
+                if priority != entry[1] and PRIORITIES.index(priority) > PRIORITIES.index(entry[1]):
                     entry[1] = priority
-                entry[2] = entry[2] or row.kind
-                entry[3] = min(entry[3], row.ts) if entry[3] else row.ts
+                entry[2] = entry[2] or kind
+                if entry[3] is None or ts is not None and ts < entry[3]:
+                    entry[3] = ts
                 entry[4] += 1
-                entry[5] = row.seq if entry[5] is None else entry[5]
-            yield Row(seq=row.seq, handle=row.handle, result=result, level=level, priority=priority)
-        for kind, n in kinds.items():
-            if before.get(kind) != n:
-                self.kinds.updateValue((kind,), (n,))
-        self.touched.update((touched,))
+                if entry[5] is None:
+                    entry[5] = seq
+            out.append((seq, handle, result, level, priority))
+            if len(out) == CHUNK:
+                yield RESULTS(*zip(*out))
+                out = []
+        if out:
+            yield RESULTS(*zip(*out))
+        if kinds:
+            self.kinds.put(list(kinds.items()))
+        if len(posts) > met:
+            self.posts.update((posts,))
         if entry is not None:
             self.entry.update(tuple(entry))
 
@@ -121,7 +126,11 @@ def arrivals(stream: DataFrame, cache: DataFrame | None = None, queue: DataFrame
     on_rocks(stream.sparkSession)
     network = F.coalesce("network_match", F.lit(False)) if "network_match" in stream.columns else F.lit(False)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = stream.select(handle_key(F.col("handle")).alias("key"), "seq", "handle", "kind", "post", micros("ts").alias("ts"), F.coalesce("solicits", F.lit(False)).alias("solicits"), F.coalesce("triggers", F.array().cast("array<string>")).alias("triggers"), network.alias("network_match"))
+    kind, solicits, told = F.col("kind"), F.coalesce("solicits", F.lit(False)), F.coalesce(F.size("triggers") > 0, F.lit(False))
+    urgent = F.coalesce(kind.isin("QUOTE_POST", "MENTION", "TAG"), F.lit(False)) | solicits | network
+    level = F.when(told, "FULL_AUDIT").otherwise(settings.level(kind, solicits))
+    mark = F.array_position(F.array(*map(F.lit, LEVELS)), level) - 1 + told.cast("int") * len(LEVELS) + urgent.cast("int") * 2 * len(LEVELS)
+    rows = stream.select(handle_key(F.col("handle")).alias("key"), "seq", "handle", "kind", "post", micros("ts").alias("ts"), mark.cast("int").alias("mark"))
     start = None
     if cache is not None or queue is not None:
         spark = stream.sparkSession
@@ -130,11 +139,12 @@ def arrivals(stream: DataFrame, cache: DataFrame | None = None, queue: DataFrame
         known = cache.groupBy(handle_key(F.col("handle")).alias("key")).agg(*(F.max(micros(n)).alias(n) for n in ("last_full_audit", "last_light_check")), F.max("risk").alias("risk"))
         opened = queue.groupBy(handle_key(F.col("handle")).alias("key")).agg(F.max(F.struct(F.col("level") == "FULL_AUDIT", "level", "priority")).alias("x"))
         start = known.join(opened, "key", "full").select("key", "last_full_audit", "last_light_check", "risk", F.col("x.level").alias("open_level"), F.col("x.priority").alias("open_priority")).groupBy("key")
-    return rows.groupBy("key").transformWithState(QueueMachine(settings), ARRIVALS, "Append", "None", start)
+    made = rows.groupBy("key").transformWithState(QueueMachine(settings), ARRIVALS, "Append", "None", start)
+    return made.select(F.inline(F.arrays_zip(*made.columns)))
 
 
 def state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    """A state variable of the stream with that checkpoint after its last micro-batch: key and value, or key and map entries."""
+    """A state variable of the stream with that checkpoint after its last micro-batch: key and value, or key and an entry of the map or list."""
     return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
 
 
@@ -253,11 +263,14 @@ def paced(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
     return out.withColumns({n: F.timestamp_micros(n) for n in ("moment", "earliest")})
 
 
-def run_once(stream: DataFrame, made: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str]:
-    """The rows that a stream gives until its source is read to the end, and its checkpoint, both in the shared folder."""
+def run_once(stream: DataFrame, made: Callable[[DataFrame], DataFrame], kept: bool = True) -> tuple[DataFrame | None, str]:
+    """The rows that a stream gives until its source is read to the end, and its checkpoint, both in the shared folder.
+
+    Without kept no rows are written or returned, for streams of which only the state is asked.
+    """
     spark = stream.sparkSession
     folder = shared_path(spark, "stream")
     out = made(stream)
-    query = out.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start()
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{folder}/out"), f"{folder}/check"
+    writer = out.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True)
+    (writer.format("parquet").option("path", f"{folder}/out") if kept else writer.format("noop")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out") if kept else None, f"{folder}/check"

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,82 @@ def test_queue_without_a_cache(spark, tmp_path):
     assert sorted(map(tuple, own)) == sorted(map(tuple, it.queue(ranked).select("handle", *columns).collect()))
 
 
+class Held:
+    """A state variable of one key that counts how often the machine calls it."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def _call(self, name, value=None):
+        self.calls.append(name)
+        self.held = self.held if value is None else value
+        return self.held
+
+    def __getattr__(self, name):
+        return {"get": lambda: self._call(name), "update": lambda v: self._call(name, v), "put": lambda v: self._call(name, v)}[name]
+
+
+class Several(Held):
+    def __getattr__(self, name):
+        return (lambda: iter(self._call(name) or ())) if name == "get" else super().__getattr__(name)
+
+
+class States:
+    """What a machine's init() is given."""
+
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Held(self.calls)
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Several(self.calls)
+
+
+@pytest.mark.parametrize("number", [1, 50, 2_500])
+def test_calls_of_the_state_are_few_for_any_number_of_rows(number):
+    """Each is a round trip to the JVM; there were two for each post of an account."""
+    machine, states = queue.QueueMachine(batch.Settings()), States()
+    machine.init(states)
+    rows = [(("a", n, "@A", "LIKE", f"p{n}", n, 1)) for n in reversed(range(number))]
+    for _ in range(2):
+        out = list(machine.handleInputRows(("a",), iter(rows), None))
+        assert [n for made in out for n in made.seq] == list(range(number)) and len(out) == -(-number // queue.CHUNK)
+        assert len(states.calls) <= 7
+        states.calls.clear()
+    assert machine.posts.held == ([f"p{n}" for n in range(min(number, queue.POSTS_ASKED))],)
+    assert machine.kinds.held == [("LIKE", 2 * number)] and machine.entry.held[4] == 2 * number
+
+
+def test_an_account_of_many_rows_and_rows_without_time_or_kind(spark, tmp_path):
+    """One account's rows are more than are given at once; rows of others have no time or no kind. The state keeps three posts of many."""
+    many = [(n, "@A", it.KINDS[n % 8], f"p{n % 700}", AT + datetime.timedelta(minutes=n), n % 97 == 0, []) for n in range(2_300)]
+    odd = [(3_000, "b", "LIKE", None, None, False, []), (3_001, "b", None, "p1", AT, None, None), (3_002, "c", None, "p1", datetime.datetime(1970, 1, 1), False, []), (3_003, "c", "LIKE", "p1", AT, False, []), (3_004, "e", "LIKE", "p", None, False, []), (3_005, "d", None, None, AT, False, [])]
+    cache = spark.createDataFrame([("b", AT, None, None), ("E", AT, AT, "LOW")], "handle string, last_full_audit timestamp, last_light_check timestamp, risk string")
+    opened = spark.createDataFrame([], "handle string, level string, priority string")
+    rows = spark.createDataFrame(many + odd, ROWS)
+    got = run(spark, [rows], str(tmp_path), lambda s: queue.arrivals(s, cache, opened)).select("seq", "handle", "result", "level", "priority").collect()
+    want = batch.arrivals(rows.fillna(False, ["solicits"]).withColumn("triggers", F.coalesce("triggers", F.array().cast("array<string>"))), cache, opened)
+    assert sorted(tuple(r)[:4] for r in got) == sorted(map(tuple, want.collect())) and len(got) == 2_306
+    ranked = it.priority(it.running(rows.fillna(False, ["solicits"])))
+    assert {r["seq"]: r["priority"] for r in got} == {r["seq"]: r["priority"] for r in ranked.collect()}
+    entries = {r["key"]: r for r in queue.open_entries(spark, f"{tmp_path}/check").collect()}
+    assert entries["a"]["n_interactions"] == 2_300 and entries["a"]["first_seen"] == AT and entries["c"]["first_seen"] == datetime.datetime(1970, 1, 1)
+    posts = queue.state(spark, f"{tmp_path}/check", "posts").select("key.key", "value.first").collect()
+    assert {r["key"]: r["first"] for r in posts} == {"a": ["p0", "p1", "p2"], "b": ["p1"], "c": ["p1"], "e": ["p"]}
+
+
+def test_a_stream_of_which_only_the_state_is_asked(spark, tmp_path):
+    """Its rows are not written, and the state is the same."""
+    spark.createDataFrame(interactions(4), ROWS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in")
+    whole, one = queue.run_once(stream(), queue.arrivals)
+    none, other = queue.run_once(stream(), queue.arrivals, kept=False)
+    assert whole.count() == 120 and none is None and not Path(other).with_name("out").exists()
+    assert sorted(map(str, queue.open_entries(spark, one).collect())) == sorted(map(str, queue.open_entries(spark, other).collect()))
+
+
 @pytest.mark.parametrize("cuts", [[90], [20, 21, 60, 90]])
 def test_pace_equals_batch(spark, tmp_path, cuts):
     rng = random.Random(5)
