@@ -17,14 +17,17 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanternfish.llm.common import bounded_batches, small, text_runs
+from lanternfish.llm.common import RUN_BYTES, bounded_batches, small, text_runs
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page.
@@ -33,16 +36,35 @@ OPTIONS = {
     "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.writer.version": "PARQUET_2_0", "compression": "zstd",
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true",
 }
-#: Distinct pieces of text whose ids a worker keeps; when more have come, it starts anew.
-CACHE = 600_000
+#: Distinct pieces of text whose ids a worker keeps; when more have come, the half met most often stays.
+CACHE = 400_000
+#: Bytes that these pieces and ids may take, and those of a piece that stays when more have come.
+CACHE_BYTES, PIECE_BYTES = 32_000_000, 32
+#: Bytes of text that are cut at a time, a longer text alone.
+CUT_BYTES = 4_000_000
 
 
-#: ASCII punctuation that, in a row behind letters, is a pre-token of its own; an apostrophe may begin another.
-MARKS = string.punctuation.replace("'", "")
+#: ASCII punctuation that, behind a letter, begins a pre-token; an apostrophe may go with letters, and a bar ends an added token.
+MARKS = string.punctuation.replace("'", "").replace("|", "")
+#: What a byte of a text is: white space to cut at, such a mark, a letter, the first byte of a Latin letter of two or the second one.
+SPACE, MARK, LETTER, LEAD, SECOND = 1, 2, 3, 4, 5
 
 
-#: A word of lower-case Latin letters, which the vocabulary's rules before its model leave as it is.
-PLAIN = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()) + "]+")
+def _kinds() -> bytes:
+    """A table of that for bytes.translate; second bytes are not those of the signs × and ÷ and of İ, which ends in a mark when it is lower-cased."""
+    second = set(range(0x80, 0xC0)) - {0x97, 0xB0, 0xB7}
+    kinds = {SPACE: b" \n", MARK: MARKS.encode(), LETTER: string.ascii_letters.encode(), LEAD: range(0xC3, 0xC9), SECOND: second}
+    of = {byte: kind for kind, some in kinds.items() for byte in some}
+    return bytes(of.get(byte, 0) for byte in range(256))
+
+
+KINDS = _kinds()
+#: An added token that no cut breaks.
+ADDED = re.compile(r"<\|[a-z]+\|>")
+
+
+#: A space and a word of lower-case Latin letters, which the vocabulary's rules before its model leave as it is.
+PLAIN = re.compile(" [" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()) + "]+")
 
 
 def lowered(text: str) -> str:
@@ -77,13 +99,14 @@ CUTTABLE_PRE_TOKENIZER = {
 def cuttable(vocabulary: str) -> bool:
     """Whether the vocabulary file's own rules prove that a text's ids are those of its pieces between spaces and line feeds.
 
-    They do if white space never gets into a pre-token and every pre-token goes to a plain BPE model by itself. Any other file
-    is encoded whole.
+    They do if white space never gets into a pre-token, every pre-token goes to a plain BPE model by itself and added tokens
+    hold nothing to cut at. Any other file is encoded whole.
     """
     with open(vocabulary, encoding="utf-8") as file:
         rules = json.load(file)
     model = rules.get("model") or {}
     plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+    plain = plain and all(ADDED.fullmatch(x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in rules.get("added_tokens") or [])
     return plain and rules.get("normalizer") == CUTTABLE_NORMALIZER and rules.get("pre_tokenizer") == CUTTABLE_PRE_TOKENIZER
 
 
@@ -97,59 +120,92 @@ def _tokenizer(vocabulary: str):
 
 
 class Encoder:
-    """Ids of texts as bytes, by any vocabulary file of the tokenizers library.
-
-    With a cuttable file, a text is cut at spaces and line feeds and each distinct piece is encoded once; the pieces' ids,
-    joined, are the text's. A piece of letters before ASCII punctuation is the ids of its two pre-tokens, and a word of Latin
-    letters goes straight to the vocabulary's model, whose own rules before it would leave the word as it is. Texts are
-    lower-cased first, as the vocabulary does itself, but for those where that isn't the same before its other rules: it
-    composes characters first, so a capital that composes with no mark keeps the mark apart when it is lower-cased later. Texts
-    that composition would change, in either case, therefore reach the vocabulary as they are. Any other file, or `whole`, encodes whole texts. Pieces not met for long leave memory and are encoded again if they return.
+    """Ids of texts, by any vocabulary file of the tokenizers library.
+
+    With a cuttable file, texts are cut before spaces, line feeds and ASCII punctuation behind a Latin letter, as arrays of bytes;
+    each distinct piece is encoded once, and the pieces' ids, joined, are the text's. A word of Latin letters goes straight to
+    the vocabulary's model, whose own rules before it would leave the word as it is. Texts are lower-cased first, as the
+    vocabulary does itself, but for those where that isn't the same before its other rules: it composes characters first, so
+    a capital that composes with no mark keeps the mark apart when it is lower-cased later. Texts that composition would
+    change, in either case, therefore reach the vocabulary as they are. Any other file, or `whole`, encodes whole texts.
+    Pieces and their ids are kept as arrays, a few bytes each; those met seldom leave memory and are encoded again if they return.
     """
 
     def __init__(self, vocabulary: str, whole: bool = False):
         self.tokenizer, self.whole, self.letters = _tokenizer(vocabulary), whole or not cuttable(vocabulary), _byte_letters()
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.kept) > CACHE:
-            self.kept, self.older, self.tails = {}, self.kept, {}
-        kept, older, tails, model, rest, plain = self.kept, self.older, self.tails, self.tokenizer.model, [], PLAIN.fullmatch
+        self.pieces, self.met = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.ends, self.ids = np.zeros(1, np.int32), np.zeros(0, np.uint32)
+
+    def _encoded(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The ids of each piece, by the file's own tokenizer, of some pieces at a time, as what it returns is large."""
+        at = size = 0
+        for upto, piece in enumerate(pieces, 1):
+            size += len(piece)
+            if size >= RUN_BYTES // 4 or upto == len(pieces):
+                yield from (x.ids for x in self.tokenizer.encode_batch_fast(pieces[at:upto], add_special_tokens=False))
+                at, size = upto, 0
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Have the ids of more pieces behind the known ones."""
+        rest = self._encoded([x for x in pieces if not PLAIN.fullmatch(x)])
+        tokenize, letters, plain, name, ids, counts = self.tokenizer.model.tokenize, self.letters, PLAIN.fullmatch, attrgetter("id"), array("I"), array("i")
         for piece in pieces:
-            ids = older.get(piece)
-            if ids is None:
-                core = piece.rstrip(MARKS)
-                tail = piece[len(core) :]
-                if not plain(core):
-                    rest.append(piece)
-                    continue
-                ids = kept.get(core)
-                if ids is None:
-                    letters = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-                    ids = kept[core] = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-                if tail:
-                    if tail not in tails:
-                        tails[tail] = self._encoded([tail])[0]
-                    ids += tails[tail]
-            kept[piece] = ids
-        kept.update(zip(rest, self._encoded(rest), strict=True))
+            if plain(piece):
+                own = map(name, tokenize(piece[1:] if piece.isascii() else piece[1:].encode().decode("latin-1").translate(letters)))
+            else:
+                own = next(rest)
+            at = len(ids)
+            ids.extend(own)
+            counts.append(len(ids) - at)
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int32)])
+
+    def _forget(self) -> None:
+        """Keep, of the pieces that aren't long, the half of CACHE that was met most often."""
+        stay = np.flatnonzero(np.asarray(pc.binary_length(self.pieces)) <= PIECE_BYTES)
+        if len(stay) > (most := CACHE // 2):
+            stay = np.sort(stay[np.argpartition(self.met[stay], -most)[-most:]])
+        kept = self._joined(stay)
+        self.pieces, self.met = self.pieces.take(pa.array(stay)), self.met[stay] // 2
+        self.ends, self.ids = np.asarray(kept.offsets), np.asarray(kept.values)
+
+    def _joined(self, codes: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.ids)).take(pa.array(codes))
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and where each text's begin and the last one's end."""
+        if self.whole:
+            ids = [np.asarray(x, np.uint32) for x in self._encoded(texts)]
+            return np.concatenate([self.ids, *ids]), np.cumsum([0, *map(len, ids)])
+        low = [lowered(x).encode() for x in texts]
+        begins = np.cumsum([0, *(len(x) + 1 for x in low)])[:-1]
+        data = b" ".join([b"", *low]).replace(b"\n", b" ")
+        kinds = np.frombuffer(data.translate(KINDS), np.uint8)
+        cut, letter = kinds == SPACE, kinds == LETTER
+        letter[1:] |= (kinds[1:] == SECOND) & (kinds[:-1] == LEAD)
+        cut[1:] |= (kinds[1:] == MARK) & letter[:-1]
+        at = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+        both = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()
+        codes, known = np.asarray(both.indices)[len(self.pieces) :], both.dictionary
+        self._learn(known[len(self.pieces) :].to_pylist())
+        met = np.bincount(codes, minlength=len(known))
+        met[: len(self.met)] += self.met
+        self.pieces, self.met = known, met
+        joined = self._joined(codes)
+        if len(known) > CACHE or known.nbytes + self.ids.nbytes > CACHE_BYTES:
+            self._forget()
+        return np.asarray(joined.values), np.append(np.asarray(joined.offsets)[np.searchsorted(at[:-1], begins)], len(joined.values))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.whole:
-            return self._encoded(texts)
-        cut = [lowered(x).replace("\n", " ").split(" ") for x in texts]
-        needed = set().union(*cut)
-        if len(self.kept) > CACHE:
-            self._learn(needed)
-        elif new := needed - self.kept.keys():
-            self._learn(new)
-        get = self.kept.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        ids, ends = self.encoded(texts)
+        return [ids[a:b].astype("<u4").tobytes() for a, b in pairwise(ends.tolist())]
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str, whole: bool = False) -> Encoder:
+    """The file's encoder, which a worker keeps, with the pieces it has met, for all of its tasks."""
+    return Encoder(vocabulary, whole)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, whole: bool = False) -> None:
@@ -161,17 +217,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2, w
     go to many tasks, and the sample that finds the ranges brings no text to the driver.
     """
     bounded_batches(docs.sparkSession)
-    end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, part = Encoder(vocabulary, whole), 0, TaskContext.get().partitionId()
+        own, start, part = encoder(vocabulary, whole), 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(1).cast(pa.string())
-            for at, upto in text_runs(texts):
-                out = [x + end for x in encoder(["" if x is None else x for x in texts[at:upto].to_pylist()])]
-                counts = np.asarray([len(x) // 4 for x in out], np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32)))
+            for at, upto in text_runs(texts, size=CUT_BYTES):
+                values, ends = own.encoded(["" if x is None else x for x in texts[at:upto].to_pylist()])
+                ends = ends.astype(np.int64)
+                if end_id is not None:
+                    values, ends = np.insert(values, ends[1:], end_id), ends + np.arange(len(ends))
+                counts = np.diff(ends)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(upto - at, part, np.int32)), batch.column(0)[at:upto], pa.array(start + ends[:-1]), pa.array(counts), ids],
                     names=["part", "doc_id", "part_start", "n_tokens", "ids"],
