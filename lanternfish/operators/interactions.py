@@ -59,12 +59,19 @@ def history(rows: DataFrame) -> DataFrame:
     )
 
 
-def bursts(rows: DataFrame, last: int = 200) -> DataFrame:
-    """The most interactions of an account within any 24 hours, among its latest `last` distinct times."""
-    times = rows.where("ts is not null").select("handle", "ts").distinct()
-    newest = times.withColumn("place", F.row_number().over(Window.partitionBy("handle").orderBy(F.desc("ts")))).where(F.col("place") <= last)
-    day = Window.partitionBy("handle").orderBy(F.unix_micros("ts")).rangeBetween(0, DAY)
-    return newest.withColumn("n", F.count("*").over(day)).groupBy("handle").agg(F.max("n").alias("burst"))
+def bursts(rows: DataFrame) -> DataFrame:
+    """The most interactions of an account, at distinct times, within any 24 hours.
+
+    Each time opens a window and is one of its points. The times of a day are dealt to that day and the one before, as a window
+    reaches into the next day; there the k-th end of a window has all points up to it but the first k - 1, so that two running sums do.
+    """
+    times = rows.where("ts is not null").select("handle", F.unix_micros("ts").alias("at")).distinct()
+    day = F.col("at") - F.pmod("at", F.lit(DAY))
+    mark = lambda day, at, end: F.struct(day.alias("day"), at.alias("at"), F.lit(end).alias("end"))
+    marks = F.array(mark(day, F.col("at"), 0), mark(day - DAY, F.col("at"), 0), mark(day, F.col("at") + DAY, 1))
+    order = Window.partitionBy("handle", "day").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0)
+    counted = times.select("handle", F.inline(marks)).withColumn("n", F.sum(1 - 2 * F.col("end")).over(order) + 1)
+    return counted.where("end = 1").groupBy("handle").agg(F.max("n").alias("burst"))
 
 
 def running(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,22 @@ def test_bursts(spark):
     assert {r["handle"]: r["burst"] for r in it.bursts(rows).collect()} == {"a": 2, "b": 1}
 
 
+def test_bursts_of_more_than_200_times(spark):
+    """Old bursts count, however many times follow, across midnights and before 1970; repeated times count once."""
+    import random
+
+    rng, day = random.Random(5), 86_400_000_000
+    times = {
+        "old": [-3 * day + n for n in range(400)] * 2 + [n * day * 2 for n in range(1, 300)],
+        "dense": [n * 60_000_000 for n in range(5_000)],
+        **{f"r{i}": [rng.randrange(-3, 4) * day + rng.choice([0, 1, day - 1, rng.randrange(day)]) for _ in range(300)] for i in range(3)},
+    }
+    rows = spark.createDataFrame([(h, t) for h in times for t in times[h]], "handle string, at long").select("handle", F.timestamp_micros("at").alias("ts"))
+    most = lambda ts: max(sum(t <= u <= t + day for u in ts) for t in ts)
+    want = {h: most(set(ts)) for h, ts in times.items() if h != "dense"} | {"dense": 24 * 60 + 1}
+    assert {r["handle"]: r["burst"] for r in it.bursts(rows).collect()} == want and want["old"] == 400
+
+
 def test_stops_with_one_number_follow_arrival(spark):
     rows = spark.createDataFrame([("b", 1, 0, "x", None), ("b", 2, 2, "y", "STOP"), ("b", 2, 1, "z", "STOP"), ("b", 2, 3, "w", "STOP")], "batch string, seq int, arrival int, handle string, stop_reason string")
     assert {r["handle"] for r in jobs.until_stop(rows, "seq", "batch").collect()} == {"x", "z"}
