@@ -287,6 +287,21 @@ def test_clusters_without_pairs(spark, seed):
     assert want and sorted(map(tuple, network.clusters_of(member, shared, written).collect())) == want
 
 
+def test_shown_fingerprints(spark):
+    """The first 25 texts of a group, a null one too; empty texts take no place and texts of one number follow as texts."""
+    from lanternfish.functions import text as tx
+
+    rows = [("a", n, f"text number {n}") for n in range(30)] + [("a", 3, "a text before"), ("a", 1, ""), ("a", 2, None), (None, None, "last"), (None, 7, "only @me"), ("b", None, None)]
+    frame = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(5)
+    got = {(r["source"], r["place"]): r for r in tx.shown_fingerprints(frame).collect()}
+    want = [f"text number {n}" for n in range(3)] + ["a text before"] + [f"text number {n}" for n in range(3, 24)]
+    assert [got["a", n]["text"] for n in range(1, 26)] == want and len(got) == 27
+    assert (got[None, 1]["text"], got[None, 2]["text"]) == ("only @me", "last")
+    every = {r["text"]: r for r in tx.fingerprints(frame).collect()}
+    names = ("exact_hash", "norm_hash", "template_id", "distinctiveness")
+    assert all([r[n] for n in names] == [every[r["text"]][n] for n in names] for r in got.values())
+
+
 def test_interaction_problems(spark):
     from lanternfish.operators import interactions as it
 
